@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import packing, pieces, simhash, store, warc
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op2_warc": warc.op2_warc,
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op5_sentencepiece": pieces.op5_sentencepiece,
+    "op7_token_store": store.op7_token_store,
 }
 
 ORACLE_SQL: dict[str, str] = {}
