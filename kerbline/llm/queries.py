@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import packing, pieces, simhash, store, warc
+from . import packing, pieces, secrets, simhash, store, topk, warc
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op2_warc": warc.op2_warc,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op4_exact_top_k": topk.op4_exact_top_k,
     "op5_sentencepiece": pieces.op5_sentencepiece,
+    "op6_secret_scan": secrets.op6_secret_scan,
     "op7_token_store": store.op7_token_store,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_exact_top_k": topk.OP4_SQL,
+}
