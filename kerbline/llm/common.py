@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import array
 import gc
 import re
+import sys
 import tempfile
 import uuid
 from pathlib import Path
@@ -85,7 +87,7 @@ class ChunkEncoder:
     """Encodes texts through a table of distinct chunks.
 
     split(text) gives chunks whose encodings, set side by side, are the encoding of the text, or None where that
-    can't be promised; such texts go whole to encode. encode(list of str) gives a list of id lists. The table keeps
+    can't be promised; such texts go whole to encode. encode(list of str) gives each one's packed ids. The table keeps
     at most `most` chunks; rarer ones that come later are encoded once per batch, so memory is bounded and the
     result the same.
     """
@@ -95,8 +97,6 @@ class ChunkEncoder:
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
-        import numpy as np
-
         parts = [self.split(t) for t in texts]
         whole = [t for t, p in zip(texts, parts, strict=True) if p is None]
         table, seen = self.table, set()
@@ -104,8 +104,7 @@ class ChunkEncoder:
             if p is not None:
                 seen.update(p)
         new = [c for c in seen if c not in table]
-        made = self.encode(new + whole) if new or whole else []
-        packed = [np.asarray(ids, dtype="<u4").tobytes() for ids in made]
+        packed = self.encode(new + whole) if new or whole else []
         fresh = dict(zip(new, packed, strict=False))
         rest = iter(packed[len(new):])
         if len(table) + len(fresh) <= self.most:
@@ -120,6 +119,14 @@ class ChunkEncoder:
         return [next(rest) if p is None else b"".join(map(get, p)) for p in parts]
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit."""
+    a = array.array("I", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
+
+
 def slices(texts: list[str], chars: int = 2_000_000):
     """Runs of consecutive texts of about so many characters: what a task holds beside its Arrow batch."""
     run, size = [], 0

@@ -10,7 +10,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ChunkEncoder, slices
+from .common import ChunkEncoder, pack_ids, slices
 from .tokens import _file
 
 MARK = "▁"
@@ -50,7 +50,7 @@ def splittable(name: str) -> bool:
 @functools.cache
 def piece_encoder(name: str = "piece_bpe_32k.model") -> ChunkEncoder:
     sp, alone = processor(name), [processor(name).piece_to_id(MARK)]
-    encode = lambda texts: [ids if t else alone for t, ids in zip(texts, sp.encode(texts, num_threads=1), strict=True)]
+    encode = lambda texts: [pack_ids(ids if t else alone) for t, ids in zip(texts, sp.encode(texts, num_threads=1), strict=True)]
     return ChunkEncoder(marked_words, encode)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, packing, pieces, quality, secrets, simhash, store, topk, warc
+from . import lines, packing, pieces, pii, quality, secrets, simhash, store, topk, warc
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -13,11 +13,13 @@ QUERIES = {
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_token_store": store.op7_token_store,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_pii": pii.op9_pii,
     "op10_line_dedup": lines.op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_top_k": topk.OP4_SQL,
     "op8_quality_rules": quality.OP8_SQL,
+    "op9_pii": pii.op9_pii,
     "op10_line_dedup": lines.OP10_SQL,
 }

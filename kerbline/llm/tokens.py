@@ -6,7 +6,7 @@ import functools
 import os
 import re
 
-from .common import ChunkEncoder
+from .common import ChunkEncoder, pack_ids
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -21,12 +21,48 @@ def _file(name: str) -> str:
     return name if "/" in name else tokenizer_path(name)
 
 
-def _load(name: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+#: A word of Latin letters with closing punctuation. Both tokenizers split it between the two, no normal form changes
+#: the letters, and each has one lower case letter.
+_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*$%&#]*)")
 
-    t = Tokenizer.from_file(_file(name))
-    return lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+
+def _byte_letters() -> list[str]:
+    """The printable letter of each byte in byte-level vocabularies: printable Latin-1 as it is, others from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
+class _Words:
+    """Packed ids of chunks. Letters and punctuation of plain words are looked up apart and segmented by the
+    library's model once each; whatever else goes through the whole tokenizer."""
+
+    def __init__(self, name: str, lower: bool, most: int = 400_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tok, self.lower, self.most, self.known = Tokenizer.from_file(_file(name)), lower, most, {}
+        self.model, self.letters = self.tok.model, _byte_letters()
+
+    def part(self, text: str) -> bytes:
+        if (got := self.known.get(text)) is None:
+            if len(self.known) >= self.most:
+                self.known.clear()
+            seen = text if text.isascii() and text[0] != " " else "".join(map(self.letters.__getitem__, text.encode()))
+            got = self.known[text] = pack_ids([t.id for t in self.model.tokenize(seen)])
+        return got
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        out, rest = [b""] * len(texts), []
+        for i, t in enumerate(texts):
+            if m := _PLAIN.fullmatch(t):
+                head, tail = m[1].lower() if self.lower else m[1], m[2]
+                out[i] = self.part(head) + self.part(tail) if tail else self.part(head)
+            else:
+                rest.append(i)
+        for i, e in zip(rest, self.tok.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False) if rest else (), strict=True):
+            out[i] = pack_ids(e.ids)
+        return out
 
 
 #: White space for str.split() that the tokenizers' \s doesn't name.
@@ -51,9 +87,9 @@ def spaced_words(text: str) -> list[str]:
 
 @functools.cache
 def word_encoder(name: str = "word_bpe_49k.json") -> ChunkEncoder:
-    return ChunkEncoder(words, _load(name))
+    return ChunkEncoder(words, _Words(name, lower=True))
 
 
 @functools.cache
 def byte_encoder(name: str = "byte_bpe_50k.json") -> ChunkEncoder:
-    return ChunkEncoder(spaced_words, _load(name))
+    return ChunkEncoder(spaced_words, _Words(name, lower=False))
