@@ -76,6 +76,12 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def fence(df: DataFrame) -> DataFrame:
+    """df behind a generator of one row each. A filter that stands above is not moved below it, where Catalyst would
+    put the columns' expressions in the place of their names and compute them again, in lambdas for every element."""
+    return df.select(F.explode(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("__row")).select("__row.*")
+
+
 def filesystem(uri: str):
     """(file system, path) of a URI, in executors too. Any store that pyarrow knows."""
     from pyarrow import fs
