@@ -1 +1,11 @@
+"""Registered queries by theme."""
 
+import importlib
+
+THEMES = ("segments",)
+
+
+def load() -> None:
+    """Import every theme, which registers its queries."""
+    for name in THEMES:
+        importlib.import_module(f"{__name__}.{name}")
