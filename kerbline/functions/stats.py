@@ -104,6 +104,13 @@ def best_threshold(df: DataFrame, score: str, truth: str) -> DataFrame:
     return d.agg(best.alias("b")).select(F.col("b.s").alias("threshold"), "b.mcc")
 
 
+def cut_at_recall(df: DataFrame, score: str, truth: str, recall: float) -> DataFrame:
+    """One row `cut`: the highest score at or above which that share of the positives lies (Q16)."""
+    d = _running(df.where(truth), score, truth)
+    need = F.ceil(F.lit(recall) * F.sum("p").over(Window.partitionBy()))
+    return d.withColumn("need", need).where("tp >= need").agg(F.max("s").alias("cut"))
+
+
 def log_choose(n: Column, k: Column) -> Column:
     lf = lambda x: F.aggregate(F.sequence(F.lit(1), F.greatest(x, F.lit(1)).cast("int")), F.lit(0.0), lambda a, i: a + F.log(i.cast("double")))
     return lf(n) - lf(k) - lf(n - k)

@@ -2,7 +2,7 @@
 
 import importlib
 
-THEMES = ("segments",)
+THEMES = ("segments", "relational")
 
 
 def load() -> None:
