@@ -2,7 +2,7 @@
 
 import importlib
 
-THEMES = ("segments", "relational")
+THEMES = ("segments", "relational", "sequence")
 
 
 def load() -> None:

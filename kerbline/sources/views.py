@@ -3,10 +3,15 @@ engine's string type, so that a query and its counterpart start from the same ro
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+HOME = str(Path(__file__).resolve().parents[2])
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.sparkContext.environment.setdefault("PYTHONPATH", HOME)  # for workers where the package isn't installed
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
