@@ -272,3 +272,55 @@ def isotonic(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
 
     kind = df.schema[by].dataType.simpleString()
     return per.groupBy(by).applyInPandas(kernel, f"{by} {kind}, x0 double, x1 double, fit double, n double")
+
+
+def value_at_share(df: DataFrame, column: str, share: DataFrame, name: str) -> DataFrame:
+    """One row `value`: that at place floor(share * count) of the sorted column (Q7). share has one row."""
+    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)  # one row per distinct value
+    d = df.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c")).withColumn("to", F.sum("c").over(w))
+    d = d.withColumn("n", F.max("to").over(Window.partitionBy())).crossJoin(F.broadcast(share))
+    return d.where(F.col("to") > F.floor(F.col(name) * F.col("n"))).agg(F.min("v").alias("value"))
+
+
+def grouped_cv(df: DataFrame, fold: str, k: int, score: str, truth: str) -> DataFrame:
+    """(fold, n, brier_raw, brier_fit): a Platt fit on the other folds, judged on its own.
+
+    Scores are pooled by value and fold before they meet in a task.
+    """
+    per = df.groupBy(fold, F.col(score).alias("s")).agg(F.count_if(truth).alias("p"), F.count_if(~F.col(truth)).alias("q"))
+    spread = per.withColumn("held", F.explode(F.array(*map(F.lit, range(k)))))
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        held = int(pdf.held.iloc[0])
+        fit, own = pdf[pdf[fold] != held], pdf[pdf[fold] == held]
+        got = platt(np.concatenate([np.repeat(fit.s, fit.p), np.repeat(fit.s, fit.q)]), np.concatenate([np.ones(fit.p.sum()), np.zeros(fit.q.sum())])) if fit.p.sum() and fit.q.sum() else None
+        brier = lambda f: float((own.p * (f - 1) ** 2 + own.q * f**2).sum() / max(1, (own.p + own.q).sum()))
+        x = np.clip(own.s, 1e-6, 1 - 1e-6)
+        cal = 1 / (1 + np.exp(-(got[0] * np.log(x / (1 - x)) + got[1]))) if got else own.s
+        return pd.DataFrame({"fold": [held], "n": [int((own.p + own.q).sum())], "brier_raw": [brier(own.s)], "brier_fit": [brier(cal)]})
+
+    return spread.groupBy("held").applyInPandas(kernel, "fold long, n long, brier_raw double, brier_fit double")
+
+
+def leave_one_out(df: DataFrame, session: str, score: str, truth: str) -> DataFrame:
+    """(session, threshold, tp, fp, fn, tn): the best threshold of the other sessions, applied to each (Q17).
+
+    Running counts of all sessions less those of the held-out one give its threshold without refitting per session.
+    """
+    per = df.groupBy(session, F.col(score).alias("s")).agg(F.count_if(truth).alias("p"), F.count_if(~F.col(truth)).alias("n"))
+    grid = per.groupBy("s").agg(F.sum("p").alias("ap"), F.sum("n").alias("an"))
+    cross = grid.crossJoin(F.broadcast(per.select(session).distinct()))  # sessions x distinct scores
+    d = cross.join(per, [session, "s"], "left").fillna(0, ["p", "n"])
+    w = Window.partitionBy(session).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+    tot = Window.partitionBy(session)
+    d = d.withColumn("tp", F.sum(F.col("ap") - F.col("p")).over(w)).withColumn("fp", F.sum(F.col("an") - F.col("n")).over(w))
+    d = d.withColumn("np", F.sum(F.col("ap") - F.col("p")).over(tot)).withColumn("nn", F.sum(F.col("an") - F.col("n")).over(tot))
+    c = lambda x: F.col(x).cast("double")
+    d = d.withColumn("m", mcc(c("tp"), c("fp"), c("np") - c("tp"), c("nn") - c("fp")))
+    best = d.groupBy(session).agg(F.max(F.struct("m", "s")).alias("b")).select(session, F.col("b.s").alias("threshold"))
+    own = per.join(best, session)
+    hit = F.col("s") >= F.col("threshold")
+    part = lambda x, cond, n: F.sum(F.when(cond, F.col(x)).otherwise(0)).alias(n)
+    return own.groupBy(session, "threshold").agg(part("p", hit, "tp"), part("n", hit, "fp"), part("p", ~hit, "fn"), part("n", ~hit, "tn"))

@@ -2,7 +2,7 @@
 
 import importlib
 
-THEMES = ("segments", "relational", "sequence")
+THEMES = ("segments", "relational", "sequence", "text", "measures")
 
 
 def load() -> None:
