@@ -2,7 +2,7 @@
 
 import importlib
 
-THEMES = ("segments", "relational", "sequence", "text", "measures")
+THEMES = ("segments", "relational", "sequence", "text", "measures", "streams")
 
 
 def load() -> None:
