@@ -89,40 +89,36 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri) if re.match(r"[a-z0-9]+:/", uri) else (fs.LocalFileSystem(), uri)
 
 
+class _Chunks(dict):
+    """Packed ids by chunk, made when first asked for and kept while there is room."""
+
+    def __init__(self, encode, most: int):
+        super().__init__()
+        self.encode, self.most = encode, most
+
+    def __missing__(self, chunk: str) -> bytes:
+        got = self.encode(chunk)
+        if len(self) < self.most:
+            self[chunk] = got
+        return got
+
+
 class ChunkEncoder:
     """Encodes texts through a table of distinct chunks.
 
     split(text) gives chunks whose encodings, set side by side, are the encoding of the text, or None where that
-    can't be promised; such texts go whole to encode. encode(list of str) gives each one's packed ids. The table keeps
-    at most `most` chunks; rarer ones that come later are encoded once per batch, so memory is bounded and the
-    result the same.
+    can't be promised; such texts go whole to whole(text). encode(chunk) gives its packed ids. The table keeps at
+    most `most` chunks, the first ones met, frequent ones among them; others are encoded again, so memory is bounded
+    and the result the same.
     """
 
-    def __init__(self, split, encode, most: int = 600_000):
-        self.split, self.encode, self.most, self.table = split, encode, most, {}
+    def __init__(self, split, encode, whole, most: int = 400_000):
+        self.split, self.encode, self.whole, self.table = split, encode, whole, _Chunks(encode, most)
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
-        parts = [self.split(t) for t in texts]
-        whole = [t for t, p in zip(texts, parts, strict=True) if p is None]
-        table, seen = self.table, set()
-        for p in parts:
-            if p is not None:
-                seen.update(p)
-        new = [c for c in seen if c not in table]
-        packed = self.encode(new + whole) if new or whole else []
-        fresh = dict(zip(new, packed, strict=False))
-        rest = iter(packed[len(new):])
-        if len(table) + len(fresh) <= self.most:
-            table.update(fresh)
-            look = table
-        else:
-            look = {c: table[c] if c in table else fresh[c] for c in seen}
-            room = self.most - len(table)
-            if room > 0:
-                table.update(dict(list(fresh.items())[:room]))
-        get = look.__getitem__
-        return [next(rest) if p is None else b"".join(map(get, p)) for p in parts]
+        get = self.table.__getitem__
+        return [self.whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, map(self.split, texts), strict=True)]
 
 
 def pack_ids(ids: list[int]) -> bytes:

@@ -50,8 +50,8 @@ def splittable(name: str) -> bool:
 @functools.cache
 def piece_encoder(name: str = "piece_bpe_32k.model") -> ChunkEncoder:
     sp, alone = processor(name), [processor(name).piece_to_id(MARK)]
-    encode = lambda texts: [pack_ids(ids if t else alone) for t, ids in zip(texts, sp.encode(texts, num_threads=1), strict=True)]
-    return ChunkEncoder(marked_words, encode)
+    encode = lambda word: pack_ids(sp.encode(word) if word else alone)
+    return ChunkEncoder(marked_words, encode, lambda text: pack_ids(sp.encode(text)))
 
 
 def _encode(batches, model: str, end: bool):

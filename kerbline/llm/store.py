@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, filesystem, slices
 from .tokens import byte_encoder
 
-#: File format. A pack is PACK and then chunks of little-endian unsigned 32-bit ids; a recipe file is RECIPE and then
-#: per document: id, number of ids, number of chunks, Merkle root, chunk digests.
+#: File format. A pack is PACK and then chunks of little-endian unsigned ids of 2 bytes where all ids of the tokenizer fit,
+#: else of 4; a recipe file is RECIPE and then per document: id, number of ids, number of chunks, Merkle root, digests.
+#: Digests are of the stored bytes.
 PACK, RECIPE, HEAD, DIGEST = b"KLPACK1\n", b"KLRECP1\n", struct.Struct("<qqI16s"), 16
 NO_ID = -(1 << 63)
 #: Ids in a chunk: at least, a cut on average each (a power of two), at most.
@@ -49,9 +50,10 @@ def cuts(ids) -> list[int]:
     n, out, at = len(ids), [], 0
     if n > LEAST:
         g = _gear()[ids & 0xFFFF] ^ (ids.astype(np.uint64) >> np.uint64(16))
-        h = np.zeros(n, dtype=np.uint64)
-        for j in range(WINDOW):
-            h[j:] += g[: n - j] << np.uint64(j)
+        h, j = g, 1  # sum of the last WINDOW values, each shifted by its age, by doubling
+        while j < WINDOW:
+            h, last, j = h.copy(), h, 2 * j
+            h[j // 2 :] += last[: n - j // 2] << np.uint64(j // 2)
         for p in (np.flatnonzero(h >> np.uint64(64 - (MEAN.bit_length() - 1)) == 0) + 1).tolist():
             while p - at > MOST:
                 at += MOST
@@ -90,12 +92,18 @@ class _Packs:
             self.out = None
 
 
+@functools.cache
+def id_bytes(tokenizer: str, end: int) -> int:
+    """Bytes that every id of a tokenizer fits in."""
+    return 2 if max(byte_encoder(tokenizer).encode.tok.get_vocab_size(), end + 1) <= 1 << 16 else 4
+
+
 def _stage(batches, tokenizer: str, end: int, folder: str, most: int):
     """A row per document with its recipe, and a row per chunk that is new to this task with its place."""
     import numpy as np
     import pyarrow as pa
 
-    enc, packs, known = byte_encoder(tokenizer), _Packs(folder, most), set()
+    enc, packs, known, kind = byte_encoder(tokenizer), _Packs(folder, most), set(), f"<u{id_bytes(tokenizer, end)}"
     tail = np.array([end], dtype="<u4").tobytes()
     kinds = [("doc_id", pa.int64()), ("n", pa.int64()), ("recipe", pa.binary()), ("digest", pa.binary()), ("path", pa.string()), ("offset", pa.int64())]
     for b in batches:
@@ -104,18 +112,19 @@ def _stage(batches, tokenizer: str, end: int, folder: str, most: int):
             rows = []
             for data in enc.batch(run):
                 data, recipe, at = data + tail, [], 0
-                for to in cuts(np.frombuffer(data, dtype="<u4")):
-                    chunk, at = data[4 * at : 4 * to], to
+                ids = np.frombuffer(data, dtype="<u4")
+                for to in cuts(ids):
+                    chunk, size, at = ids[at:to].astype(kind).tobytes(), to - at, to
                     recipe.append(d := digest(chunk))
                     if d not in known:
                         known.add(d)
-                        rows.append((None, len(chunk) // 4, None, d, *packs.add(chunk)))
+                        rows.append((None, size, None, d, *packs.add(chunk)))
                 rows.append((next(doc), len(data) // 4, b"".join(recipe), None, None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], names=[k for k, _ in kinds])
     packs.close()
 
 
-def _compact(batches, folder: str, most: int):
+def _compact(batches, folder: str, most: int, width: int):
     """Copies the chunks that stay into final packs, in the order of the file that held them."""
     import pyarrow as pa
 
@@ -126,7 +135,7 @@ def _compact(batches, folder: str, most: int):
             with fs.open_input_file(at) as f:
                 data = f.read()
             for k in sorted(keep, key=lambda k: k["offset"]):
-                chunk = data[k["offset"] : k["offset"] + 4 * k["n"]]
+                chunk = data[k["offset"] : k["offset"] + width * k["n"]]
                 if digest(chunk) != k["digest"]:
                     raise ValueError(f"a chunk of {path} doesn't have its digest")
                 rows.append((k["digest"], *packs.add(chunk), k["n"]))
@@ -156,6 +165,11 @@ def _recipes(batches, folder: str):
         yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [f"{folder}/{name}"], "docs": [docs], "tokens": [tokens], "root": [merkle(roots)]})
 
 
+def _width(scratch: Scratch) -> int:
+    """Tasks for steps whose rows are few and whose work is large: file sizes don't show in their shuffle."""
+    return max(1, 4 * scratch.spark.sparkContext.defaultParallelism)
+
+
 def write_store(docs: DataFrame, scratch: Scratch, tokenizer: str = "byte_bpe_50k.json", end: int = 2, pack_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Writes the store; returns (index, manifest).
 
@@ -171,8 +185,8 @@ def write_store(docs: DataFrame, scratch: Scratch, tokenizer: str = "byte_bpe_50
         d.mapInArrow(partial(_stage, tokenizer=tokenizer, end=end, folder=scratch.path("staging"), most=pack_bytes), "doc_id long, n long, recipe binary, digest binary, path string, offset long"), "staged"
     )
     owned = staged.where("digest is not null").groupBy("digest").agg(F.min(F.struct("path", "offset", "n")).alias("at"))
-    packs = owned.select("digest", "at.*").groupBy("path").agg(F.collect_list(F.struct("offset", "n", "digest")).alias("keep"))
-    index = scratch.save(packs.mapInArrow(partial(_compact, folder=scratch.path("packs"), most=pack_bytes), "digest binary, path string, offset long, n long"), "index")
+    packs = owned.select("digest", "at.*").groupBy("path").agg(F.collect_list(F.struct("offset", "n", "digest")).alias("keep")).repartition(_width(scratch))
+    index = scratch.save(packs.mapInArrow(partial(_compact, folder=scratch.path("packs"), most=pack_bytes, width=id_bytes(tokenizer, end)), "digest binary, path string, offset long, n long"), "index")
     scratch.drop("staging")
     rows = staged.where("digest is null").select("doc_id", "n", "recipe").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     parts = scratch.save(rows.mapInArrow(partial(_recipes, folder=scratch.path("recipes")), "part int, path string, docs long, tokens long, root binary"), "parts")
@@ -227,7 +241,8 @@ class _Blocks:
         return data[at - a * self.size : at - a * self.size + n]
 
 
-def _rebuild(batches):
+def _rebuild(batches, width: int):
+    import numpy as np
     import pyarrow as pa
 
     blocks, names = _Blocks(), ["doc_id", "start", "n_tokens", "ids"]
@@ -236,10 +251,10 @@ def _rebuild(batches):
         rows, held = [], 0
         for doc, start, n, root, chunks in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
             chunks.sort(key=lambda c: c["seq"])
-            data = [blocks.get(c["path"], c["offset"], 4 * c["n"]) for c in chunks]
-            if merkle([digest(x) for x in data]) != root or sum(map(len, data)) != 4 * n:
+            data = [blocks.get(c["path"], c["offset"], width * c["n"]) for c in chunks]
+            if merkle([digest(x) for x in data]) != root or sum(map(len, data)) != width * n:
                 raise ValueError(f"document {doc} isn't what its recipe says")
-            rows.append((doc, start, n, b"".join(data)))
+            rows.append((doc, start, n, np.frombuffer(b"".join(data), dtype=f"<u{width}").astype("<u4").tobytes()))
             held += 4 * n
             if held > 8 << 20:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
@@ -248,17 +263,16 @@ def _rebuild(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
-def read_store(index: DataFrame, manifest: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) per document from the files. Chunk references find their place by an equi join
-    on the digest; documents are then read in the order of their first chunk's place. Every Merkle root is checked."""
-    wide = max(1, 4 * scratch.spark.sparkContext.defaultParallelism)
-    refs = manifest.select("path", "base", "root").repartition(wide).mapInArrow(_lookup, "doc_id long, start long, n_tokens long, root binary, seq int, digest binary")
-    found = refs.join(index, "digest").groupBy("start").agg(
+def read_store(index: DataFrame, manifest: DataFrame, scratch: Scratch, width: int = 2) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) per document from the files, ids little-endian unsigned 32-bit; width: id_bytes(). Chunk references find their place by an equi join
+    on the digest, never a broadcast, whatever size Spark takes the references to have; documents are then read in the order of their first chunk's place. Every Merkle root is checked."""
+    refs = manifest.select("path", "base", "root").repartition(_width(scratch)).mapInArrow(_lookup, "doc_id long, start long, n_tokens long, root binary, seq int, digest binary")
+    found = refs.join(index.hint("merge"), "digest").groupBy("start").agg(
         F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.first("root").alias("root"), F.collect_list(F.struct("seq", "path", "offset", "n")).alias("chunks")
     )
     found = scratch.save(found.withColumn("at", F.array_min(F.transform("chunks", lambda c: F.struct(c.path.alias("path"), c.offset.alias("offset"))))), "found")
     near = found.repartitionByRange("at.path", "at.offset").sortWithinPartitions("at.path", "at.offset")
-    return near.select("doc_id", "start", "n_tokens", "root", "chunks").mapInArrow(_rebuild, "doc_id long, start long, n_tokens long, ids binary")
+    return near.select("doc_id", "start", "n_tokens", "root", "chunks").mapInArrow(partial(_rebuild, width=width), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

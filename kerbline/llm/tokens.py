@@ -23,7 +23,9 @@ def _file(name: str) -> str:
 
 #: A word of Latin letters with closing punctuation. Both tokenizers split it between the two, no normal form changes
 #: the letters, and each has one lower case letter.
-_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*$%&#]*)")
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*$%&#]*)")
+#: Stands before a chunk that has no blank of its own in front.
+AS_IS = "\0"
 
 
 def _byte_letters() -> list[str]:
@@ -37,59 +39,65 @@ class _Words:
     """Packed ids of chunks. Letters and punctuation of plain words are looked up apart and segmented by the
     library's model once each; whatever else goes through the whole tokenizer."""
 
-    def __init__(self, name: str, lower: bool, most: int = 400_000):
+    def __init__(self, name: str, lower: bool, blank: str = "", most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.lower, self.most, self.known = Tokenizer.from_file(_file(name)), lower, most, {}
+        self.tok, self.lower, self.blank, self.most, self.known = Tokenizer.from_file(_file(name)), lower, blank, most, {}
         self.model, self.letters = self.tok.model, _byte_letters()
 
     def part(self, text: str) -> bytes:
         if (got := self.known.get(text)) is None:
             if len(self.known) >= self.most:
                 self.known.clear()
-            seen = text if text.isascii() and text[0] != " " else "".join(map(self.letters.__getitem__, text.encode()))
+            if text.isascii():  # letters and punctuation stand for themselves
+                seen = text if text[0] != " " else self.letters[32] + text[1:]
+            else:
+                seen = "".join(map(self.letters.__getitem__, text.encode()))
             got = self.known[text] = pack_ids([t.id for t in self.model.tokenize(seen)])
         return got
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        out, rest = [b""] * len(texts), []
-        for i, t in enumerate(texts):
-            if m := _PLAIN.fullmatch(t):
-                head, tail = m[1].lower() if self.lower else m[1], m[2]
-                out[i] = self.part(head) + self.part(tail) if tail else self.part(head)
-            else:
-                rest.append(i)
-        for i, e in zip(rest, self.tok.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False) if rest else (), strict=True):
-            out[i] = pack_ids(e.ids)
-        return out
+    def whole(self, text: str) -> bytes:
+        return pack_ids(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+
+    def __call__(self, chunk: str) -> bytes:
+        blank, text = ("", chunk[1:]) if chunk[0] == AS_IS else (self.blank, chunk)
+        if m := _PLAIN.fullmatch(text):
+            head, tail = blank + (m[1].lower() if self.lower else m[1]), m[2]
+            return self.part(head) + self.part(tail) if tail else self.part(head)
+        return self.whole(blank + text)
 
 
 #: White space for str.split() that the tokenizers' \s doesn't name.
 _ODD = re.compile("[\x1c-\x1f]")
 #: A single space between two other characters: no word-level pattern reaches across the place before it.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+_NEWLINE = f" {AS_IS}\n {AS_IS}"
 _RUN = re.compile(r"\s\s")
 
 
 def words(text: str) -> list[str] | None:
     """Chunks for a tokenizer that drops white space."""
-    return None if _ODD.search(text) else text.split()
+    return None if _ODD.search(text) or AS_IS in text else text.split()
 
 
-def spaced_words(text: str) -> list[str]:
-    """Chunks for a byte-level tokenizer: each keeps the one space before it; longer white space stays inside a chunk."""
+def spaced_words(text: str) -> list[str] | None:
+    """Chunks for a byte-level tokenizer: each is written without the one space before it, or with AS_IS where there is
+    none. A single newline between two other characters is a chunk; longer white space stays inside one."""
+    if AS_IS in text:
+        return None
     if _RUN.search(text) or not text or text[0].isspace() or text[-1].isspace():
-        return _CUT.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + w for w in rest]]
+        return [c[1:] if c[0] == " " and not c[1:2].isspace() and len(c) > 1 else AS_IS + c for c in _CUT.split(text) if c]
+    return f"{AS_IS}{text.replace(chr(10), _NEWLINE)}".split(" ")
 
 
 @functools.cache
 def word_encoder(name: str = "word_bpe_49k.json") -> ChunkEncoder:
-    return ChunkEncoder(words, _Words(name, lower=True))
+    w = _Words(name, lower=True)
+    return ChunkEncoder(words, w, w.whole)
 
 
 @functools.cache
 def byte_encoder(name: str = "byte_bpe_50k.json") -> ChunkEncoder:
-    return ChunkEncoder(spaced_words, _Words(name, lower=False))
+    w = _Words(name, lower=False, blank=" ")
+    return ChunkEncoder(spaced_words, w, w.whole)
