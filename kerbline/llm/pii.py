@@ -9,6 +9,8 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fence
+
 KINDS = ("email", "ip", "card", "phone", "other")
 
 #: Base patterns. Possessive where nothing that follows could use what backtracking gives up, so that long runs of
@@ -245,7 +247,7 @@ def find(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_
     first = lambda acc, c: F.when(F.coalesce(F.element_at(F.slice(acc, -1, 1), 1)["end"], F.lit(0)) <= c["start"], F.array_append(acc, c)).otherwise(acc)
     empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     more = F.when(F.size("more") > 1, F.aggregate("more", empty, lambda acc, c: F.when(F.size(acc) == 0, F.array(c)).otherwise(first(acc, c)))).otherwise(F.col("more"))
-    return d.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "base", more.alias("more"))
+    return fence(d.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "base", more.alias("more")))
 
 
 def span_text(column: Column) -> Column:

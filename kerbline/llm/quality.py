@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import fence, let
 
 BLANK = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -106,7 +106,7 @@ def ledger(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
     d = d.select(*names, "n_words", "word_chars", "n_symbols", F.col("lines.n").alias("n_lines"), F.col("lines.dup").alias("n_dup_lines"), "n_repeat_words", "n_upper", "n_letters", "n_exclamations")
     bits = " + ".join(f"if({rule}, {1 << i}, 0)" for i, rule in enumerate(RULES.values()))
     d = d.withColumn("fail_bits", F.expr(bits))
-    return d.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], *measures)
+    return fence(d.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], *measures))
 
 
 def verdict(policy: str = "v1") -> Column:

@@ -20,6 +20,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_top_k": topk.OP4_SQL,
     "op8_quality_rules": quality.OP8_SQL,
-    "op9_pii": pii.op9_pii,
     "op10_line_dedup": lines.OP10_SQL,
 }
