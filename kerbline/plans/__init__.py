@@ -2,7 +2,7 @@
 
 import importlib
 
-THEMES = ("segments", "relational", "sequence", "text", "measures", "streams")
+THEMES = ("segments", "relational", "sequence", "text", "measures", "streams", "reports")
 
 
 def load() -> None:
