@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc": warc.OP2_SQL,
     "op4_exact_top_k": topk.OP4_SQL,
     "op8_quality_rules": quality.OP8_SQL,
     "op10_line_dedup": lines.OP10_SQL,
