@@ -30,10 +30,11 @@ def edge_bin(x: Column, edges: list[float]) -> Column:
 
 
 def index_edges(df: DataFrame, column: str, n: int) -> DataFrame:
-    """One row: values at places floor(count * j / n) of the sorted column (A27). Places are ranks of a range-sorted
-    table: each partition counts, the counts' running sum gives offsets, so nothing is sorted in one task."""
+    """One row: values at places floor(count * j / n) of the sorted column (A27). Places are ranks in a
+    table of distinct values in buckets of magnitude: bucket counts' running sum gives offsets, and only a bucket's
+    distinct values are sorted together."""
     s = df.select(F.col(column).alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("c"))
-    s = s.withColumn("b", F.floor(F.log(F.greatest(F.abs("v"), F.lit(1e-300))) * F.signum("v") * 64))
+    s = s.withColumn("b", F.floor(F.signum("v") * F.log1p(F.abs("v") * 1e6) * 16))
     per = s.groupBy("b").agg(F.sum("c").alias("t"))
     w = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # one row per distinct magnitude bucket
     per = per.withColumn("before", F.coalesce(F.sum("t").over(w), F.lit(0))).withColumn("n", F.sum("t").over(Window.partitionBy()))

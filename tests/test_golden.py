@@ -209,3 +209,9 @@ def test_inbox_and_back_off():
     assert i.next(10) == "b"
     i.look({"b": "1"}, 20)
     assert i.state["a"] == "failed" and [back_off(n) for n in (1, 2, 9)] == [5, 10, 300]
+
+
+def test_index_edges_of_mixed_signs(spark):
+    v = [-5.0, -0.5, -0.5, 0.0, 0.25, 0.5, 1.0, 3.0, 1e6]
+    got = stats.index_edges(spark.createDataFrame([(x,) for x in v], "v double"), "v", 3).first().edges
+    assert got == [sorted(v)[len(v) * j // 3] for j in (1, 2)]
