@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, fence
 from .quality import BLANK, BLANKS, words
 
 #: Lines of fewer words are left alone: headings and list items repeat by nature.
@@ -14,7 +14,9 @@ MIN_WORDS = 8
 
 def normal(line: Column) -> Column:
     """Words joined by single spaces."""
-    return F.regexp_replace(F.btrim(line, F.lit(BLANKS)), BLANK, " ")
+    t = F.btrim(line, F.lit(BLANKS))
+    odd = F.contains(t, F.lit("  ")) | F.contains(t, F.lit("\t")) | F.contains(t, F.lit("\r")) | F.contains(t, F.lit("\x0b")) | F.contains(t, F.lit("\x0c"))
+    return F.when(odd, F.regexp_replace(t, BLANK, " ")).otherwise(t)
 
 
 def _hashes(s: Column) -> list[Column]:
@@ -26,7 +28,7 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, min_words: int) ->
     """(doc_id, line_no, s, n) of the lines that take part."""
     d = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("line_no", "line"))
     d = d.select("doc_id", "line_no", normal(F.col("line")).alias("s"))
-    d = d.select("*", (F.length("s") - F.length(F.replace("s", F.lit(" "), F.lit(""))) + 1).alias("n"))
+    d = fence(d.select("*", (F.octet_length("s") - F.octet_length(F.replace("s", F.lit(" "), F.lit(""))) + 1).alias("n")))
     return d.where((F.col("n") >= min_words) & (F.col("s") != ""))
 
 
@@ -34,31 +36,46 @@ def _halves(s: Column, n: Column) -> Column:
     """Keys of which two lines within one word of each other share at least one.
 
     Let t be the shorter line's words and k = t div 2. If the change stands at word k or later the first k words are
-    equal, else the last k are. A line of n words meets partners with t = n and t = n - 1.
+    equal, else the last k are. A line of n words meets partners with t = n and t = n - 1. The lowest bit of a key
+    tells first (0) from last (1).
     """
-    ks = F.array_distinct(F.array(F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")))
     side = lambda k: F.call_function("substring_index", s, F.lit(" "), k)
-    key = lambda k: F.array(F.xxhash64(F.lit("p"), k, side(k)), F.xxhash64(F.lit("s"), k, side(-k)))
-    return F.flatten(F.transform(ks, key))
 
+    def pair(k: Column) -> list[Column]:
+        first = F.xxhash64(F.lit("p"), k, side(k)).bitwiseAND(F.lit(-2))
+        last = F.xxhash64(F.lit("s"), k, side(-k)).bitwiseOR(F.lit(1))
+        return [first, last]
 
-def _variants() -> Column:
-    """Keys of the deletion neighbourhood of bound one of the words w: the line itself and the line without word i.
+    k, j = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
+    return F.array_compact(F.array(*pair(k), *[F.when(k != j, c) for c in pair(j)]))
 
-    An equal 'd' key of a whole line and a shortened one means an insertion; an equal 's' key, which holds the
-    place, means a substitution.
+
+#: Kinds of variants: the whole line, the line without a word, the line with a word left open.
+WHOLE, SHORT, OPEN = 0, 1, 2
+
+
+def _chain(w: Column) -> Column:
+    """Running hashes of the first 0, 1, 2, .. words."""
+    return F.aggregate(w, F.array(F.lit(7).cast("long")), lambda acc, x: F.array_append(acc, F.xxhash64(F.element_at(acc, -1), x)))
+
+
+def _variants(n: Column, lo: Column, hi: Column) -> Column:
+    """Keys of the deletion neighbourhood of bound one, from running hashes p of the first words and r of the last.
+
+    The line without word i is named by i and the hashes of what stands before and after. It equals a shorter line's
+    key at split i if that line is what is left (an insertion), and, under another seed, the key of a line that
+    differs in word i alone (a substitution). Words outside lo..hi are known to be equal in every partner.
     """
-    w = F.col("w")
-    whole = F.struct(F.lit("d").alias("kind"), F.lit(False).alias("cut"), F.xxhash64(F.lit("d"), w).alias("key"), F.xxhash64(F.lit("e"), w).alias("key2"))
+    p, r = F.col("p"), F.col("r")
+    one = lambda t, key: F.struct(F.lit(t).alias("t"), key.alias("key"))
 
-    def shortened(i: Column) -> Column:
-        left = F.concat(F.slice(w, F.lit(1), i), F.slice(w, i + 2, F.size(w)))
-        return F.array(
-            F.struct(F.lit("d").alias("kind"), F.lit(True).alias("cut"), F.xxhash64(F.lit("d"), left).alias("key"), F.xxhash64(F.lit("e"), left).alias("key2")),
-            F.struct(F.lit("s").alias("kind"), F.lit(True).alias("cut"), F.xxhash64(F.lit("s"), i, left).alias("key"), F.xxhash64(F.lit("t"), i, left).alias("key2")),
-        )
+    def at(i: Column) -> Column:
+        short = one(SHORT, F.xxhash64(F.lit("d"), i, n - 1, F.get(p, i), F.get(r, n - 1 - i)))
+        open_ = one(OPEN, F.xxhash64(F.lit("s"), i, n, F.get(p, i), F.get(r, n - 1 - i)))
+        whole = one(WHOLE, F.xxhash64(F.lit("d"), i, n, F.get(p, i), F.get(r, n - i)))
+        return F.when(i < n, F.array(short, open_, whole)).otherwise(F.array(whole))
 
-    return F.concat(F.array(whole), F.flatten(F.transform(F.sequence(F.lit(0), F.size(w) - 1), shortened)))
+    return F.flatten(F.transform(F.sequence(lo, hi), at))
 
 
 def within_one(a: str = "a", b: str = "b") -> Column:
@@ -77,24 +94,32 @@ def near_bounds(distinct: DataFrame, docs: DataFrame, scratch: Scratch, id_col:
     Only lines that share a half with another one get their deletion neighbourhood, which loses none. A bucket of
     equal variants links each member to the bucket's earliest, never all pairs.
     """
-    keyed = distinct.select("h1", "h2", "first", F.explode("halves").alias("key"))
+    keyed = distinct.select("first", F.explode("halves").alias("key"))
     shared = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "shared")
-    likely = scratch.save(keyed.join(shared, "key", "left_semi").select("first.doc_id", "first.line_no").distinct(), "likely")
-    at = likely.groupBy("doc_id").agg(F.collect_set("line_no").alias("at"))
+    side = F.col("key").bitwiseAND(F.lit(1)) == 0
+    likely = keyed.join(shared, "key", "left_semi").groupBy("first").agg(F.bool_or(side).alias("head"), F.bool_or(~side).alias("tail"))
+    at = likely.groupBy("first.doc_id").agg(F.map_from_entries(F.collect_list(F.struct("first.line_no", F.struct("head", "tail")))).alias("at"))
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).join(at, "doc_id")
-    lines = text.select("doc_id", "at", F.posexplode(F.split("t", "\n")).alias("line_no", "line")).where(F.array_contains("at", F.col("line_no")))
-    lines = lines.select("doc_id", "line_no", normal(F.col("line")).alias("s")).select(F.struct("doc_id", "line_no").alias("first"), *_hashes(F.col("s")), words(F.col("s")).alias("w"))
-    lines = scratch.save(lines.where(F.size("w") >= min_words).dropDuplicates(["h1", "h2"]), "lines")
-    v = scratch.save(lines.select("h1", "h2", "first", F.explode(_variants()).alias("v")).select("h1", "h2", "first", "v.*"), "variants")
-    me = F.struct("first", "h1", "h2")
-    low = v.groupBy("kind", "key", "key2").agg(F.min(F.when(~F.col("cut"), me)).alias("whole"), F.min(F.when(F.col("cut"), me)).alias("short"), F.count("*").alias("c")).where("c > 1")
-    pairs = v.join(low.drop("c"), ["kind", "key", "key2"])
-    other = F.when(F.col("kind") == "s", F.col("short")).when(F.col("cut"), F.col("whole")).otherwise(F.col("short"))
-    pairs = pairs.select("h1", "h2", "first", other.alias("o")).where("o is not null and o.first < first")
-    pairs = scratch.save(pairs.select("h1", "h2", F.col("o.first").alias("bound"), F.col("o.h1").alias("g1"), F.col("o.h2").alias("g2")).distinct(), "pairs")
+    lines = text.select("doc_id", "at", F.posexplode(F.split("t", "\n")).alias("line_no", "line"))
+    lines = lines.select("doc_id", "line_no", F.try_element_at("at", F.col("line_no")).alias("at"), "line").where("at is not null")
+    lines = fence(lines.select("doc_id", "line_no", "at", words(F.col("line")).alias("w"))).where(F.size("w") >= min_words)
+    lines = scratch.save(lines.groupBy("doc_id", "line_no").agg(F.first("at").alias("at"), F.min("w").alias("w")), "lines")
+    n = F.size("w")
+    k = F.floor((n - 1) / 2).cast("int")
+    v = lines.select("doc_id", "line_no", n.alias("n"), F.when(~F.col("at.tail"), k).otherwise(0).alias("lo"), F.when(~F.col("at.head"), n - k).otherwise(n).alias("hi"), _chain(F.col("w")).alias("p"), _chain(F.reverse("w")).alias("r"))
+    v = v.select("doc_id", "line_no", F.explode(_variants(F.col("n"), F.col("lo"), F.col("hi"))).alias("v"))
+    v = scratch.save(v.select("doc_id", "line_no", "v.t", "v.key"), "variants")
+    me, whole = F.struct("doc_id", "line_no"), F.col("t") == WHOLE
+    low = v.groupBy("key").agg(F.min(F.when(whole, me)).alias("whole"), F.min(F.when(~whole, me)).alias("short"), F.count("*").alias("c")).where("c > 1")
+    other = F.when(F.col("t") == SHORT, F.col("whole")).otherwise(F.col("short"))
+    pairs = v.join(low.drop("c"), "key").select("doc_id", "line_no", other.alias("o")).where(F.col("o").isNotNull() & (F.col("o") < me))
+    pairs = scratch.save(pairs.select("doc_id", "line_no", F.col("o.doc_id").alias("doc_b"), F.col("o.line_no").alias("line_b")).distinct(), "pairs")
     scratch.drop("variants")
-    pairs = pairs.join(lines.select("h1", "h2", F.col("w").alias("a")), ["h1", "h2"]).join(lines.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("w").alias("b")), ["g1", "g2"])
-    return pairs.where(within_one()).groupBy("h1", "h2").agg(F.min("bound").alias("bound"))
+    a = lines.select("doc_id", "line_no", F.col("w").alias("a"))
+    b = lines.select(F.col("doc_id").alias("doc_b"), F.col("line_no").alias("line_b"), F.col("w").alias("b"))
+    found = pairs.join(a, ["doc_id", "line_no"]).join(b, ["doc_b", "line_b"]).where(within_one())
+    found = found.groupBy(me.alias("first")).agg(F.min(F.struct(F.col("doc_b").alias("doc_id"), F.col("line_b").alias("line_no"))).alias("bound"))
+    return distinct.select("h1", "h2", "first").join(found, "first").select("h1", "h2", "bound")
 
 
 def dedup_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, counts: bool = False) -> DataFrame:
@@ -120,14 +145,16 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     gone = scratch.save(gone.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "h1")).alias("gone")), "gone")
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"))
     row = row.join(gone, "doc_id", "left")
-    lines = F.split(F.col(f"row.`{text_col}`").cast("string"), "\n")
+    text = F.col(f"row.`{text_col}`")
     stays = lambda x, i: ~F.array_contains("gone", F.struct(i.alias("line_no"), F.xxhash64(normal(x)).alias("h1")))
-    left = F.when(F.col("gone").isNull(), lines).otherwise(F.filter(lines, stays))
-    row = row.select("row", F.when(F.col("gone").isNull(), F.col(f"row.`{text_col}`")).otherwise(F.array_join(left, "\n")).alias("t"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n"), F.when(F.col("gone").isNull(), F.size(lines)).otherwise(F.size(left)).alias("m"))
+    left = F.when(F.col("gone").isNotNull(), F.filter(F.split(text.cast("string"), "\n"), stays))
+    row = row.select("row", left.alias("left"))
+    n = F.coalesce(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    row = row.select("row", F.when(F.col("left").isNull(), text).otherwise(F.array_join("left", "\n")).alias("t"), *([n.alias("n"), F.size("left").alias("m")] if counts else []))
     fresh = {text_col: F.col("t"), "n_chars": F.length("t").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     out = [fresh[c].alias(c) if c in fresh else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     if counts:
-        out += [F.col("n").alias("n_lines"), (F.col("n") - F.greatest("m", F.lit(0))).cast("long").alias("n_removed")]
+        out += [F.col("n").alias("n_lines"), F.when(F.col("m") >= 0, F.col("n") - F.col("m")).otherwise(0).cast("long").alias("n_removed")]
     return row.select(*out)
 
 
