@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import array
+import atexit
+import contextlib
 import gc
 import re
 import sys
@@ -21,7 +23,8 @@ PACKAGE_HOME = str(Path(__file__).resolve().parents[2])
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where the session names none."""
     sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
+    set_ = sc._jsc.sc().getCheckpointDir()
+    at = sc.getConf().get("spark.checkpoint.dir") or (set_.get() if set_.isDefined() else None)
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="kerbline-")
         sc.setCheckpointDir(at)
@@ -37,6 +40,12 @@ class Scratch:
         spark.sparkContext.environment.setdefault("PYTHONPATH", PACKAGE_HOME)
         self.root = f"{shared_dir(spark)}/kerbline/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        atexit.register(self._leave)
+
+    def _leave(self) -> None:
+        """Results read these tables for as long as the program runs; after that nobody does."""
+        with contextlib.suppress(Exception):
+            self.clear()
 
     def path(self, name: str) -> str:
         self._n += 1
