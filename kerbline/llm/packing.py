@@ -175,7 +175,7 @@ def pack(docs: DataFrame, scratch: Scratch, tokenizer: str = "word_bpe_49k.json"
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     keep = ["doc_id", "piece", "start", "length", *columns]
-    numbered = stored.selectExpr("task", "k", *keep).join(base, ["length", "task"])
+    numbered = stored.selectExpr("task", "k", *keep).join(base.hint("merge"), ["length", "task"])  # grows with the tasks, so never a broadcast
     numbered = numbered.select(*[F.col(c.split(" AS ")[-1]) for c in keep], (F.col("base") + F.col("k")).alias("i"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema.fields if f.name != "i")
     return numbered.mapInArrow(partial(_place, rows=rows), f"{schema}, sequence_id long, offset long")
