@@ -34,7 +34,7 @@ def index_edges(df: DataFrame, column: str, n: int) -> DataFrame:
     table of distinct values in buckets of magnitude: bucket counts' running sum gives offsets, and only a bucket's
     distinct values are sorted together."""
     s = df.select(F.col(column).alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("c"))
-    s = s.withColumn("b", F.floor(F.signum("v") * F.log1p(F.abs("v") * 1e6) * 16))
+    s = s.withColumn("b", magnitude(F.col("v")))
     per = s.groupBy("b").agg(F.sum("c").alias("t"))
     w = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # one row per distinct magnitude bucket
     per = per.withColumn("before", F.coalesce(F.sum("t").over(w), F.lit(0))).withColumn("n", F.sum("t").over(Window.partitionBy()))
@@ -155,13 +155,30 @@ def errors(df: DataFrame, x: str, y: str) -> DataFrame:
     return s.withColumn("lower", F.col("bias") - 1.96 * F.col("sd")).withColumn("upper", F.col("bias") + 1.96 * F.col("sd"))
 
 
-def spearman(df: DataFrame, x: str, y: str, *ties: str) -> DataFrame:
-    """Correlation of ordinal ranks, ties by the columns named.
+def magnitude(c: Column) -> Column:
+    """A bucket that grows with the value: 16 to a factor of e, at most some 23,000 for all doubles."""
+    return F.floor(F.signum(c) * F.log1p(F.abs(c) * 1e6) * 16)
+
+
+def ordinal_rank(df: DataFrame, column: str, name: str, *ties: str) -> DataFrame:
+    """df with the 1-based rank of a number among all rows, ties by the columns named.
 
-    Ranks come from distinct values with counts, so what a single task sorts is the distinct values of a column.
+    Rows are numbered within buckets of magnitude and shifted by the counts of the buckets below, so one task sorts
+    one bucket and not the table; the table of buckets has a bound, so it is broadcast. A value that very many rows
+    share stays in one bucket, as its ties must be put in order.
     """
-    w = lambda c: Window.orderBy(c, *ties)
-    return df.withColumn("__x", F.row_number().over(w(x))).withColumn("__y", F.row_number().over(w(y))).agg(F.corr("__x", "__y").alias("rho"))
+    d = df.withColumn("__b", magnitude(F.col(column)))
+    per = d.groupBy("__b").agg(F.count("*").alias("__n"))
+    w = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("__b", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__below"))
+    n = F.row_number().over(Window.partitionBy("__b").orderBy(column, *ties))
+    return d.join(F.broadcast(per), "__b").withColumn(name, n + F.col("__below")).drop("__b", "__below")
+
+
+def spearman(df: DataFrame, x: str, y: str, *ties: str) -> DataFrame:
+    """Correlation of ordinal ranks, ties by the columns named."""
+    d = ordinal_rank(ordinal_rank(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), x, "__x", *ties), y, "__y", *ties)
+    return d.agg(F.corr("__x", "__y").alias("rho"))
 
 
 def threshold_table(df: DataFrame, score: str, truth: str, cuts: list[float]) -> DataFrame:
