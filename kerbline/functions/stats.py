@@ -72,8 +72,7 @@ def by_score(df: DataFrame, score: str, truth: str) -> DataFrame:
 
 def auroc(df: DataFrame, score: str, truth: str) -> DataFrame:
     """Area under the ROC curve, ties one half (X3, W18): negatives below plus half of the equal ones."""
-    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)  # one row per distinct score
-    d = by_score(df, score, truth).withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    d = running(by_score(df, score, truth), "s", {"n": "below"}, own=False)
     total = d.agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("u"), F.sum("p").alias("np"), F.sum("n").alias("nn"))
     return total.select((F.col("u") / F.when(F.col("np") * F.col("nn") > 0, F.col("np") * F.col("nn"))).alias("auroc"), "np", "nn")
 
@@ -85,9 +84,7 @@ def hanley_mcneil(a: Column, p: Column, n: Column) -> Column:
 
 
 def _running(df: DataFrame, score: str, truth: str) -> DataFrame:
-    w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    d = by_score(df, score, truth)
-    return d.withColumn("tp", F.sum("p").over(w)).withColumn("fp", F.sum("n").over(w))
+    return running(by_score(df, score, truth), "s", {"p": "tp", "n": "fp"}, descending=True)
 
 
 def average_precision(df: DataFrame, score: str, truth: str) -> DataFrame:
@@ -108,8 +105,8 @@ def best_threshold(df: DataFrame, score: str, truth: str) -> DataFrame:
 def cut_at_recall(df: DataFrame, score: str, truth: str, recall: float) -> DataFrame:
     """One row `cut`: the highest score at or above which that share of the positives lies (Q16)."""
     d = _running(df.where(truth), score, truth)
-    need = F.ceil(F.lit(recall) * F.sum("p").over(Window.partitionBy()))
-    return d.withColumn("need", need).where("tp >= need").agg(F.max("s").alias("cut"))
+    need = d.agg(F.ceil(F.lit(recall) * F.sum("p")).alias("need"))
+    return d.crossJoin(F.broadcast(need)).where("tp >= need").agg(F.max("s").alias("cut"))
 
 
 def log_choose(n: Column, k: Column) -> Column:
@@ -156,8 +153,24 @@ def errors(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def magnitude(c: Column) -> Column:
-    """A bucket that grows with the value: 16 to a factor of e, at most some 23,000 for all doubles."""
-    return F.floor(F.signum(c) * F.log1p(F.abs(c) * 1e6) * 16)
+    """A bucket that grows with the value: 64 to a factor of e, at most some 93,000 for all doubles."""
+    return F.floor(F.signum(c) * F.log1p(F.abs(c) * 1e6) * 64)
+
+
+def running(df: DataFrame, value: str, sums: dict[str, str], descending: bool = False, own: bool = True) -> DataFrame:
+    """df, one row per value, with running sums {column: name} in the order of the value, with or without the row's own.
+
+    Sums run within buckets of magnitude and are shifted by the totals of the buckets before, a bounded table that is
+    broadcast; no task sorts all values.
+    """
+    d = df.withColumn("__b", magnitude(F.col(value)))
+    order = (lambda c: F.desc(c)) if descending else F.col
+    total = d.groupBy("__b").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])
+    before = Window.orderBy(order("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    total = total.select("__b", *[F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__o_{c}") for c in sums])
+    inner = Window.partitionBy("__b").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    d = d.join(F.broadcast(total), "__b").withColumns({n: F.coalesce(F.sum(c).over(inner), F.lit(0)) + F.col(f"__o_{c}") for c, n in sums.items()})
+    return d.drop("__b", *[f"__o_{c}" for c in sums])
 
 
 def ordinal_rank(df: DataFrame, column: str, name: str, *ties: str) -> DataFrame:
@@ -196,10 +209,9 @@ def summary(column: str) -> list[Column]:
 
 def ks_distance(df: DataFrame, value: str, side: str) -> DataFrame:
     """Largest gap between two samples' distribution functions; `side` is true for one of them."""
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     d = df.groupBy(F.col(value).alias("v")).agg(F.count_if(side).alias("a"), F.count_if(~F.col(side)).alias("b"))
     tot = d.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    c = d.withColumn("ca", F.sum("a").over(w)).withColumn("cb", F.sum("b").over(w)).crossJoin(F.broadcast(tot))
+    c = running(d, "v", {"a": "ca", "b": "cb"}).crossJoin(F.broadcast(tot))
     return c.agg(F.max(F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb"))).alias("d"))
 
 
@@ -294,9 +306,8 @@ def isotonic(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
 
 def value_at_share(df: DataFrame, column: str, share: DataFrame, name: str) -> DataFrame:
     """One row `value`: that at place floor(share * count) of the sorted column (Q7). share has one row."""
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)  # one row per distinct value
-    d = df.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c")).withColumn("to", F.sum("c").over(w))
-    d = d.withColumn("n", F.max("to").over(Window.partitionBy())).crossJoin(F.broadcast(share))
+    d = running(df.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c")), "v", {"c": "to"})
+    d = d.crossJoin(F.broadcast(d.agg(F.max("to").alias("n")))).crossJoin(F.broadcast(share))
     return d.where(F.col("to") > F.floor(F.col(name) * F.col("n"))).agg(F.min("v").alias("value"))
 
 
