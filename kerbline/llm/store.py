@@ -271,7 +271,7 @@ def read_store(index: DataFrame, manifest: DataFrame, scratch: Scratch, width: i
         F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.first("root").alias("root"), F.collect_list(F.struct("seq", "path", "offset", "n")).alias("chunks")
     )
     found = scratch.save(found.withColumn("at", F.array_min(F.transform("chunks", lambda c: F.struct(c.path.alias("path"), c.offset.alias("offset"))))), "found")
-    near = found.repartitionByRange("at.path", "at.offset").sortWithinPartitions("at.path", "at.offset")
+    near = found.repartitionByRange("at.path", "at.offset", "start").sortWithinPartitions("at.path", "at.offset")  # start parts equal documents
     return near.select("doc_id", "start", "n_tokens", "root", "chunks").mapInArrow(partial(_rebuild, width=width), "doc_id long, start long, n_tokens long, ids binary")
 
 
