@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import estimate, rating, signal, spatial_math, stats
 from ..operators import aggregates as A
 from ..sources.views import over, view
-from .registry import query
+from .registry import query, whole
 from .segments import sections, segments
 
 

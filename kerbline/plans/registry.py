@@ -23,6 +23,15 @@ def query(name: str, oracle: str | None = None):
     return put
 
 
+def whole(name: str, *cuts: tuple[str, str]) -> str:
+    """The counterpart of a registered query without its subset filters: each (cut, instead) is replaced."""
+    sql = _ORACLES[name]
+    for cut, instead in cuts:
+        assert cut in sql, (name, cut)
+        sql = sql.replace(cut, instead)
+    return sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return _QUERIES
 

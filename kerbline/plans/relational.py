@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..sources.views import over, table, view
-from .registry import query
+from .registry import query, whole
 from .segments import segments
 
 

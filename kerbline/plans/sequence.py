@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import intervals, islands, network, spatial
 from ..sources.views import over, view
-from .registry import query
+from .registry import query, whole
 from .segments import segments
 
 _HIT = "vlm_class = 'distress' AND status IN ('send', 'audit')"
@@ -219,7 +219,16 @@ _XY = "SELECT *, (centre_lon - 77.5) * 111320.0 * cos(radians(12.9)) AS x, (cent
 
 @query("J11_radius_self_join", over(f"WITH p AS ({_XY}) SELECT a.segment_id, b.segment_id AS other FROM p a JOIN p b ON a.user_id < b.user_id AND abs(a.x - b.x) <= 8 AND abs(a.y - b.y) <= 8 AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 8 WHERE a.user_id < 30 AND b.user_id < 30"))
 def j11(spark, sf):
-    p = _points(spark, sf).where("user_id < 30").select("segment_id", "user_id", "x", "y")
+    return _radius_self(_points(spark, sf).where("user_id < 30"))
+
+
+@query("J11_radius_self_join_all", whole("J11_radius_self_join", (" WHERE a.user_id < 30 AND b.user_id < 30", "")))
+def j11_all(spark, sf):
+    return _radius_self(_points(spark, sf))
+
+
+def _radius_self(points):
+    p = points.select("segment_id", "user_id", "x", "y")
     hit = spatial.radius_pairs(p, p, 8.0).where("user_id < user_id_b")
     return hit.select("segment_id", F.col("segment_id_b").alias("other"))
 
@@ -238,7 +247,16 @@ def j13(spark, sf):
 
 @query("J14_mutual_nearest", over(f"WITH p AS ({_XY}), c AS (SELECT a.segment_id AS a, b.segment_id AS b, a.session_id AS sa, b.session_id AS sb, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS d FROM p a JOIN p b ON a.user_id < b.user_id AND a.user_id < 12 AND b.user_id < 12 AND abs(a.x - b.x) <= 20 AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 20), r AS (SELECT *, row_number() OVER (PARTITION BY a, sb ORDER BY d, b) AS ra, row_number() OVER (PARTITION BY b, sa ORDER BY d, a) AS rb FROM c) SELECT a, b FROM r WHERE ra = 1 AND rb = 1"))
 def j14(spark, sf):
-    p = _points(spark, sf).where("user_id < 12").select("segment_id", "session_id", "user_id", "x", "y")
+    return _mutual(_points(spark, sf).where("user_id < 12"))
+
+
+@query("J14_mutual_nearest_all", whole("J14_mutual_nearest", (" AND a.user_id < 12 AND b.user_id < 12", "")))
+def j14_all(spark, sf):
+    return _mutual(_points(spark, sf))
+
+
+def _mutual(points):
+    p = points.select("segment_id", "session_id", "user_id", "x", "y")
     hit = spatial.radius_pairs(p, p, 20.0).where("user_id < user_id_b").withColumn("d", F.round("d", 6))
     one = Window.partitionBy("segment_id", "session_id_b").orderBy("d", "segment_id_b")
     two = Window.partitionBy("segment_id_b", "session_id").orderBy("d", "segment_id")
@@ -248,7 +266,15 @@ def j14(spark, sf):
 
 @query("J15_later_drive", over(f"WITH p AS ({_XY}), t AS (SELECT session_id, min(utc) AS t0 FROM segments GROUP BY 1), c AS (SELECT a.segment_id, b.session_id AS other, b.segment_id AS near, row_number() OVER (PARTITION BY a.segment_id, b.session_id ORDER BY round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6), b.segment_id) AS r FROM p a JOIN t ta ON ta.session_id = a.session_id JOIN p b ON sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 10 JOIN t tb ON tb.session_id = b.session_id AND tb.t0 > ta.t0 WHERE a.user_id < 12 AND b.user_id < 12) SELECT segment_id, other, near FROM c WHERE r = 1"))
 def j15(spark, sf):
-    p = _points(spark, sf).where("user_id < 12")
+    return _later(_points(spark, sf).where("user_id < 12"))
+
+
+@query("J15_later_drive_all", whole("J15_later_drive", (" WHERE a.user_id < 12 AND b.user_id < 12", "")))
+def j15_all(spark, sf):
+    return _later(_points(spark, sf))
+
+
+def _later(p):
     t = p.groupBy("session_id").agg(F.min("utc").alias("t0"))
     p = p.join(t, "session_id").select("segment_id", "session_id", "t0", "x", "y")
     hit = spatial.radius_pairs(p, p, 10.0).where("t0_b > t0").withColumn("d", F.round("d", 6))
@@ -299,10 +325,16 @@ def g1(spark, sf):
     return e.groupBy("kind").agg(F.count("*").alias("n"))
 
 
+@query("G1_edges_all", whole("G1_edges", (" WHERE a.user_id < 12 AND b.user_id < 12", ""), (" WHERE user_id < 12", "")))
+def g1_all(spark, sf):
+    e = network.edges(_points(spark, sf).select("segment_id", "session_id", "k", "x", "y"))
+    return e.groupBy("kind").agg(F.count("*").alias("n"))
+
+
 @query("G2_shortest_path")
 def g2(spark, sf):
-    p = _points(spark, sf).where("user_id in (3, 13, 4)").select("segment_id", "session_id", "k", "x", "y")
-    return network.shortest_path(network.edges(p, radius=120.0), "S00003_seg00000", "S00004_seg00010", via=["S00013_seg00020"])
+    p = _points(spark, sf).select("segment_id", "session_id", "k", "x", "y")
+    return network.route(p, "S00003_seg00000", "S00004_seg00010", via=["S00013_seg00020"], radius=120.0)
 
 
 @query("G6_attached_passes")
