@@ -87,8 +87,17 @@ def m10(spark, sf):
 
 @query("M11_index_bounds", over("WITH g AS (SELECT block, n, x, x + (CASE WHEN i = 400 THEN 5.0 ELSE 5.0 * i / 400 END) AS v FROM (SELECT DISTINCT block, n, x FROM survey) z, range(401) r(i) WHERE block % 20 = 0), f AS (SELECT block, n, x, least(100, greatest(0, 7231.0 / (v * v - 0.737 * v + 73.09))) AS p FROM g) SELECT block, n, x, round(min(p), 6) AS worst, round(max(p), 6) AS best FROM f GROUP BY 1, 2, 3"))
 def m11(spark, sf):
+    return _bounds(view(spark, sf, "survey").where("block % 20 = 0"))
+
+
+@query("M11_index_bounds_all", whole("M11_index_bounds", (" WHERE block % 20 = 0", "")))
+def m11_all(spark, sf):
+    return _bounds(view(spark, sf, "survey"))
+
+
+def _bounds(survey):
     b = rating.index_bounds("highway", "cracking", F.col("x"), F.col("x") + 5.0)
-    return view(spark, sf, "survey").where("block % 20 = 0").select("block", "n", "x").distinct().select("block", "n", "x", b.alias("b")).select("block", "n", "x", r6(F.col("b.worst"), "worst"), r6(F.col("b.best"), "best"))
+    return survey.select("block", "n", "x").distinct().select("block", "n", "x", b.alias("b")).select("block", "n", "x", r6(F.col("b.worst"), "worst"), r6(F.col("b.best"), "best"))
 
 
 @query("M12_index_class", over("SELECT block, n, CASE WHEN x * 2 > 90 THEN 'Excellent' WHEN x * 2 > 80 THEN 'Good' WHEN x * 2 > 60 THEN 'Satisfactory' WHEN x * 2 > 40 THEN 'Fair' WHEN x * 2 > 20 THEN 'Poor' ELSE 'Fail' END AS c FROM survey"))
@@ -137,12 +146,12 @@ def _units(spark, sf):
 
 @query("M18_monte_carlo")
 def m18(spark, sf):
-    return estimate.estimate(_units(spark, sf).where("session_id < 'S00020'"), "session_id", "highway", ["cracking", "potholes"], 200, 1)
+    return estimate.estimate(_units(spark, sf), "session_id", "highway", ["cracking", "potholes"], 200, 1)
 
 
 @query("M19_stretch_copula")
 def m19(spark, sf):
-    return estimate.estimate(_units(spark, sf).where("session_id < 'S00020'"), "session_id", "highway", ["cracking", "potholes"], 200, 1, 0.5)
+    return estimate.estimate(_units(spark, sf), "session_id", "highway", ["cracking", "potholes"], 200, 1, 0.5)
 
 
 @query("M20_angles", over("SELECT event_id, round(least(abs(value - 90) % 360, 360 - abs(value - 90) % 360), 6) AS d FROM segments"))
@@ -169,9 +178,18 @@ def m22(spark, sf):
 
 @query("M23_ring_repair", over("SELECT block, count(*) AS n FROM survey WHERE block % 10 = 0 GROUP BY 1 HAVING count(DISTINCT (x, y)) >= 3"))
 def m23(spark, sf):
+    return _rings(view(spark, sf, "survey").where("block % 10 = 0"))
+
+
+@query("M23_ring_repair_all", whole("M23_ring_repair", (" WHERE block % 10 = 0", "")))
+def m23_all(spark, sf):
+    return _rings(view(spark, sf, "survey"))
+
+
+def _rings(survey):
     from ..operators.spatial import repair_ring
 
-    r = view(spark, sf, "survey").where("block % 10 = 0").groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("ring"))
+    r = survey.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("ring"))
     return r.where(repair_ring(F.col("ring")).isNotNull()).select("block", F.size("ring").cast("long").alias("n"))
 
 
@@ -204,7 +222,7 @@ def m27(spark, sf):
 
 @query("M28_area_fraction")
 def m28(spark, sf):
-    s = view(spark, sf, "survey").where("block % 50 = 0").select("block", "n", F.col("x").alias("x0"), (F.col("y") / 2).alias("y0"), (F.col("x") + 20).alias("x1"), (F.col("y") / 2 + 15).alias("y1"))
+    s = view(spark, sf, "survey").select("block", "n", F.col("x").alias("x0"), (F.col("y") / 2).alias("y0"), (F.col("x") + 20).alias("x1"), (F.col("y") / 2 + 15).alias("y1"))
     return spatial_math.area_fractions(s, "block", 100, 100)
 
 
@@ -553,7 +571,7 @@ def q20(spark, sf):
 
 @query("K1_windows")
 def k1(spark, sf):
-    d = segments(spark, sf).where("user_id < 6").select("session_id", (F.col("k") * 50_000_000).alias("t_ns"), F.col("value").alias("v"))
+    d = segments(spark, sf).select("session_id", (F.col("k") * 50_000_000).alias("t_ns"), F.col("value").alias("v"))
     return signal.windows(d)
 
 

@@ -158,7 +158,7 @@ def g5(spark, sf):
 
 @query("K2_band_pass")
 def k2(spark, sf):
-    d = segments(spark, sf).where("user_id < 4").select("session_id", (F.col("k") * 5_000_000).alias("t_ns"), F.col("value").alias("v"))
+    d = segments(spark, sf).select("session_id", (F.col("k") * 5_000_000).alias("t_ns"), F.col("value").alias("v"))
     return signal.windows(d, low=1.0, high=10.0)
 
 

@@ -29,3 +29,17 @@ def test_route_over_all_nodes_against_edges(spark):
     got = network.route(d, *stops, via=via, radius=25.0).collect()
     assert want and [r.node for r in sorted(got)] == [r.node for r in sorted(want)]
     assert all(math.isclose(a.metres, b.metres, abs_tol=1e-5) for a, b in zip(sorted(got), sorted(want)))
+
+
+@pytest.mark.parametrize("name", ["M11_index_bounds", "M23_ring_repair"])
+def test_measures_take_all_blocks(same, name):
+    assert "block %" not in ORACLES[f"{name}_all"]
+    same(QUERIES[f"{name}_all"], ORACLES[f"{name}_all"])
+
+
+def test_boxes_take_all_blocks(spark, data):
+    from kerbline.sources.views import view
+
+    want = view(spark, data, "survey").select("block").distinct().count()
+    for name in ("T9_non_maximum", "M28_area_fraction"):
+        assert QUERIES[name](spark, data).select("block").distinct().count() == want, name
