@@ -91,15 +91,21 @@ def param_value(road_class: str, param: str, x: float, surface: str | None = Non
 
 
 def draw(road_class: str, inputs: dict[str, tuple[float, float, float]], draws: int = 1500, seed: int = 1, share: float = 0.0, units: int = 1) -> dict[str, float]:
-    """5 %, 50 % and 95 % points of the index over seeded draws (M18), and of a stretch's mean over units whose inputs
-    share a factor: a Gaussian copula with correlation `share` between units (M19). Parameters without an input are
-    uniform between 0 and 100."""
+    """5 %, 50 % and 95 % points of the index over seeded draws (M18), of a stretch of equal units where there are several."""
+    return stretch(road_class, [(1.0, inputs)] * units, draws, seed, share)
+
+
+def stretch(road_class: str, units: list[tuple[float, dict[str, tuple[float, float, float]]]], draws: int = 3000, seed: int = 1, share: float = 0.0) -> dict[str, float]:
+    """5 %, 50 % and 95 % points of the weighted mean index of units (weight, inputs), each drawn with its own inputs,
+    that share a factor: a Gaussian copula with correlation `share` between units (M19). Parameters without an input
+    are uniform between 0 and 100."""
     rng, out = random.Random(seed), []
     a, b = math.sqrt(share), math.sqrt(1 - share)
+    whole = sum(m for m, _ in units)
     for _ in range(draws):
         common = {p: rng.gauss(0, 1) for p in INDEX_WEIGHTS}
         total = 0.0
-        for _ in range(units):
+        for m, inputs in units:
             for p, w in INDEX_WEIGHTS.items():
                 z = a * common[p] + b * rng.gauss(0, 1)
                 if p in inputs:
@@ -107,25 +113,27 @@ def draw(road_class: str, inputs: dict[str, tuple[float, float, float]], draws:
                     v = param_value(road_class, p, max(0.0, mid + z / Z95 * ((mid - lo) if z < 0 else (hi - mid))))
                 else:
                     v = None
-                total += w * (v if v is not None else 50.0 * (1 + math.erf(z / math.sqrt(2))))
-        out.append(total / units)
+                total += m / whole * w * (v if v is not None else 50.0 * (1 + math.erf(z / math.sqrt(2))))
+        out.append(total)
     out.sort()
-    at = lambda q: out[int(q * (len(out) - 1))]
+    at = lambda q: out[min(draws - 1, int(q * draws))]
     return {"p05": at(0.05), "p50": at(0.5), "p95": at(0.95)}
 
 
 def estimate(units: DataFrame, by: str, road_class: str, params: list[str], draws: int = 1500, seed: int = 1, share: float = 0.0) -> DataFrame:
-    """(by, p05, p50, p95) per group of units(by, <param>_lo, <param>_mid, <param>_hi).
+    """(by, p05, p50, p95) per group of units(by, length_m, order, <param>_lo, <param>_mid, <param>_hi).
 
-    The draws of a group are one seeded sequence, so a group is one task; its rows are the units of one stretch.
+    The draws of a group are one seeded sequence, so a group is one task; its rows are the units of one stretch, all
+    drawn in their order and weighted by length. Units without length or inputs take no part.
     """
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        inputs = {p: (pdf[f"{p}_lo"].mean(), pdf[f"{p}_mid"].mean(), pdf[f"{p}_hi"].mean()) for p in params}
-        d = draw(road_class, inputs, draws, seed, share, min(len(pdf), 10))
-        return pd.DataFrame({by: [r[by]], **{k: [v] for k, v in d.items()}})
+        pdf = pdf.sort_values("order")
+        columns = [[f"{p}_{e}" for e in ("lo", "mid", "hi")] for p in params]
+        pdf = pdf[(pdf.length_m > 0) & pdf[sum(columns, [])].notna().all(axis=1)]
+        if pdf.empty:
+            return pd.DataFrame({by: [], "p05": [], "p50": [], "p95": []})
+        rows = [(r["length_m"], {p: tuple(r[c] for c in cs) for p, cs in zip(params, columns, strict=True)}) for r in pdf.to_dict("records")]
+        return pd.DataFrame({by: [pdf.iloc[0][by]], **{k: [v] for k, v in stretch(road_class, rows, draws, seed, share).items()}})
 
     kind = units.schema[by].dataType.simpleString()
     return units.groupBy(by).applyInPandas(kernel, f"{by} {kind}, p05 double, p50 double, p95 double")
-
-

@@ -141,17 +141,17 @@ def m17(spark, sf):
 
 def _units(spark, sf):
     d = A.extents(sections(spark, sf), "cracking", "potholes").where("coverage_status = 'rated'")
-    return d.select("session_id", *[F.col(f"{p}_{a}").alias(f"{p}_{b}") for p in ("cracking", "potholes") for a, b in (("lo", "lo"), ("point", "mid"), ("hi", "hi"))])
+    return d.select("session_id", F.col("section").alias("order"), "length_m", *[F.col(f"{p}_{a}").alias(f"{p}_{b}") for p in ("cracking", "potholes") for a, b in (("lo", "lo"), ("point", "mid"), ("hi", "hi"))])
 
 
 @query("M18_monte_carlo")
 def m18(spark, sf):
-    return estimate.estimate(_units(spark, sf), "session_id", "highway", ["cracking", "potholes"], 200, 1)
+    return estimate.estimate(_units(spark, sf), "session_id", "highway", ["cracking", "potholes"], 4000, 1)
 
 
 @query("M19_stretch_copula")
 def m19(spark, sf):
-    return estimate.estimate(_units(spark, sf), "session_id", "highway", ["cracking", "potholes"], 200, 1, 0.5)
+    return estimate.estimate(_units(spark, sf), "session_id", "highway", ["cracking", "potholes"], 3000, 1, 0.5)
 
 
 @query("M20_angles", over("SELECT event_id, round(least(abs(value - 90) % 360, 360 - abs(value - 90) % 360), 6) AS d FROM segments"))

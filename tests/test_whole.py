@@ -43,3 +43,23 @@ def test_boxes_take_all_blocks(spark, data):
     want = view(spark, data, "survey").select("block").distinct().count()
     for name in ("T9_non_maximum", "M28_area_fraction"):
         assert QUERIES[name](spark, data).select("block").distinct().count() == want, name
+
+
+def test_stretch_draws_every_section_with_its_own_inputs(spark):
+    from kerbline.functions import estimate
+
+    r = random.Random(6)
+    rows = [("s", i, r.choice((20.0, 100.0)), m * 0.8, m, m * 1.3) for i in range(14) for m in [r.uniform(1, 25)]]
+    d = spark.createDataFrame(rows, "session_id string, `order` int, length_m double, cracking_lo double, cracking_mid double, cracking_hi double")
+    got = estimate.estimate(d, "session_id", "highway", ["cracking"], 300, 1, 0.5).first()
+    rng, out, whole = random.Random(1), [], sum(x[2] for x in rows)
+    for _ in range(300):
+        z, total = [rng.gauss(0, 1) for _ in estimate.INDEX_WEIGHTS], 0.0
+        for _, _, m, lo, mid, hi in rows:
+            for c, (p, w) in zip(z, estimate.INDEX_WEIGHTS.items()):
+                u = math.sqrt(0.5) * c + math.sqrt(0.5) * rng.gauss(0, 1)
+                v = estimate.param_value("highway", p, max(0.0, mid + u / estimate.Z95 * (mid - lo if u < 0 else hi - mid))) if p == "cracking" else 50 * (1 + math.erf(u / math.sqrt(2)))
+                total += m / whole * w * v
+        out.append(total)
+    out.sort()
+    assert all(math.isclose(a, b) for a, b in zip((got.p05, got.p50, got.p95), (out[15], out[150], out[285])))
