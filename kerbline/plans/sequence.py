@@ -331,6 +331,13 @@ def g1_all(spark, sf):
     return e.groupBy("kind").agg(F.count("*").alias("n"))
 
 
+@query("G1_four_kinds")
+def g1_four(spark, sf):
+    # the tables have neither altitude nor device: levels unknown, one device a line; value is the heading, as in G5
+    p = _points(spark, sf).select("segment_id", "session_id", "k", "x", "y", F.col("value").alias("heading"), F.lit(None).cast("double").alias("alt"), (F.col("user_id") % 10).alias("device"), "utc")
+    return network.road_edges(p).groupBy("kind").agg(F.count("*").alias("n"))
+
+
 @query("G2_shortest_path")
 def g2(spark, sf):
     p = _points(spark, sf).select("segment_id", "session_id", "k", "x", "y")

@@ -63,3 +63,19 @@ def test_stretch_draws_every_section_with_its_own_inputs(spark):
         out.append(total)
     out.sort()
     assert all(math.isclose(a, b) for a, b in zip((got.p05, got.p50, got.p95), (out[15], out[150], out[285])))
+
+
+def test_four_kinds_of_edges(spark):
+    import datetime as dt
+
+    t = lambda s: dt.datetime(2026, 1, 1) + dt.timedelta(seconds=s)
+    rows = [
+        ("a0", "a", 0, 0.0, 0.0, 90.0, 5.0, "p", t(0)), ("a1", "a", 1, 20.0, 0.0, 90.0, 5.0, "p", t(2)),
+        ("b0", "b", 0, 120.0, 0.0, 90.0, 5.0, "p", t(300)), ("b1", "b", 1, 140.0, 0.0, 90.0, 5.0, "p", t(302)),
+        ("c0", "c", 0, 0.0, 3.0, 270.0, 5.0, "q", t(0)), ("d0", "d", 0, 20.0, 7.0, 0.0, None, "r", t(0)),
+        ("e0", "e", 0, 120.0, 1.0, 90.0, 30.0, "s", t(0)), ("f0", "f", 0, 140.0, 7.0, 90.0, 5.0, "q", t(9000)), ("g0", "g", 0, 0.0, 1.0, None, 5.0, "u", t(0)),
+    ]
+    d = spark.createDataFrame(rows, "segment_id string, session_id string, k long, x double, y double, heading double, alt double, device string, utc timestamp")
+    got = {(r.a, r.b): (r.kind, round(r.w, 6)) for r in network.road_edges(d).collect()}
+    assert got == {("a0", "a1"): ("track", 20.0), ("b0", "b1"): ("track", 20.0), ("a0", "c0"): ("same", 53.0), ("a1", "d0"): ("cross", 57.0), ("a1", "b0"): ("gap", 150.0)}
+    assert {r.kind for r in QUERIES["G1_four_kinds"](spark, "/root/testdata/sf0.001").collect()} >= {"track", "cross"}
