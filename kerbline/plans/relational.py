@@ -148,6 +148,21 @@ def t3(spark, sf):
     return segments(spark, sf).select("segment_id").orderBy(F.md5(F.concat(F.lit("salt"), "segment_id"))).limit(100)
 
 
+@query("T1_order_all", whole("T1_order", (" LIMIT 500", "")))
+def t1_all(spark, sf):
+    return segments(spark, sf).orderBy("session_id", "k").select("segment_id")
+
+
+@query("T2_nulls_last_all", whole("T2_nulls_last", (" LIMIT 300", "")))
+def t2_all(spark, sf):
+    return view(spark, sf, "assessments").orderBy(F.desc_nulls_last("confidence"), "id").select("id")
+
+
+@query("T3_hash_order_all", whole("T3_hash_order", (" LIMIT 100", "")))
+def t3_all(spark, sf):
+    return segments(spark, sf).select("segment_id").orderBy(F.md5(F.concat(F.lit("salt"), "segment_id")))
+
+
 @query("T4_page", over(f"SELECT segment_id, (SELECT count(*) FROM segments WHERE confidence >= 0.9) AS matched FROM segments WHERE confidence >= 0.9 ORDER BY session_id, k LIMIT 25 OFFSET 50"))
 def t4(spark, sf):
     hit = segments(spark, sf).where("confidence >= 0.9")

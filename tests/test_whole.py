@@ -79,3 +79,8 @@ def test_four_kinds_of_edges(spark):
     got = {(r.a, r.b): (r.kind, round(r.w, 6)) for r in network.road_edges(d).collect()}
     assert got == {("a0", "a1"): ("track", 20.0), ("b0", "b1"): ("track", 20.0), ("a0", "c0"): ("same", 53.0), ("a1", "d0"): ("cross", 57.0), ("a1", "b0"): ("gap", 150.0)}
     assert {r.kind for r in QUERIES["G1_four_kinds"](spark, "/root/testdata/sf0.001").collect()} >= {"track", "cross"}
+
+
+@pytest.mark.parametrize("name", ["T1_order_all", "T2_nulls_last_all", "T3_hash_order_all"])
+def test_whole_tables_in_order(spark, data, duck, name):
+    assert [r[0] for r in QUERIES[name](spark, data).collect()] == [r[0] for r in duck.sql(ORACLES[name]).fetchall()]
