@@ -9,6 +9,7 @@ import gc
 import re
 import sys
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -21,11 +22,13 @@ PACKAGE_HOME = str(Path(__file__).resolve().parents[2])
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only where the session names none and is local."""
     sc = spark.sparkContext
     set_ = sc._jsc.sc().getCheckpointDir()
     at = sc.getConf().get("spark.checkpoint.dir") or (set_.get() if set_.isDefined() else None)
     if not at:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="kerbline-")
         sc.setCheckpointDir(at)
     return at.rstrip("/")
@@ -74,10 +77,16 @@ class Scratch:
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: When release() last asked.
+_RELEASED = [0.0]
+
+
 def release(spark: SparkSession) -> None:
-    """Shuffle files of finished jobs go when the driver collects its garbage; ask for that."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Shuffle files of finished jobs go when the driver collects its garbage; ask for that every few seconds."""
+    if time.monotonic() - _RELEASED[0] > 5:
+        gc.collect()
+        spark._jvm.System.gc()
+        _RELEASED[0] = time.monotonic()
 
 
 def let(value: Column, body) -> Column:
@@ -91,6 +100,32 @@ def fence(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("__row")).select("__row.*")
 
 
+#: Keys whose rows spread_join() deals over several tasks: at most so many, by its choice of the limit.
+HOT_KEYS = 20_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame, total: int) -> DataFrame:
+    """left inner-joined on keys with right, where a key may hold any share of the rows of left.
+
+    counts has the keys and n, their rows in left; total is the sum of n. Of a key with more than total / HOT_KEYS
+    rows the rows of left are dealt over enough tasks and those of right are sent to each. There can't be more than
+    HOT_KEYS such keys, so the list of them, which is broadcast, has a bound that doesn't grow with the data, and so
+    have the further copies of right. counts and right should be written tables.
+    """
+    limit = max(64, total // HOT_KEYS)
+    hot = F.broadcast(counts.where(F.col("n") > limit).select(*keys, F.ceil(F.col("n") / limit).cast("int").alias("__ways")))
+    ways = F.coalesce("__ways", F.lit(1))
+    dealt = left.join(hot, keys, "left").withColumn("__way", F.pmod(F.xxhash64(*left.columns), ways).cast("int")).drop("__ways")
+    each = right.join(hot, keys, "left").withColumn("__way", F.explode(F.sequence(F.lit(0), ways - 1))).drop("__ways")
+    return dealt.join(each, [*keys, "__way"]).drop("__way")
+
+
+def counted_join(left: DataFrame, right: DataFrame, keys: list[str], scratch: Scratch, name: str) -> DataFrame:
+    """spread_join() for a written left whose keys are still to be counted."""
+    counts = scratch.save(left.groupBy(*keys).agg(F.count("*").alias("n")), name)
+    return spread_join(left, right, keys, counts, counts.agg(F.sum("n")).first()[0] or 0)
+
+
 def filesystem(uri: str):
     """(file system, path) of a URI, in executors too. Any store that pyarrow knows."""
     from pyarrow import fs

@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, spread_join
 
 
-def _large(e: DataFrame) -> DataFrame:
-    """Every larger neighbour of u moves to the smallest node next to u."""
+def _large(e: DataFrame, n: int, scratch: Scratch, name: str) -> DataFrame:
+    """Every larger neighbour of u moves to the smallest node next to u. A node with very many neighbours is the hub
+    of a star; its edges are dealt over several tasks."""
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = scratch.save(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), name)
+    return spread_join(both.where("v > u"), low.select("u", "m"), ["u"], low, 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small(e: DataFrame) -> DataFrame:
-    """u and its smaller neighbours move to the smallest of them. Edges come in as u > v."""
+    """u and its smaller neighbours move to the smallest of them. Edges come in as u > v, and after _large() a node
+    has few smaller neighbours: its own neighbours' minima."""
     low = e.groupBy("u").agg(F.min("v").alias("m"))
     moved = e.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
@@ -26,8 +28,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "edges") -> DataF
     """edges(u, v), any order, loops allowed -> (node, component): component is the smallest node reachable.
 
     Nodes without an edge to another node are left out. Each round is two joins on a node with its aggregated
-    minimum; a node with very many edges is split by the adaptive skew join, and minima are combined before the
-    shuffle. Rounds grow with the logarithm of the longest path.
+    minimum; minima are combined before the shuffle, and a hub's edges are dealt over several tasks. Rounds grow with the logarithm of the longest path.
     """
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = scratch.save(e, f"{name}-0")
@@ -37,7 +38,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "edges") -> DataF
         if stats["n"] == 0 or (stats["n"], stats["h"]) == seen:
             break
         seen = (stats["n"], stats["h"])
-        e = scratch.save(_small(_large(e)), f"{name}-{k}")
+        e = scratch.save(_small(_large(e, stats["n"], scratch, f"{name}-low-{k}")), f"{name}-{k}")
+        scratch.drop(f"{name}-low-{k}")
         if k > 1:
             scratch.drop(f"{name}-{k - 2}")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(

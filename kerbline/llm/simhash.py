@@ -8,11 +8,15 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from . import jaccard
+from .common import Scratch, spread_join
 from .graph import components
+from .jaccard import LEAST, WIDTH
 
 #: Members of one block bucket that are compared at once; larger buckets are split by more blocks.
 BUCKET = 2048
+#: Blocks of the finest split.
+FINEST = 16
 
 
 def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
@@ -41,7 +45,7 @@ def _fingerprints(batches, width: int, seed: int):
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
     """(id, fp) per row; fp holds the 64 bits as a signed long. A null text has no words."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("t")).mapInArrow(
         partial(_fingerprints, width=width, seed=seed), "id long, fp long"
     )
 
@@ -55,31 +59,40 @@ def block_masks(blocks: int, distance: int) -> list[int]:
 
 def blocks_for(n: int, distance: int) -> int:
     """Fewest blocks whose keys have enough bits that n random fingerprints fall about one to a bucket."""
-    return next(m for m in range(distance + 2, 65) if 64 * (m - distance) // m >= max(1, n).bit_length() - 2 or m == 16)
+    return next(m for m in range(distance + 2, 65) if 64 * (m - distance) // m >= max(1, n).bit_length() - 2 or m >= FINEST)
 
 
 def star(fp, rep, distance: int):
-    """Links of one bucket as (larger, smaller) of a spanning star per group; fp uint64, rep int64 arrays."""
+    """Links of one bucket as (larger, smaller): a spanning star per group of fingerprints that reach each other
+    within the distance. fp uint64, rep int64 arrays. Memory grows with the bucket, not with its square."""
     import numpy as np
 
-    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= distance
-    low = rep.copy()
-    while True:
-        now = np.where(near, low[None, :], low[:, None]).min(axis=1)
-        if (now == low).all():
-            break
-        low = now
-    far = low != rep
-    return rep[far], low[far]
+    order = np.argsort(rep, kind="stable")
+    fp, rep, left, us, vs = fp[order], rep[order], np.arange(len(rep)), [], []
+    while len(left) > 1:
+        centre, todo = left[0], left[:1]
+        left = left[1:]
+        while len(todo) and len(left):
+            some, todo = todo[:256], todo[256:]
+            near = np.zeros(len(left), dtype=bool)
+            for at in range(0, len(left), 1 << 14):
+                near[at : at + (1 << 14)] = (np.bitwise_count(fp[some, None] ^ fp[left[at : at + (1 << 14)]][None, :]) <= distance).any(axis=0)
+            new = left[near]
+            left, todo = left[~near], np.concatenate([todo, new])
+            us.append(rep[new])
+            vs.append(np.full(len(new), rep[centre]))
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *us]), np.concatenate([none, *vs])
 
 
-def _links(batches, distance: int, most: int):
-    """Rows sorted by (c, key): links of each bucket with up to `most` members, members of larger ones as hot rows."""
+def _links(batches, distance: int, most: int | None):
+    """Rows sorted by (c, key): links of each bucket with up to `most` members (None: of every bucket), and the
+    members of larger ones as hot rows, wherever a batch ends."""
     import numpy as np
     import pyarrow as pa
 
     none = np.zeros(0, dtype=np.int64)
-    held = [none] * 4
+    held, hot = [none] * 4, None
     for b in itertools.chain(batches, [None]):
         if b is not None and not b.num_rows:
             continue
@@ -91,15 +104,16 @@ def _links(batches, distance: int, most: int):
         edge = np.flatnonzero((c[1:] != c[:-1]) | (key[1:] != key[:-1])) + 1
         at = np.concatenate([[0], edge, [n]])
         last = len(at) - 1
-        if b is not None and n - at[-2] <= most:
+        if b is not None and (most is None or n - at[-2] <= most) and hot != (c[-1], key[-1]):
             last -= 1  # the last bucket may go on in the next batch
         us, vs, hot_fp, hot_rep = [], [], [], []
-        for i in np.flatnonzero(np.diff(at[: last + 1]) > 1):
+        for i in range(last):
             s, e = at[i], at[i + 1]
-            if e - s > most:
+            if most is not None and e - s > most or hot == (c[s], key[s]):
+                hot = (c[s], key[s])  # what the next batches hold of this bucket is hot too
                 hot_fp.append(fp[s:e])
                 hot_rep.append(rep[s:e])
-            else:
+            elif e - s > 1:
                 u, v = star(fp[s:e].view(np.uint64), rep[s:e], distance)
                 us.append(u)
                 vs.append(v)
@@ -119,38 +133,29 @@ def _keyed(members: DataFrame, masks: list[int]) -> DataFrame:
     return members.select("fp", "rep", F.explode(keys).alias("k")).select("k.c", "k.key", "fp", "rep")
 
 
-def _pair_chunks(members: DataFrame, distance: int, size: int, n: int) -> DataFrame:
-    """Last resort for members that no number of blocks spreads: every chunk against every chunk, exactly."""
-    side = max(1, -(-n // size))
-    m = members.withColumn("g", F.pmod(F.xxhash64("fp"), F.lit(side)).cast("int"))
-    to = F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda j: F.least("g", j) * side + F.greatest("g", j))
-    return m.select(F.explode(to).alias("c"), F.lit(0).cast("long").alias("key"), "fp", "rep")
-
-
 def links(distinct: DataFrame, n: int, distance: int, scratch: Scratch, bucket: int = BUCKET) -> DataFrame:
     """distinct(fp, rep) -> (u, v): every two reps within the distance are connected through these links.
 
     Members of a bucket with more than `bucket` fingerprints are keyed again by more blocks, where the same
-    pigeonhole argument holds, and at the end compared chunk against chunk; none is dropped.
+    pigeonhole argument holds; none is dropped and no pairs are written out. With FINEST blocks a bucket fixes all but
+    a few bits (16 for a distance of 4), so it can't hold more fingerprints than those bits can spell, and it is
+    searched whole.
     """
     found, blocks = None, blocks_for(n, distance)
-    for level in range(20):
-        last = blocks > 16
-        keyed = _pair_chunks(distinct, distance, bucket // 4, n) if last else _keyed(distinct, block_masks(blocks, distance))
+    while True:
+        last = blocks >= FINEST
         got = scratch.save(
-            keyed.repartition("c", "key").sortWithinPartitions("c", "key").mapInArrow(
-                partial(_links, distance=distance, most=1 << 40 if last else bucket), "u long, v long, hot boolean"
+            _keyed(distinct, block_masks(blocks, distance)).repartition("c", "key").sortWithinPartitions("c", "key").mapInArrow(
+                partial(_links, distance=distance, most=None if last else bucket), "u long, v long, hot boolean"
             ),
-            f"links-{level}",
+            f"links-{blocks}",
         )
         part = got.where("not hot").select("u", "v")
         found = part if found is None else found.union(part)
         hot = got.where("hot").select(F.col("v").alias("fp"), F.col("u").alias("rep")).distinct()
-        n = 0 if last else hot.count()
-        if not n:
+        if last or hot.isEmpty():
             return found
-        distinct, blocks = scratch.save(hot, f"hot-{level}"), blocks + 2 if blocks < 12 else 17
-    return found
+        distinct, blocks = scratch.save(hot, f"hot-{blocks}"), min(blocks + 2, FINEST)
 
 
 def near_duplicates(
@@ -165,12 +170,12 @@ def near_duplicates(
     their names can't clash. An empty table gives an empty table.
     """
     fps = scratch.save(fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
-    distinct = scratch.save(fps.groupBy("fp").agg(F.min("id").alias("rep")), "distinct")
-    known = distinct.where("rep is not null")
+    distinct = scratch.save(fps.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "distinct")
+    known = distinct.where("rep is not null").select("fp", "rep")
     edges = links(known, known.count(), distance, scratch, bucket)
     comp = components(edges, scratch)
     named = distinct.join(comp, distinct.rep == comp.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, "fp").select("id", "fp", "component_id")
+    return spread_join(fps, scratch.save(named, "named"), ["fp"], distinct, fps.count()).select("id", "fp", "component_id")
 
 
 def fp_hex(fp: str):
@@ -183,7 +188,20 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, scratch).select(F.col("id").alias("doc_id"), fp_hex("fp").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of docs without those whose component has a smaller id. Rows with a null id stay."""
-    gone = near_duplicates(docs, scratch, id_col, text_col).where("id > component_id").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(scratch.save(gone, "gone"), id_col, "left_anti").select(*docs.columns)
+def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows of docs whose id is not in ids(gone); columns of any names, null ids stay."""
+    key = F.col(f"`{id_col}`").cast("long")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("gone"))
+    return rows.join(ids, "gone", "left_anti").select("row.*")
+
+
+def keep_one(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", least: float | None = LEAST, width: int = WIDTH) -> DataFrame:
+    """Rows of docs without those whose component has a smaller id. Rows with a null id stay.
+
+    Texts whose sets of `width` words are alike by `least` or more (Jaccard) count as near duplicates. Their
+    fingerprints may differ in far more bits than blocks of useful size allow, so jaccard.py finds the candidates; with
+    least=None fingerprints within four bits count, and blocks find them. Columns of any names pass through.
+    """
+    near = near_duplicates(docs, scratch, id_col, text_col, width=width) if least is None else jaccard.near_duplicates(docs, scratch, id_col, text_col, width, least)
+    gone = near.where("id > component_id").select(F.col("id").alias("gone")).distinct()
+    return without(docs, scratch.save(gone, "gone"), id_col)

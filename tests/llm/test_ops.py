@@ -67,6 +67,73 @@ def test_simhash_links_against_all_pairs(spark, scratch, bucket):
     assert all(got.get(i, i) == root[i] for i in range(len(fps)))
 
 
+def test_bucket_over_batches_gives_one_answer():
+    import pyarrow as pa
+
+    r = random.Random(7)
+    low = sorted(r.sample(range(1 << 20), 40))
+    fp = np.array(low, dtype=np.int64)
+    rep = np.arange(len(low))
+    key = np.zeros(len(low), dtype=np.int64)
+
+    def run(cuts, most):
+        at = [0, *cuts, len(low)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(x[i:j]) for x in (key, key, fp, rep)], names=["c", "key", "fp", "rep"]) for i, j in zip(at, at[1:])]
+        got = [x for b in simhash._links(iter(batches), 4, most) for x in zip(*(c.to_pylist() for c in b.columns))]
+        return sorted(got)
+
+    for most in (10, 39, 40, None):
+        whole = run([], most)
+        assert all(h == (most is not None and most < 40) for _, _, h in whole)
+        for c in range(1, 40):
+            assert run([c], most) == whole and run([c // 2, c], most) == whole
+        assert run(list(range(1, 40)), most) == whole
+
+
+def test_simhash_links_in_a_hot_group(spark, scratch):
+    """23,000 fingerprints that share half their bits; pairs at distance 4 with one bit in each of four blocks."""
+    r = np.random.default_rng(5)
+    base = (r.integers(0, 1 << 32, 11_500, dtype=np.uint64) << np.uint64(32)) | np.uint64(0x5A5A5A5A)
+    flip = np.array([1 << 33 | 1 << 43 | 1 << 54 | 1 << 63, 1 << 32 | 1 << 42 | 1 << 53 | 1 << 0], dtype=np.uint64)
+    fps = np.unique(np.concatenate([base, base ^ flip[np.arange(len(base)) % 2]]))
+    d = spark.createDataFrame([(int(f), i) for i, f in enumerate(fps.view(np.int64).tolist())], "fp long, rep long").repartition(4)
+    comp = {x.node: x.component for x in graph.components(simhash.links(d, len(fps), 4, scratch), scratch).collect()}
+    at = {int(f): i for i, f in enumerate(fps)}
+    lost = sum(comp.get(at[int(b)], -1) != comp.get(at[int(b ^ flip[k % 2])], -2) for k, b in enumerate(base))
+    assert lost == 0
+    low = fps[:: len(fps) // 200]
+    for i, f in enumerate(low.tolist()):  # no component joins what isn't linked
+        near = np.flatnonzero(np.bitwise_count(fps ^ np.uint64(f)) <= 4)
+        assert len({comp.get(int(j), int(j)) for j in near}) == 1
+
+
+def plain_fingerprint(text):
+    """The rule word by word, on bytes of the lower-cased text."""
+    import xxhash
+
+    w = [x for x in re.split(rb"[\x20\x09-\x0d]+", bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode())) if x]
+    if not w:
+        return 0
+    g = [b" ".join(w[i : i + 4]) for i in range(len(w) - 3)] if len(w) >= 4 else [b" ".join(w)]
+    h = [xxhash.xxh64(x, seed=42).intdigest() for x in g]
+    return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+
+
+def test_fingerprint_rule():
+    r = random.Random(9)
+    texts = ["".join(r.choice(["A", "b", "É", "🙂", " ", "  ", "\n", "\x0b", "\xa0", "x y z"]) for _ in range(r.randrange(60))) for _ in range(200)]
+    for t in [*texts, *(x for x in ODD if x), "one", "one two three"]:
+        if t != LONG:
+            assert simhash.fingerprint(t.encode()) == plain_fingerprint(t)
+
+
+def test_hot_keys_are_spread(spark, scratch):
+    left = scratch.save(spark.range(5000).selectExpr("id", "if(id % 3 = 0, 7, id % 900) AS k"), "left")
+    right = scratch.save(spark.range(900).selectExpr("id AS k", "id * 2 AS v"), "right")
+    got = common.counted_join(left, right, ["k"], scratch, "counts")
+    assert got.select("id", "k", "v").exceptAll(left.selectExpr("id", "k", "k * 2")).count() == 0 and got.count() == 5000
+
+
 def test_simhash_edges(spark, scratch):
     got = {r.id: (r.fp, r.component_id) for r in simhash.near_duplicates(docs(spark, ODD), scratch).collect()}
     assert got[0] == got[1] == got[2] == (0, 0) and got[4] == got[5] == (got[4][0], 4) and len(got) == len(ODD)
@@ -75,6 +142,12 @@ def test_simhash_edges(spark, scratch):
     assert {r.component_id for r in nulls} == {None, 3}
     kept = simhash.keep_one(docs(spark, ODD), scratch)
     assert kept.columns == docs(spark, ODD).columns and {r.doc_id for r in kept.collect()} == {0, 3, 4, 6}
+    odd = docs(spark, ODD).withColumn("a.b", F.lit(1)).withColumn("id", F.lit(5)).withColumn("component_id", F.lit(6)).withColumn("gone", F.lit(7))
+    for least in (0.8, None):
+        kept = simhash.keep_one(odd, scratch, least=least)
+        assert kept.columns == odd.columns and {(r.doc_id, r.gone) for r in kept.collect()} == {(i, 7) for i in (0, 3, 4, 6)}
+    twice = docs(spark, ["a b c d e", "a b c d e"], [3, 3])
+    assert simhash.keep_one(twice, scratch).count() == 2  # rows that share an id are one document
 
 
 def test_warc_round_trip_with_magic_in_payloads(spark, scratch):
