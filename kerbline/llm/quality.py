@@ -41,25 +41,45 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANK))
 
 
+def _window_hash(*three: Column) -> Column:
+    return F.xxhash64(*three)
+
+
 def _window_keys(w: Column, n: Column) -> Column:
     """Hash and position of each 3-word window in one long, sorted."""
-    key = lambda i: F.shiftleft(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), AT).bitwiseOR(i.cast("long"))
+    key = lambda i: F.shiftleft(_window_hash(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), AT).bitwiseOR(i.cast("long"))
     none = F.array().cast("array<bigint>")
     return F.when(n < 4, none).otherwise(F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), key)))
 
 
-def _repeated(keys: Column, w: Column) -> Column:
-    """Positions of the windows whose words stand at another position too: neighbours in the sorted keys."""
-    at = lambda k: k.bitwiseAND(F.lit((1 << AT) - 1)).cast("int")
+def _at(key: Column) -> Column:
+    return key.bitwiseAND(F.lit((1 << AT) - 1)).cast("int")
+
+
+def _neighbours(keys: Column, w: Column) -> Column:
+    """Of each sorted key and the next: 0 other hash, 1 same words, 2 same hash but other words."""
+
+    def state(x: Column, i: Column) -> Column:
+        y = F.get(keys, i + 1)
+        words = [F.get(w, _at(x) + o) == F.get(w, _at(y) + o) for o in range(3)]
+        return F.when(y.isNull() | (F.shiftright(x, AT) != F.shiftright(y, AT)), 0).when(words[0] & words[1] & words[2], 1).otherwise(2)
 
-    def same(x: Column, y: Column) -> Column:
-        equal = F.shiftright(x, AT) == F.shiftright(y, AT)
-        for o in range(3):  # equal hashes are looked at word by word
-            equal = equal & (F.get(w, at(x) + o) == F.get(w, at(y) + o))
-        return F.coalesce(equal, F.lit(False))
+    return F.transform(keys, state)
 
-    hit = F.filter(keys, lambda x, i: same(x, F.get(keys, i + 1)) | same(x, F.get(keys, i - 1)))
-    return F.sort_array(F.transform(hit, at))
+
+def _repeated(keys: Column, state: Column, w: Column, n: Column) -> Column:
+    """Sorted positions of the windows whose words stand at another position too.
+
+    Equal windows are neighbours among the sorted keys, unless windows of other words share their key's hash or the
+    text has more windows than a key can number; such a text has its windows sorted by their words.
+    """
+    fast = F.transform(F.filter(keys, lambda x, i: (F.get(state, i) == 1) | F.coalesce(F.get(state, i - 1) == 1, F.lit(False))), _at)
+    window = lambda i: F.struct(F.struct(*[F.get(w, i + o).alias(f"w{o}") for o in range(3)]).alias("g"), i.alias("at"))
+    exact = let(
+        F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), window)),
+        lambda x: F.transform(F.filter(x, lambda v, i: (F.get(x, i + 1)["g"] == v["g"]) | F.coalesce(F.get(x, i - 1)["g"] == v["g"], F.lit(False))), lambda v: v["at"]),
+    )
+    return F.sort_array(F.when((n >= 1 << AT) | F.array_contains(state, 2), exact).otherwise(fast))
 
 
 def _covered(p: Column) -> Column:
@@ -78,18 +98,19 @@ def ledger(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
     One pass, no shuffle, no Python. Null and empty texts have no words and fail few_words. Rows are judged one by
     one, so repeated rows and null ids come back as they are. Kept columns are renamed while the measurements are
     made, so their names can't clash; a kept column named like a measurement is refused (ValueError). Texts of any
-    length are measured whole, up to 2^24 words.
+    length are measured whole.
     """
     measures = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_exclamations", "fail_bits"]
     if clash := set(keep) & set(measures):
         raise ValueError(f"columns named like measurements: {sorted(clash)}")
-    held = [F.col(c).alias(f"__{i}") for i, c in enumerate(keep)]
+    held = [F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(keep)]
     names = [f"__{i}" for i in range(len(keep))]
-    d = docs.select(*held, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    d = docs.select(*held, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"))
     d = d.select("*", words(F.col("t")).alias("w"))
     d = d.select("*", F.size("w").alias("n"))
     d = d.select("*", _window_keys(F.col("w"), F.col("n")).alias("k"))
-    d = d.select(*names, "t", "w", "n", _repeated(F.col("k"), F.col("w")).alias("p"))
+    d = d.select("*", _neighbours(F.col("k"), F.col("w")).alias("s"))
+    d = d.select(*names, "t", "w", "n", _repeated(F.col("k"), F.col("s"), F.col("w"), F.col("n")).alias("p"))
     full = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     t = F.col("t")
     d = d.select(
