@@ -120,9 +120,9 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], counts: Data
     return dealt.join(each, [*keys, "__way"]).drop("__way")
 
 
-def counted_join(left: DataFrame, right: DataFrame, keys: list[str], scratch: Scratch, name: str) -> DataFrame:
-    """spread_join() for a written left whose keys are still to be counted."""
-    counts = scratch.save(left.groupBy(*keys).agg(F.count("*").alias("n")), name)
+def counted_join(left: DataFrame, right: DataFrame, keys: list[str], scratch: Scratch, name: str, keyed: DataFrame | None = None) -> DataFrame:
+    """spread_join() for a left whose keys are still to be counted, in the written table keyed or in left itself."""
+    counts = scratch.save((left if keyed is None else keyed).groupBy(*keys).agg(F.count("*").alias("n")), name)
     return spread_join(left, right, keys, counts, counts.agg(F.sum("n")).first()[0] or 0)
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, fence
+from .common import Scratch, counted_join, fence, let, spread_join
 from .quality import BLANK, BLANKS, words
 
-#: Lines of fewer words are left alone: headings and list items repeat by nature.
-MIN_WORDS = 8
+#: Lines of fewer words go only as equal copies: one word in fewer than eight is another line.
+NEAR_WORDS = 8
 
 
 def normal(line: Column) -> Column:
@@ -24,12 +24,22 @@ def _hashes(s: Column) -> list[Column]:
     return [F.xxhash64(s).alias("h1"), F.xxhash64(F.lit(1), s).alias("h2")]
 
 
-def occurrences(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(doc_id, line_no, s, n) of the lines that take part."""
-    d = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("line_no", "line"))
+def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, line_no, s, n) of the lines that aren't blank."""
+    key = F.col(f"`{id_col}`")
+    d = docs.where(key.isNotNull()).select(key.cast("long").alias("doc_id"), F.posexplode(F.split(F.col(f"`{text_col}`").cast("string"), "\n")).alias("line_no", "line"))
     d = d.select("doc_id", "line_no", normal(F.col("line")).alias("s"))
-    d = fence(d.select("*", (F.octet_length("s") - F.octet_length(F.replace("s", F.lit(" "), F.lit(""))) + 1).alias("n")))
-    return d.where((F.col("n") >= min_words) & (F.col("s") != ""))
+    return fence(d.select("*", (F.octet_length("s") - F.octet_length(F.replace("s", F.lit(" "), F.lit(""))) + 1).alias("n"))).where(F.col("s") != "")
+
+
+def dense(values: Column, kind: str) -> Column:
+    """Structs of an array (line_no, v), one per line_no, as an array that holds v at its line_no and null elsewhere."""
+
+    def spread(x: Column, i: Column, of: Column) -> Column:
+        gap = x["line_no"] - F.coalesce(F.get(of, i - 1)["line_no"], F.lit(-1)) - 1
+        return F.concat(F.array_repeat(F.lit(None).cast(kind), gap), F.array(x["v"]))
+
+    return let(F.sort_array(values), lambda of: F.flatten(F.transform(of, lambda x, i: spread(x, i, of))))
 
 
 def _halves(s: Column, n: Column) -> Column:
@@ -54,99 +64,119 @@ def _halves(s: Column, n: Column) -> Column:
 WHOLE, SHORT, OPEN = 0, 1, 2
 
 
-def _chain(w: Column) -> Column:
-    """Running hashes of the first 0, 1, 2, .. words."""
-    return F.aggregate(w, F.array(F.lit(7).cast("long")), lambda acc, x: F.array_append(acc, F.xxhash64(F.element_at(acc, -1), x)))
+def _chain(w: Column, n: Column) -> Column:
+    """Two 64-bit hashes each of the first 0, 1, 2, .. words. Word i's hash names i, and the hash of a prefix is that
+    of its words in exclusive or, so prefixes are built by doubling: in n log n steps, whatever the line's length."""
+    both = lambda x, y, of: x[of].bitwiseXOR(F.coalesce(y[of], F.lit(0))).alias(of)
+    one = F.concat(F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))), F.transform(w, lambda x, i: F.struct(F.xxhash64(i, x).alias("a"), F.xxhash64(x, i).alias("b"))))
+    double = lambda acc, k: F.transform(acc, lambda x, i: F.struct(*[both(x, F.get(acc, i - F.call_function("shiftleft", F.lit(1), k)), of) for of in "ab"]))
+    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(n + 1)).cast("int")), one, double)
 
 
 def _variants(n: Column, lo: Column, hi: Column) -> Column:
-    """Keys of the deletion neighbourhood of bound one, from running hashes p of the first words and r of the last.
+    """Keys of the deletion neighbourhood of bound one, from hashes p of the first words and r of the last.
 
     The line without word i is named by i and the hashes of what stands before and after. It equals a shorter line's
     key at split i if that line is what is left (an insertion), and, under another seed, the key of a line that
-    differs in word i alone (a substitution). Words outside lo..hi are known to be equal in every partner.
+    differs in word i alone (a substitution). Words outside lo..hi are known to be equal in every partner. A key is
+    two hashes of 64 bits, so keys of different variants are not equal by chance.
     """
     p, r = F.col("p"), F.col("r")
-    one = lambda t, key: F.struct(F.lit(t).alias("t"), key.alias("key"))
+
+    def one(t: int, seed: str, i: Column, size: Column, rest: Column) -> Column:
+        x, y = F.get(p, i), F.get(r, rest)
+        return F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(seed), i, size, x["a"], y["a"]).alias("k1"), F.xxhash64(x["b"], y["b"], i, size, F.lit(seed)).alias("k2"))
 
     def at(i: Column) -> Column:
-        short = one(SHORT, F.xxhash64(F.lit("d"), i, n - 1, F.get(p, i), F.get(r, n - 1 - i)))
-        open_ = one(OPEN, F.xxhash64(F.lit("s"), i, n, F.get(p, i), F.get(r, n - 1 - i)))
-        whole = one(WHOLE, F.xxhash64(F.lit("d"), i, n, F.get(p, i), F.get(r, n - i)))
+        short, open_, whole = one(SHORT, "d", i, n - 1, n - 1 - i), one(OPEN, "s", i, n, n - 1 - i), one(WHOLE, "d", i, n, n - i)
         return F.when(i < n, F.array(short, open_, whole)).otherwise(F.array(whole))
 
     return F.flatten(F.transform(F.sequence(lo, hi), at))
 
 
+def _common(a: str, b: str) -> str:
+    """SQL: how many words two arrays share from the start."""
+    same = f"array_position(zip_with({a}, {b}, (x, y) -> x <=> y), false)"
+    return f"if({same} = 0, least(size({a}), size({b})), {same} - 1)"
+
+
 def within_one(a: str = "a", b: str = "b") -> Column:
-    """Whether word arrays differ by at most one inserted, deleted or replaced word."""
-    return F.expr(
-        f"""abs(size({a}) - size({b})) <= 1 and exists(sequence(0, greatest(size({a}), size({b}))), i ->
-        slice({a}, 1, i) = slice({b}, 1, i) and
-        (slice({a}, i + 2, size({a})) = slice({b}, i + 2, size({b})) or slice({a}, i + 1, size({a})) = slice({b}, i + 2, size({b}))
-         or slice({a}, i + 2, size({a})) = slice({b}, i + 1, size({b}))))"""
-    )
+    """Whether word arrays differ by at most one inserted, deleted or replaced word: what they share from both ends
+    leaves no more than that. One pass from each end."""
+    shared = f"({_common(a, b)} + {_common(f'reverse({a})', f'reverse({b})')})"
+    return F.expr(f"abs(size({a}) - size({b})) <= 1 and {shared} >= greatest(size({a}), size({b})) - 1")
 
 
-def near_bounds(distinct: DataFrame, docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, min_words: int) -> DataFrame:
+def near_bounds(distinct: DataFrame, docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, near_words: int) -> DataFrame:
     """(h1, h2, bound): for lines with another within one word, the first place of the earliest such line.
 
     Only lines that share a half with another one get their deletion neighbourhood, which loses none. A bucket of
-    equal variants links each member to the bucket's earliest, never all pairs.
+    equal variants links each member to the bucket's earliest, never all pairs, and a large bucket is dealt over tasks.
     """
-    keyed = distinct.select("first", F.explode("halves").alias("key"))
-    shared = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "shared")
+    keyed = scratch.save(distinct.select("first", F.explode("halves").alias("key")), "halves")
+    shared = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     side = F.col("key").bitwiseAND(F.lit(1)) == 0
-    likely = keyed.join(shared, "key", "left_semi").groupBy("first").agg(F.bool_or(side).alias("head"), F.bool_or(~side).alias("tail"))
-    at = likely.groupBy("first.doc_id").agg(F.map_from_entries(F.collect_list(F.struct("first.line_no", F.struct("head", "tail")))).alias("at"))
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).join(at, "doc_id")
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    likely = spread_join(keyed, shared.select("key"), ["key"], shared, total).groupBy("first").agg(F.bool_or(side).alias("head"), F.bool_or(~side).alias("tail"))
+    flags = "struct<head:boolean,tail:boolean>"
+    at = likely.groupBy("first.doc_id").agg(dense(F.collect_list(F.struct("first.line_no", F.struct("head", "tail").alias("v"))), flags).alias("at"))
+    text = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("t")).join(at, "doc_id")
     lines = text.select("doc_id", "at", F.posexplode(F.split("t", "\n")).alias("line_no", "line"))
-    lines = lines.select("doc_id", "line_no", F.try_element_at("at", F.col("line_no")).alias("at"), "line").where("at is not null")
-    lines = fence(lines.select("doc_id", "line_no", "at", words(F.col("line")).alias("w"))).where(F.size("w") >= min_words)
+    lines = lines.select("doc_id", "line_no", F.get("at", F.col("line_no")).alias("at"), "line").where("at is not null")
+    lines = fence(lines.select("doc_id", "line_no", "at", words(F.col("line")).alias("w"))).where(F.size("w") >= near_words)
     lines = scratch.save(lines.groupBy("doc_id", "line_no").agg(F.first("at").alias("at"), F.min("w").alias("w")), "lines")
+    scratch.drop("halves")
     n = F.size("w")
     k = F.floor((n - 1) / 2).cast("int")
-    v = lines.select("doc_id", "line_no", n.alias("n"), F.when(~F.col("at.tail"), k).otherwise(0).alias("lo"), F.when(~F.col("at.head"), n - k).otherwise(n).alias("hi"), _chain(F.col("w")).alias("p"), _chain(F.reverse("w")).alias("r"))
+    v = lines.select("doc_id", "line_no", n.alias("n"), F.when(~F.col("at.tail"), k).otherwise(0).alias("lo"), F.when(~F.col("at.head"), n - k).otherwise(n).alias("hi"), _chain(F.col("w"), n).alias("p"), _chain(F.reverse("w"), n).alias("r"))
     v = v.select("doc_id", "line_no", F.explode(_variants(F.col("n"), F.col("lo"), F.col("hi"))).alias("v"))
-    v = scratch.save(v.select("doc_id", "line_no", "v.t", "v.key"), "variants")
+    v = scratch.save(v.select("doc_id", "line_no", "v.t", "v.k1", "v.k2"), "variants")
     me, whole = F.struct("doc_id", "line_no"), F.col("t") == WHOLE
-    low = v.groupBy("key").agg(F.min(F.when(whole, me)).alias("whole"), F.min(F.when(~whole, me)).alias("short"), F.count("*").alias("c")).where("c > 1")
+    low = v.groupBy("k1", "k2").agg(F.min(F.when(whole, me)).alias("whole"), F.min(F.when(~whole, me)).alias("short"), F.count("*").alias("n")).where("n > 1")
+    low = scratch.save(low, "low")
     other = F.when(F.col("t") == SHORT, F.col("whole")).otherwise(F.col("short"))
-    pairs = v.join(low.drop("c"), "key").select("doc_id", "line_no", other.alias("o")).where(F.col("o").isNotNull() & (F.col("o") < me))
+    total = low.agg(F.sum("n")).first()[0] or 0
+    pairs = spread_join(v, low.drop("n"), ["k1", "k2"], low.select("k1", "k2", "n"), total).select("doc_id", "line_no", other.alias("o")).where(F.col("o").isNotNull() & (F.col("o") < me))
     pairs = scratch.save(pairs.select("doc_id", "line_no", F.col("o.doc_id").alias("doc_b"), F.col("o.line_no").alias("line_b")).distinct(), "pairs")
     scratch.drop("variants")
+    scratch.drop("low")
     a = lines.select("doc_id", "line_no", F.col("w").alias("a"))
     b = lines.select(F.col("doc_id").alias("doc_b"), F.col("line_no").alias("line_b"), F.col("w").alias("b"))
-    found = pairs.join(a, ["doc_id", "line_no"]).join(b, ["doc_b", "line_b"]).where(within_one())
-    found = found.groupBy(me.alias("first")).agg(F.min(F.struct(F.col("doc_b").alias("doc_id"), F.col("line_b").alias("line_no"))).alias("bound"))
+    met = counted_join(pairs.join(a, ["doc_id", "line_no"]), b, ["doc_b", "line_b"], scratch, "met", pairs)
+    found = met.where(within_one()).groupBy(me.alias("first")).agg(F.min(F.struct(F.col("doc_b").alias("doc_id"), F.col("line_b").alias("line_no"))).alias("bound"))
     return distinct.select("h1", "h2", "first").join(found, "first").select("h1", "h2", "bound")
 
 
-def dedup_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, counts: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", near_words: int = NEAR_WORDS, counts: bool = False) -> DataFrame:
     """docs with repeated lines taken out of the texts; with counts also n_lines and n_removed (long).
 
-    A line of at least min_words words goes if an equal line, or one within one inserted, deleted or replaced word,
-    stands earlier in the corpus, in order of id and line number; blanks between words don't count. The earliest
-    stays. All other lines, and texts without a removed line, stay as they are to the byte; a text whose lines all
-    go becomes empty. Null texts stay null, rows with null ids take no part. Rows that repeat an id and text are
-    treated alike. n_chars, where there is such a column, follows the text. Other columns pass through whatever
-    their names.
+    A line that isn't blank goes if an equal line stands earlier in the corpus, in order of id and line number, or,
+    from near_words words on, one within one inserted, deleted or replaced word; blanks between words don't count.
+    The earliest stays. All other lines, and texts without a removed line, stay as they are to the byte; a text whose
+    lines all go becomes empty. Null texts stay null, rows with null ids take no part. Rows that repeat an id and
+    text are treated alike. n_chars, where there is such a column, follows the text. Other columns pass through
+    whatever their names. The cost of a line of n words is of the order n log n, that of a text of its lines.
 
     Native functions only. Every shuffle but two carries hashes and places; minima are combined before them, and
-    joins on a line's hash are plain equi joins that the adaptive skew join splits.
+    lines or variants that a large part of the rows share are dealt over several tasks.
     """
-    occ = occurrences(docs, id_col, text_col, min_words)
-    occ = scratch.save(occ.select("doc_id", "line_no", *_hashes(F.col("s")), _halves(F.col("s"), F.col("n")).alias("halves")), "occurrences")
-    distinct = scratch.save(occ.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("c"), F.min("halves").alias("halves")), "distinct")
-    near = near_bounds(distinct, docs, scratch, id_col, text_col, min_words)
-    bounds = distinct.where("c > 1").select("h1", "h2", F.col("first").alias("bound")).union(near).groupBy("h1", "h2").agg(F.min("bound").alias("bound"))
+    occ = occurrences(docs, id_col, text_col)
+    halves = F.when(F.col("n") >= near_words, _halves(F.col("s"), F.col("n")))
+    occ = scratch.save(occ.select("doc_id", "line_no", *_hashes(F.col("s")), halves.alias("halves")), "occurrences")
+    distinct = scratch.save(occ.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), F.min("halves").alias("halves")), "distinct")
+    near = near_bounds(distinct, docs, scratch, id_col, text_col, near_words)
+    bounds = distinct.where("n > 1").select("h1", "h2", F.col("first").alias("bound"), "n").union(near.select("*", F.lit(1).cast("long"))).groupBy("h1", "h2").agg(F.min("bound").alias("bound"), F.max("n").alias("n"))
     bounds = scratch.save(bounds, "bounds")
-    gone = occ.select("doc_id", "line_no", "h1", "h2").join(bounds, ["h1", "h2"]).where(F.struct("doc_id", "line_no") > F.col("bound"))
-    gone = scratch.save(gone.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "h1")).alias("gone")), "gone")
+    total = bounds.agg(F.sum("n")).first()[0] or 0
+    gone = spread_join(occ.select("doc_id", "line_no", "h1", "h2"), bounds.drop("n"), ["h1", "h2"], bounds.select("h1", "h2", "n"), total)
+    gone = gone.where(F.struct("doc_id", "line_no") > F.col("bound"))
+    pair = "array<struct<h1:bigint,h2:bigint>>"
+    gone = gone.groupBy("doc_id", "line_no").agg(F.collect_set(F.struct("h1", "h2")).alias("v"))
+    gone = scratch.save(gone.groupBy("doc_id").agg(dense(F.collect_list(F.struct("line_no", "v")), pair).alias("gone")), "gone")
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"))
     row = row.join(gone, "doc_id", "left")
     text = F.col(f"row.`{text_col}`")
-    stays = lambda x, i: ~F.array_contains("gone", F.struct(i.alias("line_no"), F.xxhash64(normal(x)).alias("h1")))
+    stays = lambda x, i: F.coalesce(~F.array_contains(F.get("gone", i), let(normal(x), lambda s: F.struct(*_hashes(s)))), F.lit(True))
     left = F.when(F.col("gone").isNotNull(), F.filter(F.split(text.cast("string"), "\n"), stays))
     row = row.select("row", left.alias("left"))
     n = F.coalesce(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
@@ -167,10 +197,11 @@ OP10_SQL = rf"""
 WITH s AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, i, ls[i] AS line, list_filter(string_split_regex(ls[i], '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
              doc_id * 10000000 + i AS pos FROM s, unnest(range(1, len(ls) + 1)) AS u(i)),
-d AS (SELECT w, min(pos) AS pos FROM l WHERE len(w) >= {MIN_WORDS} GROUP BY w),
-v AS (SELECT w, pos, false AS cut, 'd' AS kind, w AS k FROM d
-      UNION ALL SELECT w, pos, true, 'd', list_concat(w[1:j - 1], w[j + 1:len(w)]) FROM d, unnest(range(1, len(w) + 1)) AS u(j)
-      UNION ALL SELECT w, pos, true, 's' || j, list_concat(w[1:j - 1], w[j + 1:len(w)]) FROM d, unnest(range(1, len(w) + 1)) AS u(j)),
+d AS (SELECT w, min(pos) AS pos FROM l WHERE len(w) > 0 GROUP BY w),
+e AS (SELECT * FROM d WHERE len(w) >= {NEAR_WORDS}),
+v AS (SELECT w, pos, false AS cut, 'd' AS kind, w AS k FROM e
+      UNION ALL SELECT w, pos, true, 'd', list_concat(w[1:j - 1], w[j + 1:len(w)]) FROM e, unnest(range(1, len(w) + 1)) AS u(j)
+      UNION ALL SELECT w, pos, true, 's' || j, list_concat(w[1:j - 1], w[j + 1:len(w)]) FROM e, unnest(range(1, len(w) + 1)) AS u(j)),
 b AS (SELECT kind, k, min(CASE WHEN NOT cut THEN pos END) AS whole, min(CASE WHEN cut THEN pos END) AS short FROM v GROUP BY kind, k HAVING count(*) > 1),
 n AS (SELECT v.w, min(CASE WHEN v.kind <> 'd' THEN b.short WHEN v.cut THEN b.whole ELSE b.short END) AS bound
       FROM v JOIN b ON v.kind = b.kind AND v.k = b.k GROUP BY v.w),

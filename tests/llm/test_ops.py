@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -366,14 +367,16 @@ def test_pii_model_and_masks(spark):
 
 
 def brute_lines(texts, least):
-    seen, out = [], []
+    same, seen, out = set(), collections.defaultdict(set), []
     for t in texts:
         keep = []
         for x in (t or "").split("\n"):
-            w = x.split()
-            if len(w) >= least:
-                gone = any(near(w, s) for s in seen)
-                seen.append(w)
+            w = tuple(re.findall(r"[^\x20\x09-\x0d]+", x))
+            if w:
+                gone = w in same or len(w) >= least and any(near(w, s) for k in (-1, 0, 1) for s in seen[len(w) + k])
+                same.add(w)
+                if len(w) >= least:
+                    seen[len(w)].add(w)
                 if gone:
                     continue
             keep.append(x)
@@ -399,16 +402,38 @@ def test_line_dedup_against_all_pairs(spark, scratch):
         for _ in range(r.randrange(3)):
             i, k = r.randrange(len(w)), r.randrange(3)
             w[i : i + 1] = [r.choice("xyz")] if k == 0 else [] if k == 1 else [w[i], "q"]
-        return r.choice((" ", "  ")).join(w) + r.choice(("", " "))
+        return r.choice((" ", "  ")).join(w[: r.choice((2, 9, 9, 9))]) + r.choice(("", " "))
 
     texts = ["\n".join(line() for _ in range(r.randrange(5))) for _ in range(80)] + [None, ""]
     d = docs(spark, texts)
-    got = {x.doc_id: x.text for x in lines.dedup_lines(d, scratch, min_words=4).collect()}
+    got = {x.doc_id: x.text for x in lines.dedup_lines(d, scratch, near_words=4).collect()}
     assert got == dict(enumerate(brute_lines(texts, 4)))
     assert lines.dedup_lines(d, scratch).columns == d.columns
     assert lines.dedup_lines(d.where("false"), scratch).count() == 0
     same_rows = lines.dedup_lines(docs(spark, ["a b c d e f g h"] * 2, [None, 1]), scratch).collect()
     assert {x.text for x in same_rows} == {"a b c d e f g h"}
+    odd = d.withColumn("gone", F.lit(1)).withColumn("a.b", F.lit(2)).withColumn("line_no", F.lit(3))
+    got = lines.dedup_lines(odd, scratch, near_words=4)
+    assert got.columns == odd.columns and {x.doc_id: x.text for x in got.collect()} == dict(enumerate(brute_lines(texts, 4)))
+    other = docs(spark, ["x y\nz", "x y\nz", "z\nx y"], [1, 1, 1])  # an id that repeats, with another text
+    assert sorted(x.text for x in lines.dedup_lines(other, scratch).collect()) == ["x y", "x y", "z"]
+
+
+def test_short_lines_and_lines_without_blanks(spark, scratch):
+    texts = ["menu\n\n道路の状態を調べる調査の記録です\nkeep", "keep\n \nmenu", "道路の状態を調べる調査の記録です\n\nnew", "道路の状態を調べる調査の記録"]
+    got = {x.doc_id: x.text for x in lines.dedup_lines(docs(spark, texts), scratch).collect()}
+    assert got == dict(enumerate(brute_lines(texts, 8))) and got[1] == " " and got[2] == "\nnew" and got[3] == texts[3]
+
+
+def test_long_lines_and_many_lines(spark, scratch):
+    """A line of 100,000 words against one that differs in one word, and a text of 30,000 lines that all stand earlier."""
+    w = [f"w{i % 977}" for i in range(100_000)]
+    many = "\n".join(f"line {i}" for i in range(30_000))
+    texts = [" ".join(w), " ".join([*w[:70_000], "other", *w[70_001:]]), " ".join([*w[:5], *w[6:]]), " ".join([*w[:5], "p", *w[6:70_000], "other", *w[70_001:]]), many, many]
+    t = time.monotonic()
+    got = {x.doc_id: x.text for x in lines.dedup_lines(docs(spark, texts), scratch).collect()}
+    assert got == {0: texts[0], 1: "", 2: "", 3: "", 4: many, 5: ""}  # 3 is one word from 1, if two from 0
+    assert time.monotonic() - t < 120
 
 
 def test_queries_on_whole_tables(spark, data):
