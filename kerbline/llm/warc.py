@@ -11,7 +11,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, filesystem
+from .common import Scratch, filesystem, spread_join
 
 MAGIC = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
@@ -75,16 +75,19 @@ def _write(batches, folder: str, most: int):
         yield pa.RecordBatch.from_pydict({"path": [r[0] for r in rows], "bytes": [r[1] for r in rows], "records": [r[2] for r in rows]})
 
 
-def firsts(pages: DataFrame, least: int = 0) -> DataFrame:
+def firsts(pages: DataFrame, scratch: Scratch, least: int = 0) -> DataFrame:
     """(page_id, first): pages whose payload of at least `least` bytes an earlier page_id holds too.
 
-    Only digests and ids are shuffled; minima are combined before the shuffle, and the join back is a plain equi
-    join that the adaptive skew join may split, so a payload that a third of all pages share is no hot task.
+    Only digests and ids are shuffled; minima are combined before the shuffle, and a payload that very many pages
+    share has its pages dealt over several tasks.
     """
     body = F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary"))
-    keys = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.sha1(body).alias("d"), F.length(body).alias("n")).where(F.col("n") >= least)
-    low = keys.groupBy("d").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("last > first").select("d", "first")
-    return keys.join(low, "d").where("page_id > first").select("page_id", "first")
+    keys = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.unhex(F.sha1(body)).alias("d"), F.length(body).alias("size")).where(F.col("size") >= least)
+    keys = scratch.save(keys.select("page_id", "d"), "digests")
+    low = keys.groupBy("d").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.count("*").alias("n")).where("last > first")
+    low = scratch.save(low.select("d", "first", "n"), "shared")
+    total = low.agg(F.sum("n")).first()[0] or 0
+    return spread_join(keys, low.select("d", "first"), ["d"], low.select("d", "n"), total).where("page_id > first").select("page_id", "first")
 
 
 def write_archives(pages: DataFrame, scratch: Scratch, least: int = 0, most: int = 64 << 20) -> DataFrame:
@@ -94,7 +97,7 @@ def write_archives(pages: DataFrame, scratch: Scratch, least: int = 0, most: int
     a response. Repeated rows with the smallest page_id are all responses. Other columns are not read. No rows: an
     empty manifest.
     """
-    seen = scratch.save(firsts(pages, least).distinct(), "firsts")
+    seen = scratch.save(firsts(pages, scratch, least).distinct(), "firsts")
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("binary").alias("html"))
     todo = p.join(seen, "page_id", "left").select("page_id", "url", "html", "first")
     folder = scratch.path("archives")
@@ -131,6 +134,7 @@ def _candidates(batches):
             fs, at = filesystem(path)
             with fs.open_input_file(at) as f:
                 data = f.read_at(min(size, end + len(MAGIC)) - start, start)
+                ends = lambda at: data[at - start : at - start + len(END)] if at + len(END) <= start + len(data) else f.read_at(len(END), at)
                 places = [start + m.start() for m in re.finditer(re.escape(MAGIC), data) if start + m.start() < end]
                 succ = {}
                 for p in places:
@@ -139,7 +143,7 @@ def _candidates(batches):
                         head = parse_header(f.read_at(min(size - p, MOST_HEADER + len(END)), p))
                     if head:
                         nxt = p + head[0] + int(head[1]["content-length"]) + len(END)
-                        if nxt <= size and f.read_at(len(END), nxt - len(END)) == END:
+                        if nxt <= size and ends(nxt - len(END)) == END:  # only a record that leaves the range is looked up
                             succ[p] = nxt
             exits = {}
             for p in sorted(succ, reverse=True):
@@ -163,7 +167,7 @@ def chain(manifest: DataFrame, scratch: Scratch, split: int = 16 << 20) -> DataF
     n = files.agg(F.sum(F.ceil(F.col("bytes") / split)), F.max(F.ceil(F.col("bytes") / split))).first()
     width = max(1, min(int(n[0] or 1), 4 * spark.sparkContext.defaultParallelism))
     got = ranges.repartition(width).mapInArrow(_candidates, "path string, entry long, exit long")
-    jumps = scratch.save(got, "candidates")
+    jumps = candidates = scratch.save(got, "candidates")
     reached = files.select("path", F.lit(0).cast("long").alias("entry"))
     steps, k = max(0, int(n[1] or 1) - 1), 0
     while (1 << k) <= steps:  # after round k every record within 2^(k+1) ranges is reached
@@ -173,9 +177,9 @@ def chain(manifest: DataFrame, scratch: Scratch, split: int = 16 << 20) -> DataF
         if (1 << k) <= steps:
             twice = jumps.select("path", F.col("entry").alias("from"), F.col("exit").alias("entry")).join(jumps, ["path", "entry"])
             jumps = scratch.save(twice.select("path", F.col("from").alias("entry"), "exit").where("exit >= 0"), f"jumps-{k}")
-    true = ranges.join(reached, "path").where("entry >= start and entry < end")
-    ends = scratch.save(true, "entries")
-    last = reached.join(got if not k else scratch.spark.read.parquet(f"{scratch.root}/*-candidates"), ["path", "entry"]).groupBy("path").agg(F.max("exit").alias("to"))
+    at = reached.withColumn("start", F.col("entry") - F.col("entry") % split)
+    ends = scratch.save(ranges.join(at, ["path", "start"]).where("entry < end"), "entries")
+    last = reached.join(candidates, ["path", "entry"]).groupBy("path").agg(F.max("exit").alias("to"))
     if (bad := files.join(last, "path", "left").where("coalesce(to, -1) <> bytes").select("path").first()) is not None:
         raise ValueError(f"the record chain of {bad[0]} breaks")
     return ends

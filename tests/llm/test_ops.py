@@ -169,6 +169,19 @@ def test_warc_round_trip_with_magic_in_payloads(spark, scratch):
     assert warc.read_archives(warc.write_archives(pages.where("false"), scratch), scratch).count() == 0
 
 
+def test_warc_edges(spark, scratch):
+    """Null ids, repeated rows, one payload in most rows, payloads longer than several ranges, odd columns."""
+    long = "x" * 9000 + "\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" + "y" * 9000
+    rows = [(None, "u", "hot"), (None, "u", "hot"), (5, "u", "hot"), (5, "u", "hot"), (4, None, long), (6, "u", long), (4, None, long), *((100 + i, "u", "hot") for i in range(300))]
+    pages = spark.createDataFrame([(*r, 1, 2) for r in rows], "page_id long, url string, html string, d int, `a.b` int").repartition(3)
+    m = warc.write_archives(pages, scratch, most=20_000)
+    got = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_archives(m, scratch, split=1000).collect()), key=str)
+    want = [(None, "response", None, 3)] * 2 + [(5, "response", None, 3)] * 2 + [(4, "response", None, len(long))] * 2 + [(6, "revisit", 4, len(long))] + [(100 + i, "revisit", 5, 3) for i in range(300)]
+    assert got == sorted(want, key=str)
+    kept = warc.write_archives(pages, scratch, least=4)
+    assert {(r.page_id, r.record_type) for r in warc.read_archives(kept, scratch).collect() if r.page_id in (5, 6, 100)} == {(5, "response"), (6, "revisit"), (100, "response")}
+
+
 def test_warc_broken_chain_raises(spark, scratch):
     m = warc.write_archives(spark.createDataFrame([(1, "u", "x" * 100), (2, "u", "y" * 100)], "page_id long, url string, html string").coalesce(1), scratch)
     path = m.first().path.removeprefix("file://")
@@ -247,6 +260,18 @@ def test_top_k_against_all_pairs(spark, scratch):
     assert topk.top_k(spark.createDataFrame(rows[:1], "vec_id long, embedding array<double>, score int"), scratch).count() == 0
 
 
+def test_top_k_with_repeated_rows(spark, scratch):
+    r = np.random.default_rng(8)
+    rows = [(int(i), [float(x) for x in r.integers(-2, 3, 3)]) for i in r.integers(0, 12, 60)] + [(10, [1.0, 1.0, 1.0])] * 4
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), scratch, every=5, k=3).collect()
+    want = []
+    for i, (q, v) in enumerate(rows):
+        if q % 5 == 0:
+            best = sorted((-sum(int(x * 1024) * int(y * 1024) for x, y in zip(v, w)), c) for j, (c, w) in enumerate(rows) if j != i)[:3]
+            want += [(q, n + 1, c, -s) for n, (s, c) in enumerate(best)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_secret_spans_and_ownership(spark, scratch):
     key = "Ab3xY9kLm2Qw7ZtR5vN8pHs4JdFg6K"
     texts = ["x token = 'abcdefghijkl' y", "token: short", "AKIA" + "A" * 14, "deadbeef" * 3, f"k {key} z", f"k {key} z", f"k {key} z", "", None, "PassWord=" + "z" * 50_000]
