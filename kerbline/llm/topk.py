@@ -14,17 +14,17 @@ HEAD, BLOCK, QUERIES, SEED = 16, 8192, 1024, 4096
 
 
 def quantized(table: DataFrame, scale: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(vec_id, v, sq) of the vectors that take part: v = floor(scale * x) as longs, sq its squared length.
+    """(row, vec_id, v, sq) of the vectors that take part: v = floor(scale * x) as longs, sq its squared length, row a
+    number of its own for each row of the table.
 
-    Null vectors, vectors that hold null, NaN or infinity, empty ones and rows with a null id take no part.
-    Of rows that repeat an id the one with the smallest vector counts.
+    Null vectors, vectors that hold null, NaN or infinity, empty ones and rows with a null id take no part. Rows that
+    repeat an id, or an id and its vector, all take part.
     """
     x = F.col("x")
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    d = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("x"))
+    d = table.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vec_col}`").cast("array<double>").alias("x"))
     d = d.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0)).where(fine)
-    d = d.select("vec_id", F.transform("x", lambda c: F.floor(c * F.lit(float(scale)))).alias("v"))
-    d = d.groupBy("vec_id").agg(F.min("v").alias("v"))
+    d = d.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.transform("x", lambda c: F.floor(c * F.lit(float(scale)))).alias("v"))
     return d.withColumn("sq", F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double")))
 
 
@@ -90,7 +90,7 @@ def _dots(a, b, i, j, most: float):
 
 
 class _Best:
-    """Per query the k best (score, id) so far."""
+    """Per query the k best (score, id) so far"""
 
     def __init__(self, n: int, k: int):
         import numpy as np
@@ -126,25 +126,24 @@ def _search(batches, queries: str, turn, dim: int, k: int):
     import pyarrow as pa
 
     def blocks():
-        ids, vs = [], []
+        held = []
         for b in batches:
-            ids.append(b.column(0).to_numpy())
-            vs.append(_matrix(b.column(1), dim))
-            if sum(map(len, ids)) >= BLOCK:
-                yield np.concatenate(ids), np.concatenate(vs)
-                ids, vs = [], []
-        if ids:
-            yield np.concatenate(ids), np.concatenate(vs)
-
-    for cid, cv in blocks():
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2), dim)))
+            if sum(len(h[0]) for h in held) >= BLOCK:
+                yield map(np.concatenate, zip(*held, strict=True))
+                held = []
+        if held:
+            yield map(np.concatenate, zip(*held, strict=True))
+
+    for crow, cid, cv in blocks():
         cf = cv.astype(np.float64)
         norm = np.sqrt((cf * cf).sum(axis=1))
         order = np.argsort(-norm, kind="stable")
-        cid, cv, cf, norm = cid[order], cv[order], cf[order], norm[order]
+        crow, cid, cv, cf, norm = crow[order], cid[order], cv[order], cf[order], norm[order]
         cr = cf @ turn
         chead, crest = cr[:, :HEAD], np.sqrt((cr[:, HEAD:] ** 2).sum(axis=1))
-        for b in _read(queries, ["vec_id", "v", "theta"], QUERIES):
-            qid, qv, theta = b.column(0).to_numpy(), _matrix(b.column(1), dim), b.column(2).to_numpy(zero_copy_only=False).copy()
+        for b in _read(queries, ["row", "vec_id", "v", "theta"], QUERIES):
+            qrow, qid, qv, theta = b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2), dim), b.column(3).to_numpy(zero_copy_only=False).copy()
             qf = qv.astype(np.float64)
             qn = np.sqrt((qf * qf).sum(axis=1))
             slack = 1e-9 * qn * norm[0] + 1e-3
@@ -160,13 +159,13 @@ def _search(batches, queries: str, turn, dim: int, k: int):
                 if not len(on):
                     break
                 top = qhead[on] @ chead[at:to].T + qrest[on][:, None] * crest[None, at:to] + slack[live][on][:, None]
-                i, j = np.nonzero((top >= bound[on][:, None]) & (qid[live][on][:, None] != cid[None, at:to]))
+                i, j = np.nonzero((top >= bound[on][:, None]) & (qrow[live][on][:, None] != crow[None, at:to]))
                 if len(i):
                     s = _dots(qv[live], cv, on[i], at + j, float(qn.max() * norm[0]))
                     good = s >= bound[on[i]]
                     best.add(on[i][good], cid[at + j[good]], s[good])
             if len(best.q):
-                yield pa.RecordBatch.from_arrays([pa.array(qid[live][best.q]), pa.array(best.c), pa.array(best.s)], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (qrow[live][best.q], qid[live][best.q], best.c, best.s)], names=["row", "query_id", "vec_id", "score"])
 
 
 def _seeded(batches, seed: str, dim: int, k: int):
@@ -174,25 +173,26 @@ def _seeded(batches, seed: str, dim: int, k: int):
     import numpy as np
     import pyarrow as pa
 
-    parts = [(b.column(0).to_numpy(), _matrix(b.column(1), dim)) for b in _read(seed, ["vec_id", "v"], SEED)]
-    cid = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, dtype=np.int64)
+    parts = [(b.column(0).to_numpy(), _matrix(b.column(1), dim)) for b in _read(seed, ["row", "v"], SEED)]
+    crow = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, dtype=np.int64)
     cf = np.concatenate([p[1] for p in parts]).astype(np.float64) if parts else np.zeros((0, dim))
     for b in batches:
-        q = _matrix(b.column(1), dim).astype(np.float64)
+        q = _matrix(b.column(2), dim).astype(np.float64)
         theta = np.full(len(q), -np.inf)
         for at in range(0, len(q), 256):
             s = q[at : at + 256] @ cf.T
-            s[b.column(0).to_numpy()[at : at + 256, None] == cid[None, :]] = -np.inf
+            s[b.column(0).to_numpy()[at : at + 256, None] == crow[None, :]] = -np.inf
             if s.shape[1] >= k:
                 low = np.partition(s, -k, axis=1)[:, -k]
                 theta[at : at + 256] = low - np.where(np.isfinite(low), 1e-9 * np.abs(low) + 1e-3, 0)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(theta)], names=["vec_id", "v", "theta"])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(theta)], names=["row", "vec_id", "v", "theta"])
 
 
 def top_k(table: DataFrame, scratch: Scratch, every: int = 100, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): for each vector with id divisible by `every` its k best others, ties to the
+    """(query_id, rank, vec_id, score): for each row with id divisible by `every` its k best other rows, ties to the
     smaller id; all of them where there are fewer. See quantized() for which rows take part; an empty table gives no
-    rows; vectors shorter than the longest end in zeros; scores must fit in a long.
+    rows; vectors shorter than the longest end in zeros; scores must fit in a long. A row's doubles are candidates
+    for it as any other row is: rows that repeat an id each get k ranks of their own, and an id may hold several.
 
     Candidates are dealt by range of length, longest first. Queries are read from shared storage a block at a time,
     so no task holds more than a block of each side, and a block whose longest vector can't reach a query's bound is
@@ -202,13 +202,13 @@ def top_k(table: DataFrame, scratch: Scratch, every: int = 100, k: int = 10, sca
     dim = all_.agg(F.max(F.size("v"))).first()[0] or 1
     turn = rotation(all_, dim)
     seed = scratch.path("seed")
-    all_.orderBy(F.desc("sq"), "vec_id").limit(SEED).select("vec_id", "v").coalesce(1).write.parquet(seed)
+    all_.orderBy(F.desc("sq"), "row").limit(SEED).select("row", "v").coalesce(1).write.parquet(seed)
     queries = scratch.path("queries")
-    q = all_.where(F.col("vec_id") % every == 0).select("vec_id", "v")
-    q.repartition("vec_id").mapInArrow(partial(_seeded, seed=seed, dim=dim, k=k), "vec_id long, v array<long>, theta double").write.parquet(queries)
-    sorted_ = all_.repartitionByRange(F.desc("sq"), F.col("vec_id")).sortWithinPartitions(F.desc("sq")).select("vec_id", "v")
-    found = sorted_.mapInArrow(partial(_search, queries=queries, turn=turn, dim=dim, k=k), "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    q = all_.where(F.col("vec_id") % every == 0).select("row", "vec_id", "v")
+    q.repartition("row").mapInArrow(partial(_seeded, seed=seed, dim=dim, k=k), "row long, vec_id long, v array<long>, theta double").write.parquet(queries)
+    sorted_ = all_.repartitionByRange(F.desc("sq"), F.col("row")).sortWithinPartitions(F.desc("sq")).select("row", "vec_id", "v")
+    found = sorted_.mapInArrow(partial(_search, queries=queries, turn=turn, dim=dim, k=k), "row long, query_id long, vec_id long, score long")
+    w = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -217,12 +217,13 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = """
-WITH u AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings
-           WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding)
+WITH n AS (SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, embedding FROM embeddings
+           WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding) AND len(embedding) > 0 AND vec_id IS NOT NULL
              AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0),
-v AS (SELECT vec_id, i, CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) AS c FROM u),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.c * c.c) AS BIGINT) AS score
-      FROM v q JOIN v c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0 GROUP BY 1, 2),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+u AS (SELECT row, vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM n),
+v AS (SELECT row, vec_id, i, CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) AS c FROM u),
+s AS (SELECT q.row, q.vec_id AS query_id, c.row AS other, c.vec_id, CAST(sum(q.c * c.c) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.i = c.i AND q.row <> c.row WHERE q.vec_id % 100 = 0 GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
