@@ -94,6 +94,13 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def running(values: Column, op=lambda x, y: x + F.coalesce(y, F.lit(0))) -> Column:
+    """Running totals of an array, itself included (or another op of a value and one before it or null), by doubling:
+    n log n steps. A fold that appends would copy what it has for every element."""
+    back = lambda i, k: i - F.call_function("shiftleft", F.lit(1), k)
+    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + 1)).cast("int")), values, lambda acc, k: F.transform(acc, lambda x, i: op(x, F.get(acc, back(i, k)))))
+
+
 def fence(df: DataFrame) -> DataFrame:
     """df behind a generator of one row each. A filter that stands above is not moved below it, where Catalyst would
     put the columns' expressions in the place of their names and compute them again, in lambdas for every element."""

@@ -274,7 +274,7 @@ def test_top_k_with_repeated_rows(spark, scratch):
 
 def test_secret_spans_and_ownership(spark, scratch):
     key = "Ab3xY9kLm2Qw7ZtR5vN8pHs4JdFg6K"
-    texts = ["x token = 'abcdefghijkl' y", "token: short", "AKIA" + "A" * 14, "deadbeef" * 3, f"k {key} z", f"k {key} z", f"k {key} z", "", None, "PassWord=" + "z" * 50_000]
+    texts = ["x token = 'abcdefghijkl' y", "token: short", "AKIA" + "A" * 14, "deadbeef" * 3, f"k {key} z", f"k {key} z", f"k {key} z", "", None, "PassWord=" + "zq8Kw" * 10_000]
     got = {r.doc_id: r for r in secrets.scan(docs(spark, texts), scratch).selectExpr("doc_id", secrets.span_text("found") + " AS f", "size(live) AS live").collect()}
     assert [got[i].f for i in (0, 1, 2, 3, 7, 8)] == ["assign:2:23", "", "access:0:18", "hex:0:24", "", ""]
     assert got[4].f == "mixed:2:32" and got[4].live == 0  # three owners hold it
@@ -283,6 +283,52 @@ def test_secret_spans_and_ownership(spark, scratch):
     assert secrets.scan(docs(spark, texts).where("false"), scratch).count() == 0
 
 
+SECRETS = (
+    ("assign", r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']? *[:=] *[\"']?([A-Za-z0-9+/_.=-]+)", 12),
+    ("access", r"(AKIA[A-Z0-9]+)", 18),
+    ("hex", r"([0-9a-f]+)", 16),
+)
+
+
+def test_secret_spans_against_plain_patterns(spark, scratch):
+    """Base and added spans of random texts, and each value's owners and documents, against plain versions."""
+    r = random.Random(12)
+    keys = ["".join(r.choice("abcXYZ0123456789") for _ in range(26)) for _ in range(6)]
+    parts = ["password", "Token", "api_key", "apikey", " = ", ":", '"', "'", "AKIA", "IOSFODNN7EXAMPLE22", "deadbeef", "0123456789abcdef", "ab", "Z", " ", "é", "🙂", "secret", "ſ", "\n", "x" * 12, *keys]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(600)]
+    rows = [(i, t, "en", None if i % 7 == 0 else f"s{r.randrange(5)}", 0, 1, "x") for i, t in enumerate(texts)]
+    rows += rows[:40]  # repeated rows
+    d = spark.createDataFrame(rows, DOCS).withColumn("row", F.lit(1)).withColumn("found", F.lit(2)).withColumn("a.b", F.lit(3)).repartition(3)
+    base, more, holds = {}, {}, collections.defaultdict(set)
+    for i, t, _, owner, *_ in rows:
+        spans = [(m.start(), k, m.end(), n, m[1]) for k, (n, p, least) in enumerate(SECRETS) for m in re.finditer(p, t) if len(m[1]) >= least]
+        base[i] = sorted(spans)
+        runs = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[A-Za-z0-9+/_=-]+", t) if len(m[0]) >= 24]
+        runs = [x for x in runs if re.search("[0-9]", x[2]) and re.search("[a-z]", x[2]) and re.search("[A-Z]", x[2]) and secrets.entropy(x[2]) >= 3.5]
+        more[i] = [x for x in runs if not any(s < x[1] and x[0] < e for s, _, e, _, _ in spans)]
+        for v in [x[4] for x in spans] + [x[2] for x in more[i]]:
+            holds[v].add((owner, i))
+    wide = {v for v, x in holds.items() if len({o for o, _ in x}) >= 3 or len(x) >= 20}
+    assert wide and len(wide) < len(holds)
+    got = secrets.scan(d, scratch).selectExpr("doc_id", secrets.span_text("filter(found, f -> f.kind < 3)") + " AS b", secrets.span_text("filter(live, f -> f.kind = 3)") + " AS m").collect()
+    assert len(got) == len(rows)
+    for x in got:
+        assert x.b == ",".join(f"{n}:{s}:{e}" for s, _, e, n, _ in base[x.doc_id])
+        assert x.m == ",".join(f"mixed:{s}:{e}" for s, e, v in more[x.doc_id] if v not in wide and secrets.looks_live(v))
+    have = sorted((r.n_documents, r.n_owners) for r in secrets.ownership(d, scratch).collect())
+    assert have == sorted((len({i for _, i in x}), len({o for o, _ in x})) for x in holds.values())
+
+
+def test_copied_within_one_owner_is_no_secret(spark, scratch):
+    key = "Ab3xY9kLm2Qw7ZtR5vN8pHs4JdFg6K"
+    rows = [(i, f"k {key} z", "en", "hot", 0, 1, "x") for i in range(25)] + [(30, "k Zb8xQ1kLm5Qw7ZtR5vN8pHs4JdFg9P", "en", "hot", 0, 1, "x"), (31, "token = your_token_example_here", "en", "hot", 0, 1, "x")]
+    got = {r.doc_id: r.n for r in secrets.scan(spark.createDataFrame(rows, DOCS), scratch).selectExpr("doc_id", "size(live) AS n").collect()}
+    assert [got[i] for i in (0, 24, 30, 31)] == [0, 0, 1, 0]
+    words = "\n".join(f"{i:016x} {key}{i}" for i in range(20_000))  # base spans and candidates side by side
+    t = time.monotonic()
+    assert len(secrets.more_spans(words, secrets.base_spans(words))) == 20_000 and time.monotonic() - t < 10
+
+
 def test_store_round_trip(spark, scratch):
     from tokenizers import Tokenizer
 
