@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import functools
 import math
-import random
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fence
+from .common import fence, let, running
 
 KINDS = ("email", "ip", "card", "phone", "other")
 
@@ -33,12 +32,13 @@ HINTS = {
     "hint_phone": ("phone", "tel", "call", "fax", "mobile", "cell", "whatsapp"),
     "hint_mail": ("mail", "contact", "write to", "reach"),
     "hint_id": ("ssn", "social", "passport", "iban", "account", "licen", "tax id", "born"),
+    "hint_thing": ("part", "version", "column", "count", "sum of", "lot ", "order", "draft", "parcel", "serial", "model", "licence plate", "product", "shelf", "row ", "created", "checksum", "population", "offset", "total"),
 }
 #: Characters of context on the left.
 CONTEXT = 24
 FEATURES = ("generator", "digits", "letters", "marks", "same", *HINTS)
-#: Labelled rows the trees are fitted on (half) and calibrated on (half): made by labelled_rows(), a fixed number.
-ROWS, TREES, RATE, PRECISION = 1600, 12, 0.4, 0.97
+#: Labelled texts the trees are fitted on (half) and calibrated on (half): written by labelled_texts(), a fixed number.
+TEXTS, TREES, RATE, PRECISION = 3200, 16, 0.4, 0.97
 
 
 # ---- spans
@@ -50,16 +50,11 @@ def _matches(text: Column, guard: Column, pattern: str) -> Column:
 
 def _spans(matches: Column, gaps: Column) -> Column:
     """(start, end, text, left) of each match, from the texts between matches. Lengths are code points."""
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,end:int,text:string,left:string>>").alias("out"))
-
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["pos"] + F.length(F.get(gaps, i))
-        end = start + F.length(F.get(matches, i))
-        one = F.struct(start.alias("start"), end.alias("end"), F.get(matches, i).alias("text"), F.right(F.get(gaps, i), F.lit(CONTEXT)).alias("left"))
-        return F.struct(end.alias("pos"), F.array_append(acc["out"], one).alias("out"))
-
-    walk = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), zero, step)["out"]
-    return F.when(F.size(matches) > 0, walk).otherwise(F.array().cast("array<struct<start:int,end:int,text:string,left:string>>"))
+    of = "array<struct<start:int,end:int,text:string,left:string>>"
+    steps = F.transform(matches, lambda m, i: F.length(m) + F.length(F.get(gaps, i)))
+    one = lambda m, end, i: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("text"), F.right(F.get(gaps, i), F.lit(CONTEXT)).alias("left"))
+    walk = let(running(steps), lambda ends: F.transform(matches, lambda m, i: one(m, F.get(ends, i), i)))
+    return F.when(F.size(matches) > 0, walk).otherwise(F.array().cast(of))
 
 
 def _digits(s: Column) -> Column:
@@ -125,32 +120,70 @@ def _describe(generator: int):
     return lambda s: features(generator, s)
 
 
-def labelled_rows(n: int = ROWS, seed: int = 11) -> list[tuple[tuple[int, ...], int]]:
-    """Feature rows with labels, drawn from templates: personal numbers as people write them, and look-alikes such as
-    part numbers, figures in tables, serials and prose with at and dot. The number is a parameter and doesn't grow."""
-    r, out = random.Random(seed), []
-    for _ in range(n):
-        g, y = r.randrange(len(GENERATORS)), r.random() < 0.5
-        hint = {k: 0 for k in HINTS}
-        if g == 0:
-            form = r.choice(("[at]", "(at)", "at"))
-            y = y and (form != "at" or r.random() < 0.6)
-            hint["hint_mail"] = int(r.random() < (0.8 if y else 0.02))
-            row = (g, r.choice((0, 0, 2)), r.randint(10, 24), (6 if form != "at" else 4) + r.randint(0, 2), 0)
-        elif g == 1:
-            hint["hint_phone"] = int(r.random() < (0.75 if y else 0.02))
-            row = (g, 10, 0, r.choice((2, 4)) if y or r.random() < 0.3 else 2, int(r.random() < (0.7 if y else 0.5)))
-        elif g == 2:
-            hint["hint_id"] = int(r.random() < (0.85 if y else 0.02))
-            row = (g, 9, 0, 2, 1)
-        elif g == 3:
-            hint["hint_id"] = int(r.random() < (0.8 if y else 0.01))
-            row = (g, r.randint(14, 24) if y else r.randint(6, 12), r.randint(2, 6) if y else r.randint(6, 16), r.choice((0, 4, 5)), 1)
-        else:
-            hint["hint_phone"], hint["hint_id"] = int(r.random() < (0.45 if y else 0.01)), int(r.random() < (0.45 if y else 0.01))
-            row = (g, r.randint(9, 14) if y else r.randint(8, 19), 0, r.randint(0, 4), int(r.random() < 0.7))
-        out.append((row + tuple(hint.values()), int(y)))
-    return out
+#: Per generator: what people write before and after their own data, and candidates; then the same of look-alikes.
+#: In a form # is a digit, @ a capital and % a small letter. Invented here; a form in both lists is told apart by context.
+FORMS: dict[str, tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...], tuple[str, ...]]] = {
+    "written_email": (
+        ("mail me: ", "write to ", "my contact is ", "reach me under ", "she answers as ", "e-mail "),
+        ("%%%%%.%%%% [at] %%%%%% [dot] com", "%%%%%%(at)%%%%%%(dot)org", "%%%%.%%%%% at %%%%%%% dot net", "%%%%%## [at] %%%%% [dot] de"),
+        ("we met ", "they looked ", "the train stops ", "a price of six ", "printed "),
+        ("%%%%% at %%%% dot matrix", "%%%% at %%%%%% dot chart", "%%%%%% at %%% dot three"),
+    ),
+    "local_phone": (
+        ("call ", "phone: ", "tel. ", "my mobile is ", "fax ", "whatsapp me on ", "ask for Ann, "),
+        ("###-###-####", "(###) ###-####", "###.###.####", "### ### ####"),
+        ("part no. ", "version ", "columns ", "we counted ", "sum of ", "lot "),
+        ("###-###-####", "###.###.####", "### ### ####", "### ### ####"),
+    ),
+    "social_number": (
+        ("ssn ", "my social security number is ", "ssn: ", "tax id ", "born 1970, ", "the applicant, "),
+        ("###-##-####",),
+        ("order ", "part ", "draft ", "parcel ", "see form "),
+        ("###-##-####",),
+    ),
+    "bank_account": (
+        ("iban ", "pay to account ", "IBAN: ", "my account is ", "transfer the rent to "),
+        ("@@## #### #### #### #### ##", "@@##@@@@##############", "@@## @@@@ #### #### #### ##", "@@####################"),
+        ("serial ", "model ", "licence plate list ", "product key ", "shelf mark "),
+        ("@@## @@@@ @#@@ @@#@ @@@@", "@@##@@@@@@#@@#@@", "@@## @#@# @@@@ @@##"),
+    ),
+    "digit_run": (
+        ("account ", "passport ", "phone ", "call ", "my tax id is ", "ssn "),
+        ("###########", "#########", "#### #######", "### ### ## ##"),
+        ("row ", "created ", "checksum ", "population ", "offset ", "in total "),
+        ("##############", "########", "################", "## ######", "###################"),
+    ),
+}
+
+
+def labelled_texts(spark: SparkSession, n: int = TEXTS, seed: int = 11) -> DataFrame:
+    """(id, generator, y, text): n short texts with one candidate each. Half hold somebody's data (y = 1), the others
+    a look-alike; one in 64 has the other side's words before it, so words alone don't decide. Every candidate in it, of whichever generator, has its label. A rule makes them, so
+    n is a parameter that doesn't grow with the corpus."""
+    pick = lambda of, salt: F.element_at(of, F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "id"), F.size(of)).cast("int") + 1)
+    words = lambda xs: F.array(*map(F.lit, xs))
+    by_generator = lambda part: functools.reduce(lambda a, i: F.when(F.col("generator") == i, words(FORMS[GENERATORS[i][0]][part])).otherwise(a), range(len(GENERATORS)), F.lit(None).cast("array<string>"))
+    roll = lambda salt, k: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "id"), F.lit(k)).cast("int")
+    d = spark.range(n).select("id", roll("g", len(GENERATORS)).alias("generator"), roll("y", 2).alias("y"), roll("swap", 64).alias("swap"))
+    own = F.col("y") == 1
+    before = pick(F.when(own == (F.col("swap") != 0), by_generator(0)).otherwise(by_generator(2)), "before")
+    form = pick(F.when(own, by_generator(1)).otherwise(by_generator(3)), "form")
+
+    def letter(c: Column, i: Column) -> Column:
+        k = F.pmod(F.xxhash64(F.lit(seed), "id", i), F.lit(260)).cast("int")
+        small = F.char(F.lit(97) + k % 26)
+        return F.when(c == "#", (k % 10).cast("string")).when(c == "@", F.upper(small)).when(c == "%", small).otherwise(c)
+
+    filled = F.array_join(F.transform(F.split(form, ""), letter), "")
+    around = words(("Notes of the day. ", "", "As agreed, ", "Item 4: "))
+    return d.select("id", "generator", "y", F.concat(pick(around, "head"), before, filled, pick(words((".", " and so on", ", thanks", "")), "tail")).alias("text"))
+
+
+def labelled_rows(spark: SparkSession, n: int = TEXTS, seed: int = 11) -> list[tuple[tuple[int, ...], int]]:
+    """Feature rows with labels: the generators and features() over labelled_texts(). A few rows a text reach the driver."""
+    d = labelled_texts(spark, n, seed)
+    found = candidates(d, "text", ("y",)).select("y", F.explode("cand").alias("c"))
+    return [(tuple(r[1:]), r[0]) for r in found.select("y", *[F.col(f"c.{k}") for k in FEATURES]).collect()]
 
 
 def _tree(rows: list[tuple[int, ...]], grad: list[float], hess: list[float], depth: int):
@@ -179,33 +212,47 @@ def _value(tree, row) -> float:
     return tree
 
 
-@functools.cache
-def model(n: int = ROWS) -> tuple[tuple, dict[int, float]]:
-    """(trees, threshold per generator). Equal rows are pooled, so fitting takes a fraction of a second."""
-    data = labelled_rows(n)
-    fit, held = data[: n // 2], data[n // 2 :]
-    rows, ys = [r for r, _ in fit], [y for _, y in fit]
+def fit(rows: list[tuple[tuple[int, ...], int]]) -> tuple:
+    """Boosted trees. Equal rows are pooled, so fitting takes a fraction of a second."""
     pooled: dict[tuple[int, ...], list[int]] = {}
-    for r, y in zip(rows, ys, strict=True):
+    for r, y in rows:
         c = pooled.setdefault(r, [0, 0])
         c[0] += 1
         c[1] += y
-    keys, trees, score = list(pooled), [], dict.fromkeys(pooled, 0.0)
+    keys, trees, total = sorted(pooled), [], dict.fromkeys(pooled, 0.0)
     for _ in range(TREES):
-        p = {k: 1 / (1 + math.exp(-score[k])) for k in keys}
+        p = {k: 1 / (1 + math.exp(-total[k])) for k in keys}
         grad, hess = [pooled[k][0] * p[k] - pooled[k][1] for k in keys], [pooled[k][0] * p[k] * (1 - p[k]) for k in keys]
         trees.append(_tree(keys, grad, hess, 3))
         for k in keys:
-            score[k] += RATE * _value(trees[-1], k)
+            total[k] += RATE * _value(trees[-1], k)
+    return tuple(trees)
+
+
+def value(trees: tuple, row: tuple[int, ...]) -> float:
+    return sum(RATE * _value(t, row) for t in trees)
+
+
+def calibrate(trees: tuple, held: list[tuple[tuple[int, ...], int]], precision: float = PRECISION) -> dict[int, float]:
+    """Per generator the lowest score from which held-out candidates are personal data with this precision; infinity
+    where no score reaches it."""
     cut = {}
     for g in range(len(GENERATORS)):
-        own = sorted(((sum(RATE * _value(t, r) for t in trees), y) for r, y in held if r[0] == g), reverse=True)
+        own = sorted(((value(trees, r), y) for r, y in held if r[0] == g), reverse=True)
         cut[g], good = math.inf, 0
         for i, (s, y) in enumerate(own):
             good += y
-            if good / (i + 1) >= PRECISION and (i + 1 == len(own) or own[i + 1][0] < s):
-                cut[g] = max(s, 0.0)
-    return tuple(trees), cut
+            if good / (i + 1) >= precision and (i + 1 == len(own) or own[i + 1][0] < s):
+                cut[g] = s
+    return cut
+
+
+@functools.cache
+def model(n: int = TEXTS) -> tuple[tuple, dict[int, float]]:
+    """(trees, threshold per generator), fitted on one half of n labelled texts and calibrated on the other."""
+    rows = sorted(labelled_rows(SparkSession.active(), n))
+    trees = fit(rows[::2])
+    return trees, calibrate(trees, rows[1::2])
 
 
 def score(c: Column) -> Column:
@@ -219,14 +266,9 @@ def score(c: Column) -> Column:
     return functools.reduce(lambda a, b: a + b, map(of, model()[0]))
 
 
-def find(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in keep, and base and more: arrays of (start, kind, end), kind an index into KINDS, code points.
-
-    base are the patterns' matches that pass their checks. more are candidates of the generators that touch no base
-    span, whose tree score reaches their generator's threshold; of overlapping ones the first. Null and empty texts
-    have none; rows are looked at one by one, so repeated rows and null ids come back; whole texts of any length.
-    No shuffle and no Python on the executors: the trees are conditions in the plan.
-    """
+def candidates(docs: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame:
+    """The columns in keep, base and cand: base spans that pass their checks, and the generators' candidates with
+    their features. A generator whose marks a text lacks is not run."""
     names = [f"__{i}" for i in range(len(keep))]
     d = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"))
     t = F.col("t")
@@ -240,14 +282,59 @@ def find(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_
     base = [_tagged(F.filter(F.col(f"a_{k}"), _ok(k)), i) for i, k in enumerate(KINDS[:4])]
     cand = [F.transform(F.col(f"a_{k}"), _describe(i)) for i, (k, _) in enumerate(GENERATORS)]
     d = d.select(*names, F.array_sort(F.concat(*base)).alias("base"), F.concat(*cand).alias("cand"))
+    return fence(d.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "base", "cand"))
+
+
+def _clear(hit: Column, base: Column) -> Column:
+    """Those of hit that touch no base span, by start: what the spans before reach and where the next begins, each in
+    one pass, so a text full of both costs no more than sorting them."""
+    far = (1 << 31) - 1
+    both = F.concat(F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.lit(None).cast("double").alias("s"))), hit)
+
+    def walk(x: Column) -> Column:
+        ends = running(F.transform(x, lambda v: F.when(v["s"].isNull(), v["end"]).otherwise(0)), F.greatest)
+        starts = F.reverse(running(F.reverse(F.transform(x, lambda v: F.when(v["s"].isNull(), v["start"]).otherwise(far))), F.least))
+        return let(F.struct(ends.alias("e"), starts.alias("s")), lambda r: F.filter(x, lambda v, i: v["s"].isNotNull() & (F.get(r["e"], i) <= v["start"]) & (F.get(r["s"], i) >= v["end"])))
+
+    return F.when((F.size(hit) > 0) & (F.size(base) > 0), let(F.array_sort(both), walk)).otherwise(F.array_sort(hit))
+
+
+def _best(more: Column) -> Column:
+    """Of candidates (start, end, s) that overlap the one with the highest score, ties to the first. By start; only
+    texts with an overlap are walked."""
+
+    def step(acc: Column, c: Column) -> Column:
+        last = F.element_at(acc, -1)
+        apart = F.array_append(acc, c)
+        better = F.array_append(F.slice(acc, 1, F.size(acc) - 1), c)
+        return F.when(last["end"] <= c["start"], apart).when(c["s"] > last["s"], better).otherwise(acc)
+
+    overlap = F.exists(F.transform(more, lambda c, i: F.get(more, i + 1)["start"] < c["end"]), lambda x: F.coalesce(x, F.lit(False)))
+    return F.when(overlap, F.aggregate(F.slice(more, 2, F.size(more)), F.slice(more, 1, 1), step)).otherwise(more)
+
+
+def find(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns in keep, and base and more: arrays of (start, kind, end), kind an index into KINDS, code points.
+
+    base are the patterns' matches that pass their checks. more are candidates of the generators that touch no base
+    span, whose tree score reaches their generator's threshold; of those that overlap the highest score. Null and
+    empty texts have none; rows are looked at one by one, so repeated rows and null ids come back; whole texts of any
+    length; an empty table gives an empty table; only the named columns are read, whatever the others' names. No
+    shuffle and no Python on the executors: the trees, fitted on TEXTS texts of labelled_texts(), are conditions in
+    the plan.
+    """
+    if clash := {"base", "more"} & set(keep):
+        raise ValueError(f"columns named like results: {sorted(clash)}")
+    names = [f"__{i}" for i in range(len(keep))]
+    d = candidates(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(f"`{text_col}`").alias("t")), "t", tuple(names))
     cuts = model()[1]
     limit = lambda c: functools.reduce(lambda a, g: F.when(c["generator"] == g, F.lit(min(cuts[g], 1e9))).otherwise(a), cuts, F.lit(1e9))
-    hit = F.filter("cand", lambda c: (score(c) >= limit(c)) & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    d = d.select(*names, "base", F.array_sort(_tagged(hit, len(KINDS) - 1)).alias("more"))
-    first = lambda acc, c: F.when(F.coalesce(F.element_at(F.slice(acc, -1, 1), 1)["end"], F.lit(0)) <= c["start"], F.array_append(acc, c)).otherwise(acc)
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    more = F.when(F.size("more") > 1, F.aggregate("more", empty, lambda acc, c: F.when(F.size(acc) == 0, F.array(c)).otherwise(first(acc, c)))).otherwise(F.col("more"))
-    return fence(d.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "base", more.alias("more")))
+    scored = F.transform("cand", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), score(c).alias("s"), limit(c).alias("least")))
+    hit = F.transform(F.filter(scored, lambda c: c["s"] >= c["least"]), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["s"].alias("s")))
+    d = d.select(*names, "base", hit.alias("hit"))
+    d = d.select(*names, "base", _clear(F.col("hit"), F.col("base")).alias("hit"))
+    d = d.select(*names, "base", _tagged(_best(F.col("hit")), len(KINDS) - 1).alias("more"))
+    return fence(d.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "base", "more"))
 
 
 def span_text(column: Column) -> Column:
@@ -282,4 +369,5 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     n = [F.size(F.filter("base", _of(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
-    return d.select("doc_id", *n, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.concat("base", "more")).alias("spans"))
+    found = (F.size("base") + F.size("more")).cast("long").alias("n_spans")
+    return d.select("doc_id", *n, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.concat("base", "more")).alias("spans"), found)

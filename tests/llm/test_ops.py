@@ -425,12 +425,40 @@ def test_pii_spans_against_plain_patterns(spark):
         assert got[i] == ",".join(f"{n}:{s}:{e}" for s, k, e, n in spans)
 
 
-def test_pii_model_and_masks(spark):
+def test_pii_model_on_other_texts(spark):
+    """Precision and recall of the added spans on labelled texts that were neither fitted nor calibrated on."""
+    d = pii.labelled_texts(spark, 3000, seed=99)
+    got = pii.find(d, "text", ("generator", "y")).selectExpr("generator", "y", "size(more) > 0 OR size(base) > 0 AS hit").groupBy("generator").agg(
+        F.sum(F.when(F.col("hit") & (F.col("y") == 1), 1).otherwise(0)).alias("tp"), F.sum(F.when(F.col("hit"), 1).otherwise(0)).alias("p"), F.sum("y").alias("y")
+    ).collect()
+    print([(pii.GENERATORS[r.generator][0], round(r.tp / r.p, 3), round(r.tp / r.y, 3)) for r in got])
+    assert len(got) == len(pii.GENERATORS)
+    assert sum(r.tp for r in got) / sum(r.p for r in got) >= 0.95 and sum(r.tp for r in got) / sum(r.y for r in got) >= 0.75
     trees, cut = pii.model()
-    held = pii.labelled_rows(4000, seed=99)
-    hit = [(y, sum(pii.RATE * pii._value(t, r) for t in trees) >= cut[r[0]]) for r, y in held]
-    chosen = [y for y, h in hit if h]
-    assert sum(chosen) / len(chosen) >= 0.93 and len(chosen) > 400
+    assert all(c < 1e9 for c in cut.values())
+    rows = pii.labelled_rows(spark, 400, seed=5)
+    scored = pii.candidates(pii.labelled_texts(spark, 400, 5), "text", ("y",)).select("y", F.explode("cand").alias("c"))
+    have = sorted(round(r[0], 9) for r in scored.select(pii.score(F.col("c"))).collect())
+    assert have == sorted(round(pii.value(trees, r), 9) for r, _ in rows)  # the plan's conditions are the trees
+
+
+def test_pii_overlaps_and_edges(spark):
+    one = lambda rows: F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(s).alias("s")) for a, b, s in rows])
+    got = spark.range(1).select(pii._best(one([(0, 5, 1.0), (3, 9, 2.0), (8, 12, 1.5), (12, 14, 0.1)]))).first()[0]
+    assert [(x.start, x.end) for x in got] == [(3, 9), (12, 14)]
+    base = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(0).alias("kind"), F.lit(b).alias("end")) for a, b in [(0, 40), (5, 7), (60, 61)]])
+    got = spark.range(1).select(pii._clear(one([(8, 10, 1.0), (40, 42, 1.0), (58, 62, 1.0), (61, 63, 1.0), (59, 60, 1.0)]), base)).first()[0]
+    assert [(x.start, x.end) for x in got] == [(40, 42), (59, 60), (61, 63)]
+    assert pii.find(docs(spark, ODD).where("false")).count() == 0
+    odd = spark.createDataFrame([(None, "a@b.cc", 1, 2)] * 2 + [(3, "ssn 123-45-6789", 1, 2)], "doc_id long, text string, t int, `a.b` int")
+    assert sorted((r.doc_id or 0, r.text) for r in pii.redact(odd).collect()) == [(0, "<EMAIL>")] * 2 + [(3, "ssn <OTHER>")]
+    assert pii.redact(odd).columns == odd.columns
+    book = "\n".join(f"+1 (389) 555-{i:04d} ssn {i % 900 + 100}-{i % 90 + 10}-{i % 9000 + 1000}" for i in range(5000))
+    r = pii.find(docs(spark, [book])).selectExpr("size(base) AS b", "size(more) AS m").first()
+    assert (r.b, r.m) == (5000, 5000)
+
+
+def test_pii_masks(spark):
     rows = docs(spark, ["mail joe@x.com or call +1 (389) 555-5010; ssn: 123-45-6789.", None, "plain 123-45-6789 part", ""])
     got = {r.doc_id: r for r in pii.redact(rows).collect()}
     assert got[0].text == "mail <EMAIL> or call <PHONE>; ssn: <OTHER>." and got[0].n_chars == len(got[0].text)
