@@ -27,7 +27,7 @@ GENERATORS: tuple[tuple[str, str], ...] = (
     ("bank_account", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("digit_run", r"(?<![0-9A-Za-z])[0-9](?:[\x20-]?[0-9]){7,18}(?![0-9A-Za-z])"),
 )
-#: Words before a candidate that tell what it is.
+#: Beginnings of words before a candidate that tell what it is.
 HINTS = {
     "hint_phone": ("phone", "tel", "call", "fax", "mobile", "cell", "whatsapp"),
     "hint_mail": ("mail", "contact", "write to", "reach"),
@@ -107,9 +107,9 @@ def _count(s: Column, drop: str) -> Column:
 
 def features(generator: int, s: Column) -> Column:
     """Struct of whole numbers that describe a candidate's format and context."""
-    text, left = s["text"], F.lower(s["left"])
+    text, left = s["text"], F.concat(F.lit(" "), F.regexp_replace(F.lower(s["left"]), r"[^\p{L}]+", " "))
     marks = F.regexp_replace(text, "[A-Za-z0-9]", "")
-    hint = lambda ws: F.when(functools.reduce(lambda a, b: a | b, [F.contains(left, F.lit(w)) for w in ws]), 1).otherwise(0)
+    hint = lambda ws: F.when(functools.reduce(lambda a, b: a | b, [F.contains(left, F.lit(f" {w}")) for w in ws]), 1).otherwise(0)
     return F.struct(
         s["start"].alias("start"), s["end"].alias("end"), F.lit(generator).alias("generator"), _count(text, "[^0-9]").alias("digits"), _count(text, "[^A-Za-z]").alias("letters"),
         F.length(marks).alias("marks"), F.when(F.length(F.regexp_replace(marks, r"(.)(?=.*\1)", "")) <= 1, 1).otherwise(0).alias("same"), *[hint(ws).alias(k) for k, ws in HINTS.items()],
@@ -126,31 +126,31 @@ FORMS: dict[str, tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...], tuple[
     "written_email": (
         ("mail me: ", "write to ", "my contact is ", "reach me under ", "she answers as ", "e-mail "),
         ("%%%%%.%%%% [at] %%%%%% [dot] com", "%%%%%%(at)%%%%%%(dot)org", "%%%%.%%%%% at %%%%%%% dot net", "%%%%%## [at] %%%%% [dot] de"),
-        ("we met ", "they looked ", "the train stops ", "a price of six ", "printed "),
+        ("we met ", "they looked ", "the train stops ", "a price of six ", "printed ", "and so of the ", "for ", "then. "),
         ("%%%%% at %%%% dot matrix", "%%%% at %%%%%% dot chart", "%%%%%% at %%% dot three"),
     ),
     "local_phone": (
         ("call ", "phone: ", "tel. ", "my mobile is ", "fax ", "whatsapp me on ", "ask for Ann, "),
         ("###-###-####", "(###) ###-####", "###.###.####", "### ### ####"),
-        ("part no. ", "version ", "columns ", "we counted ", "sum of ", "lot "),
+        ("part no. ", "version ", "columns ", "we counted ", "sum of ", "lot ", "and so of the ", "for ", "then. "),
         ("###-###-####", "###.###.####", "### ### ####", "### ### ####"),
     ),
     "social_number": (
         ("ssn ", "my social security number is ", "ssn: ", "tax id ", "born 1970, ", "the applicant, "),
         ("###-##-####",),
-        ("order ", "part ", "draft ", "parcel ", "see form "),
+        ("order ", "part ", "draft ", "parcel ", "see form ", "and so of the ", "for ", "then. "),
         ("###-##-####",),
     ),
     "bank_account": (
         ("iban ", "pay to account ", "IBAN: ", "my account is ", "transfer the rent to "),
         ("@@## #### #### #### #### ##", "@@##@@@@##############", "@@## @@@@ #### #### #### ##", "@@####################"),
-        ("serial ", "model ", "licence plate list ", "product key ", "shelf mark "),
+        ("serial ", "model ", "licence plate list ", "product key ", "shelf mark ", "and so of the ", "for ", "then. "),
         ("@@## @@@@ @#@@ @@#@ @@@@", "@@##@@@@@@#@@#@@", "@@## @#@# @@@@ @@##"),
     ),
     "digit_run": (
         ("account ", "passport ", "phone ", "call ", "my tax id is ", "ssn "),
         ("###########", "#########", "#### #######", "### ### ## ##"),
-        ("row ", "created ", "checksum ", "population ", "offset ", "in total "),
+        ("row ", "created ", "checksum ", "population ", "offset ", "in total ", "and so of the ", "for ", "then. "),
         ("##############", "########", "################", "## ######", "###################"),
     ),
 }
