@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, counted_join, fence, let, spread_join
+from .common import Scratch, counted_join, fence, let, running, spread_join
 from .quality import BLANK, BLANKS, words
 
 #: Lines of fewer words go only as equal copies: one word in fewer than eight is another line.
@@ -64,13 +64,19 @@ def _halves(s: Column, n: Column) -> Column:
 WHOLE, SHORT, OPEN = 0, 1, 2
 
 
-def _chain(w: Column, n: Column) -> Column:
-    """Two 64-bit hashes each of the first 0, 1, 2, .. words. Word i's hash names i, and the hash of a prefix is that
-    of its words in exclusive or, so prefixes are built by doubling: in n log n steps, whatever the line's length."""
-    both = lambda x, y, of: x[of].bitwiseXOR(F.coalesce(y[of], F.lit(0))).alias(of)
-    one = F.concat(F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))), F.transform(w, lambda x, i: F.struct(F.xxhash64(i, x).alias("a"), F.xxhash64(x, i).alias("b"))))
-    double = lambda acc, k: F.transform(acc, lambda x, i: F.struct(*[both(x, F.get(acc, i - F.call_function("shiftleft", F.lit(1), k)), of) for of in "ab"]))
-    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(n + 1)).cast("int")), one, double)
+#: Words up to which a fold that appends is the cheaper way to running hashes.
+FOLD = 96
+
+
+def _chain(w: Column, n: Column, seed: str) -> Column:
+    """Two 64-bit hashes each of the first 0, 1, 2, .. words. A word's hash names its place, and the hash of a prefix
+    is that of its words in exclusive or. Long lines build them by doubling, in n log n steps; a fold copies what it
+    has for every word, which only pays for short ones. Both give the same."""
+    none = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")))
+    each = F.transform(w, lambda x, i: F.struct(F.xxhash64(F.lit(seed), i, x).alias("a"), F.xxhash64(x, i, F.lit(seed)).alias("b")))
+    both = lambda x, y: F.struct(x["a"].bitwiseXOR(y["a"]).alias("a"), x["b"].bitwiseXOR(y["b"]).alias("b"))
+    fold = F.aggregate(each, none, lambda acc, x: F.array_append(acc, both(F.element_at(acc, -1), x)))
+    return F.when(n <= FOLD, fold).otherwise(running(F.concat(none, each), lambda x, y: F.when(y.isNull(), x).otherwise(both(x, y))))
 
 
 def _variants(n: Column, lo: Column, hi: Column) -> Column:
@@ -79,13 +85,13 @@ def _variants(n: Column, lo: Column, hi: Column) -> Column:
     The line without word i is named by i and the hashes of what stands before and after. It equals a shorter line's
     key at split i if that line is what is left (an insertion), and, under another seed, the key of a line that
     differs in word i alone (a substitution). Words outside lo..hi are known to be equal in every partner. A key is
-    two hashes of 64 bits, so keys of different variants are not equal by chance.
+    two independent 64-bit hashes of the words left, so keys of different variants are not equal by chance.
     """
     p, r = F.col("p"), F.col("r")
 
     def one(t: int, seed: str, i: Column, size: Column, rest: Column) -> Column:
         x, y = F.get(p, i), F.get(r, rest)
-        return F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(seed), i, size, x["a"], y["a"]).alias("k1"), F.xxhash64(x["b"], y["b"], i, size, F.lit(seed)).alias("k2"))
+        return F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(seed), i, size, x["a"], y["a"]).alias("k1"), x["b"].bitwiseXOR(y["b"]).alias("k2"))
 
     def at(i: Column) -> Column:
         short, open_, whole = one(SHORT, "d", i, n - 1, n - 1 - i), one(OPEN, "s", i, n, n - 1 - i), one(WHOLE, "d", i, n, n - i)
@@ -128,7 +134,7 @@ def near_bounds(distinct: DataFrame, docs: DataFrame, scratch: Scratch, id_col:
     scratch.drop("halves")
     n = F.size("w")
     k = F.floor((n - 1) / 2).cast("int")
-    v = lines.select("doc_id", "line_no", n.alias("n"), F.when(~F.col("at.tail"), k).otherwise(0).alias("lo"), F.when(~F.col("at.head"), n - k).otherwise(n).alias("hi"), _chain(F.col("w"), n).alias("p"), _chain(F.reverse("w"), n).alias("r"))
+    v = lines.select("doc_id", "line_no", n.alias("n"), F.when(~F.col("at.tail"), k).otherwise(0).alias("lo"), F.when(~F.col("at.head"), n - k).otherwise(n).alias("hi"), _chain(F.col("w"), n, "p").alias("p"), _chain(F.reverse("w"), n, "r").alias("r"))
     v = v.select("doc_id", "line_no", F.explode(_variants(F.col("n"), F.col("lo"), F.col("hi"))).alias("v"))
     v = scratch.save(v.select("doc_id", "line_no", "v.t", "v.k1", "v.k2"), "variants")
     me, whole = F.struct("doc_id", "line_no"), F.col("t") == WHOLE
