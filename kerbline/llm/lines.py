@@ -28,8 +28,8 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, line_no, s, n) of the lines that aren't blank."""
     key = F.col(f"`{id_col}`")
     d = docs.where(key.isNotNull()).select(key.cast("long").alias("doc_id"), F.posexplode(F.split(F.col(f"`{text_col}`").cast("string"), "\n")).alias("line_no", "line"))
-    d = d.select("doc_id", "line_no", normal(F.col("line")).alias("s"))
-    return fence(d.select("*", (F.octet_length("s") - F.octet_length(F.replace("s", F.lit(" "), F.lit(""))) + 1).alias("n"))).where(F.col("s") != "")
+    d = d.where(F.btrim("line", F.lit(BLANKS)) != "").select("doc_id", "line_no", normal(F.col("line")).alias("s"))
+    return d.select("*", (F.octet_length("s") - F.octet_length(F.replace("s", F.lit(" "), F.lit(""))) + 1).alias("n"))
 
 
 def dense(values: Column, kind: str) -> Column:
@@ -79,25 +79,21 @@ def _chain(w: Column, n: Column, seed: str) -> Column:
     return F.when(n <= FOLD, fold).otherwise(running(F.concat(none, each), lambda x, y: F.when(y.isNull(), x).otherwise(both(x, y))))
 
 
-def _variants(n: Column, lo: Column, hi: Column) -> Column:
-    """Keys of the deletion neighbourhood of bound one, from hashes p of the first words and r of the last.
+def variants(lines: DataFrame) -> DataFrame:
+    """(doc_id, line_no, t, k1, k2): the deletion neighbourhood of bound one of lines(doc_id, line_no, n, lo, hi, p, r),
+    p and r the hashes of their first and last words.
 
     The line without word i is named by i and the hashes of what stands before and after. It equals a shorter line's
     key at split i if that line is what is left (an insertion), and, under another seed, the key of a line that
     differs in word i alone (a substitution). Words outside lo..hi are known to be equal in every partner. A key is
     two independent 64-bit hashes of the words left, so keys of different variants are not equal by chance.
     """
-    p, r = F.col("p"), F.col("r")
-
-    def one(t: int, seed: str, i: Column, size: Column, rest: Column) -> Column:
-        x, y = F.get(p, i), F.get(r, rest)
-        return F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(seed), i, size, x["a"], y["a"]).alias("k1"), x["b"].bitwiseXOR(y["b"]).alias("k2"))
-
-    def at(i: Column) -> Column:
-        short, open_, whole = one(SHORT, "d", i, n - 1, n - 1 - i), one(OPEN, "s", i, n, n - 1 - i), one(WHOLE, "d", i, n, n - i)
-        return F.when(i < n, F.array(short, open_, whole)).otherwise(F.array(whole))
-
-    return F.flatten(F.transform(F.sequence(lo, hi), at))
+    n = F.col("n")
+    place = lambda i: F.struct(i.alias("i"), F.get("p", i).alias("x"), F.get("r", n - 1 - i).alias("y"), F.get("r", n - i).alias("z"))
+    each = lines.select("doc_id", "line_no", "n", F.explode(F.transform(F.sequence("lo", "hi"), place)).alias("at")).select("doc_id", "line_no", "n", "at.*")
+    one = lambda t, seed, size, rest: F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(seed), "i", size, "x.a", f"{rest}.a").alias("k1"), F.col("x.b").bitwiseXOR(F.col(f"{rest}.b")).alias("k2"))
+    keys = F.array(one(WHOLE, "d", n, "z"), one(SHORT, "d", n - 1, "y"), one(OPEN, "s", n, "y"))
+    return each.select("doc_id", "line_no", F.explode(F.when(F.col("y").isNull(), F.slice(keys, 1, 1)).otherwise(keys)).alias("v")).select("doc_id", "line_no", "v.*")
 
 
 def _common(a: str, b: str) -> str:
@@ -135,8 +131,7 @@ def near_bounds(distinct: DataFrame, docs: DataFrame, scratch: Scratch, id_col:
     n = F.size("w")
     k = F.floor((n - 1) / 2).cast("int")
     v = lines.select("doc_id", "line_no", n.alias("n"), F.when(~F.col("at.tail"), k).otherwise(0).alias("lo"), F.when(~F.col("at.head"), n - k).otherwise(n).alias("hi"), _chain(F.col("w"), n, "p").alias("p"), _chain(F.reverse("w"), n, "r").alias("r"))
-    v = v.select("doc_id", "line_no", F.explode(_variants(F.col("n"), F.col("lo"), F.col("hi"))).alias("v"))
-    v = scratch.save(v.select("doc_id", "line_no", "v.t", "v.k1", "v.k2"), "variants")
+    v = scratch.save(variants(v), "variants")
     me, whole = F.struct("doc_id", "line_no"), F.col("t") == WHOLE
     low = v.groupBy("k1", "k2").agg(F.min(F.when(whole, me)).alias("whole"), F.min(F.when(~whole, me)).alias("short"), F.count("*").alias("n")).where("n > 1")
     low = scratch.save(low, "low")
