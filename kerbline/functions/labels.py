@@ -40,6 +40,7 @@ ALIASES = {
     "patch": "Patching", "inlaid patch (d44)": "Patching", "inlaid patch": "Patching", "d44": "Patching",
     "open joint (d50)": "Edge Breaking", "d50": "Edge Breaking",
 }
+# Names that stand for no distress.
 NO_DISTRESS = ("normal", "no distress detected", "unknown", "other distress", "other", "unknown distress", "none")
 # Severity spellings.
 SEVERITY_WORDS = {
@@ -85,7 +86,7 @@ def canonical_or_legacy(label: Column) -> Column:
 def taxonomy(label: Column) -> Column:
     """Taxonomy name: null for non-distress markers, aliases, "Name (D00)" by its bare name, others trimmed (L3)."""
     known = {x.lower(): x for x in (*DISTRESS, "Patching")} | LEGACY
-    table = ALIASES | known | {k: v for k, v in ALIASES.items() if k not in known}
+    table = ALIASES | known
     s = F.trim(label)
     low = F.lower(s)
     bare = F.lower(F.trim(F.substring_index(s, "(", 1)))
@@ -170,6 +171,7 @@ def class_ids(types: Column) -> Column:
     """Sorted numeric classes that the names mention."""
     def one(x: Column) -> Column:
         low = F.lower(x)
+        # The words that name a class.
         has = lambda *ws: functools_or([F.contains(low, F.lit(w)) for w in ws])
         return F.when(has("d00", "longitudinal"), 0).when(has("d10", "transverse"), 1).when(has("d20", "alligator", "fatigue"), 2).when(has("d40", "pothole"), 3)
 

@@ -109,15 +109,17 @@ def cut_at_recall(df: DataFrame, score: str, truth: str, recall: float) -> DataF
     return d.crossJoin(F.broadcast(need)).where("tp >= need").agg(F.max("s").alias("cut"))
 
 
-def log_choose(n: Column, k: Column) -> Column:
-    lf = lambda x: F.aggregate(F.sequence(F.lit(1), F.greatest(x, F.lit(1)).cast("int")), F.lit(0.0), lambda a, i: a + F.log(i.cast("double")))
-    return lf(n) - lf(k) - lf(n - k)
-
-
 def mcnemar(b: Column, c: Column) -> Column:
-    """Two-sided exact p-value of discordant counts."""
+    """Two-sided exact p-value of discordant counts (X10): each binomial term from the one before, in logarithms."""
     n, k = (b + c).cast("int"), F.least(b, c).cast("int")
-    tail = F.aggregate(F.sequence(F.lit(0), k), F.lit(0.0), lambda a, i: a + F.exp(log_choose(n, i) - n * math.log(2)))
+    first = -n * math.log(2)
+    zero = F.struct(first.alias("term"), F.exp(first).alias("tail"))
+
+    def step(a: Column, i: Column) -> Column:
+        term = a["term"] + F.log((n - i + 1).cast("double")) - F.log(i.cast("double"))
+        return F.struct(term.alias("term"), (a["tail"] + F.exp(term)).alias("tail"))
+
+    tail = F.when(k > 0, F.aggregate(F.sequence(F.lit(1), k), zero, step)["tail"]).otherwise(F.exp(first))
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
@@ -218,48 +220,64 @@ def ks_distance(df: DataFrame, value: str, side: str) -> DataFrame:
 # ---- resampling and fits: sequential draws of a seeded generator, so one task per group
 
 
+#: Clusters that one task resamples.
+CLUSTERS = 20_000
+
+
 def bootstrap(df: DataFrame, cluster: str, sums: list[str], stat: Callable[[dict[str, float]], float], draws: int = 2000, seed: int = 0, by: str | None = None) -> DataFrame:
     """Percentile interval of a statistic of column sums with whole clusters resampled.
 
-    Clusters are summed first, so what reaches a task is one row per cluster, never the items.
+    Clusters are summed first, then dealt into buckets of about CLUSTERS. How many of a draw's clusters fall into each
+    bucket is one seeded multinomial that every task repeats; each task draws its bucket's share and sends one sum per
+    draw, so neither clusters nor items gather in one task. The statistic is applied to the sums of the draws.
     """
-    keys = [by] if by else []
-    per = df.groupBy(*keys, cluster).agg(*[F.sum(F.col(c).cast("double")).alias(c) for c in sums])
-    per = per if by else per.withColumn("__all", F.lit(1))
+    key = F.col(by).cast("string") if by else F.lit("")
+    per = df.groupBy(key.alias("group"), cluster).agg(*[F.sum(F.col(c).cast("double")).alias(c) for c in sums])
+    n = per.groupBy("group").agg(F.ceil(F.count("*") / CLUSTERS).alias("__buckets"))
+    per = per.join(n, "group").withColumn("__bucket", F.pmod(F.xxhash64(cluster), F.col("__buckets")))
+    sizes = per.groupBy("group", "__bucket").agg(F.count("*").alias("__n")).groupBy("group").agg(F.sort_array(F.collect_list(F.struct("__bucket", "__n"))).alias("__sizes"))
+    per = per.join(sizes.select("group", F.col("__sizes.__bucket").alias("__at"), F.col("__sizes.__n").alias("__n")), "group")
+
+    def resample(pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(cluster)
-        rows, rng, vals = pdf[sums].to_numpy(), random.Random(seed), []
-        ids = range(len(rows))
-        point = stat(dict(zip(sums, rows.sum(axis=0), strict=True)))
-        for _ in range(draws):
-            pick = [rng.choice(ids) for _ in ids]
-            v = stat(dict(zip(sums, rows[pick].sum(axis=0), strict=True)))
-            if v == v:
-                vals.append(v)
-        vals.sort()
+        rows, n = pdf[sums].to_numpy(), np.asarray(pdf["__n"].iloc[0])
+        at = int(np.flatnonzero(np.asarray(pdf["__at"].iloc[0]) == pdf["__bucket"].iloc[0])[0])
+        share = np.random.default_rng(seed).multinomial(n.sum(), n / n.sum(), size=draws)[:, at]
+        rng, out, step = np.random.default_rng([seed, at]), [rows.sum(axis=0)[None, :]], max(1, 4_000_000 // len(rows))
+        for i in range(0, draws, step):
+            out.append(rng.multinomial(share[i : i + step], np.full(len(rows), 1 / len(rows))) @ rows)
+        return pd.DataFrame({"group": pdf["group"].iloc[0], "__draw": np.arange(-1, draws), **dict(zip(sums, np.concatenate(out).T, strict=True))})
+
+    def interval(pdf: pd.DataFrame) -> pd.DataFrame:
+        each = {int(d): stat(dict(zip(sums, v, strict=True))) for d, *v in pdf[["__draw", *sums]].itertuples(index=False)}
+        vals = sorted(v for d, v in each.items() if d >= 0 and v == v)
         at = lambda q: vals[int(q * (len(vals) - 1))] if vals else math.nan
-        return pd.DataFrame({"group": [str(pdf[by].iloc[0]) if by else ""], "point": [point], "lo": [at(0.025)], "hi": [at(0.975)], "draws": [len(vals)]})
+        return pd.DataFrame({"group": [pdf["group"].iloc[0]], "point": [each[-1]], "lo": [at(0.025)], "hi": [at(0.975)], "draws": [len(vals)]})
 
-    return per.groupBy(by or "__all").applyInPandas(kernel, "group string, point double, lo double, hi double, draws long")
+    part = per.groupBy("group", "__bucket").applyInPandas(resample, "group string, __draw long, " + ", ".join(f"{c} double" for c in sums))
+    drawn = part.groupBy("group", "__draw").agg(*[F.sum(c).alias(c) for c in sums])
+    return drawn.groupBy("group").applyInPandas(interval, "group string, point double, lo double, hi double, draws long")
 
 
-def platt(scores, labels, steps: int = 100, ridge: float = 1e-2) -> tuple[float, float] | None:
-    """Slope and offset of a logistic map of the score's logit, by damped Newton steps (X11)."""
+def platt(scores, yes, no, steps: int = 100, ridge: float = 1e-2) -> tuple[float, float] | None:
+    """Slope and offset of a logistic map of the score's logit, by damped Newton steps (X11). yes and no say how often
+    each score stands with a true and a false label."""
     import numpy as np
 
-    y = np.asarray(labels, dtype=float)
-    if y.min() == y.max():
+    y, m = np.asarray(yes, dtype=float), np.asarray(yes, dtype=float) + np.asarray(no, dtype=float)
+    if not 0 < y.sum() < m.sum():
         return None
     p = np.clip(np.asarray(scores, dtype=float), 1e-6, 1 - 1e-6)
     x, w = np.log(p / (1 - p)), np.array([1.0, 0.0])
     X = np.stack([x, np.ones_like(x)], axis=1)
-    loss = lambda w: float(np.logaddexp(0, X @ w).sum() - y @ (X @ w) + 0.5 * ridge * w[0] ** 2)
+    loss = lambda w: float(m @ np.logaddexp(0, X @ w) - y @ (X @ w) + 0.5 * ridge * w[0] ** 2)
     now = loss(w)
     for _ in range(steps):
         q = 1 / (1 + np.exp(-(X @ w)))
-        g = X.T @ (q - y) + np.array([ridge * w[0], 0.0])
-        h = (X * (q * (1 - q))[:, None]).T @ X + np.diag([ridge, 1e-9])
+        g = X.T @ (m * q - y) + np.array([ridge * w[0], 0.0])
+        h = (X * (m * q * (1 - q))[:, None]).T @ X + np.diag([ridge, 1e-9])
         step, size = np.linalg.solve(h, g), 1.0
         while size > 1e-6 and loss(w - size * step) > now:
             size /= 2
@@ -273,13 +291,14 @@ def platt(scores, labels, steps: int = 100, ridge: float = 1e-2) -> tuple[float,
 
 
 def fit_platt(df: DataFrame, by: str, score: str, truth: str) -> DataFrame:
-    """(by, slope, offset) per group. Equal scores are counted first and weigh in by repetition of few rows."""
+    """(by, slope, offset) per group. Equal scores are counted first, so a task meets a group's distinct scores."""
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = platt(pdf[score], pdf[truth])
+        got = platt(pdf["s"], pdf["p"], pdf["q"])
         return pd.DataFrame({by: pdf[by].iloc[:1], "slope": [got[0] if got else None], "offset": [got[1] if got else None]})
 
     kind = df.schema[by].dataType.simpleString()
-    return df.select(by, score, truth).groupBy(by).applyInPandas(kernel, f"{by} {kind}, slope double, offset double")
+    per = df.groupBy(by, F.col(score).alias("s")).agg(F.count_if(truth).alias("p"), F.count_if(~F.col(truth)).alias("q"))
+    return per.groupBy(by).applyInPandas(kernel, f"{by} {kind}, slope double, offset double")
 
 
 def apply_platt(p: Column, a: Column, b: Column) -> Column:
@@ -324,7 +343,7 @@ def grouped_cv(df: DataFrame, fold: str, k: int, score: str, truth: str) -> Data
 
         held = int(pdf.held.iloc[0])
         fit, own = pdf[pdf[fold] != held], pdf[pdf[fold] == held]
-        got = platt(np.concatenate([np.repeat(fit.s, fit.p), np.repeat(fit.s, fit.q)]), np.concatenate([np.ones(fit.p.sum()), np.zeros(fit.q.sum())])) if fit.p.sum() and fit.q.sum() else None
+        got = platt(fit.s, fit.p, fit.q)
         brier = lambda f: float((own.p * (f - 1) ** 2 + own.q * f**2).sum() / max(1, (own.p + own.q).sum()))
         x = np.clip(own.s, 1e-6, 1 - 1e-6)
         cal = 1 / (1 + np.exp(-(got[0] * np.log(x / (1 - x)) + got[1]))) if got else own.s

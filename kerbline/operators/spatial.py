@@ -83,14 +83,17 @@ def in_polygon(x: Column, y: Column, rings: Column) -> Column:
 def polygon_join(points: DataFrame, polygons: DataFrame, cell: float, x: str = "x", y: str = "y") -> DataFrame:
     """points with the columns of the first polygon (by polygon_no) that holds them.
 
-    polygons(polygon_no, rings, x0, y0, x1, y1). A polygon stands in every cell of its box, a point in one.
+    polygons(polygon_no, rings, x0, y0, x1, y1). A polygon stands in every cell of its box, a point in one, so the join
+    gives a point its cell's polygons in order and no grouping of points follows.
     """
     side = lambda a, b: F.sequence(F.floor(F.col(a) / cell).cast("long"), F.floor(F.col(b) / cell).cast("long"))
     poly = polygons.withColumn("__x", F.explode(side("x0", "x1"))).withColumn("__y", F.explode(side("y0", "y1")))
+    box = F.col("x0").alias("a"), F.col("y0").alias("b"), F.col("x1").alias("c"), F.col("y1").alias("d"), F.col("rings").alias("r")
+    cells = poly.groupBy("__x", "__y").agg(F.sort_array(F.collect_list(F.struct("polygon_no", *box))).alias("__in"))
     pts = points.withColumn("__x", F.floor(F.col(x) / cell).cast("long")).withColumn("__y", F.floor(F.col(y) / cell).cast("long"))
-    hit = pts.join(poly, ["__x", "__y"]).where(F.col(x).between(F.col("x0"), F.col("x1")) & F.col(y).between(F.col("y0"), F.col("y1")))
-    hit = hit.where(in_polygon(F.col(x), F.col(y), F.col("rings"))).drop("__x", "__y")
-    return hit.groupBy(*points.columns).agg(F.min("polygon_no").alias("polygon_no"))
+    holds = lambda p: F.col(x).between(p["a"], p["c"]) & F.col(y).between(p["b"], p["d"]) & in_polygon(F.col(x), F.col(y), p["r"])
+    hit = pts.join(cells, ["__x", "__y"]).withColumn("polygon_no", F.get(F.filter("__in", holds), F.lit(0))["polygon_no"])
+    return hit.where("polygon_no is not null").drop("__x", "__y", "__in")
 
 
 def ring_area(ring: Column) -> Column:

@@ -133,33 +133,18 @@ def a7(spark, sf):
 # ---- order, paging, choice
 
 
-@query("T1_order", over("SELECT segment_id FROM segments ORDER BY session_id, k LIMIT 500"))
+@query("T1_order", over("SELECT segment_id FROM segments ORDER BY session_id, k"))
 def t1(spark, sf):
-    return segments(spark, sf).orderBy("session_id", "k").limit(500).select("segment_id")
-
-
-@query("T2_nulls_last", over("SELECT id FROM assessments ORDER BY confidence DESC NULLS LAST, id LIMIT 300"))
-def t2(spark, sf):
-    return view(spark, sf, "assessments").orderBy(F.desc_nulls_last("confidence"), "id").limit(300).select("id")
-
-
-@query("T3_hash_order", over("SELECT segment_id FROM segments ORDER BY md5(concat('salt', segment_id)) LIMIT 100"))
-def t3(spark, sf):
-    return segments(spark, sf).select("segment_id").orderBy(F.md5(F.concat(F.lit("salt"), "segment_id"))).limit(100)
-
-
-@query("T1_order_all", whole("T1_order", (" LIMIT 500", "")))
-def t1_all(spark, sf):
     return segments(spark, sf).orderBy("session_id", "k").select("segment_id")
 
 
-@query("T2_nulls_last_all", whole("T2_nulls_last", (" LIMIT 300", "")))
-def t2_all(spark, sf):
+@query("T2_nulls_last", over("SELECT id FROM assessments ORDER BY confidence DESC NULLS LAST, id"))
+def t2(spark, sf):
     return view(spark, sf, "assessments").orderBy(F.desc_nulls_last("confidence"), "id").select("id")
 
 
-@query("T3_hash_order_all", whole("T3_hash_order", (" LIMIT 100", "")))
-def t3_all(spark, sf):
+@query("T3_hash_order", over("SELECT segment_id FROM segments ORDER BY md5(concat('salt', segment_id))"))
+def t3(spark, sf):
     return segments(spark, sf).select("segment_id").orderBy(F.md5(F.concat(F.lit("salt"), "segment_id")))
 
 

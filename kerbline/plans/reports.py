@@ -118,19 +118,17 @@ def v5(spark, sf):
     return spark.range(1).select(F.lit(len(checks.review({"types": ["zebra"], "severity": "odd"}, L.DISTRESS, L.SEVERITIES))).alias("broken"))
 
 
-@query("G3_explicit_gap", over("WITH p AS (SELECT session_id, max_by((centre_lat - 12.9) * 111320.0, k) AS e, min_by((centre_lat - 12.9) * 111320.0, k) AS s FROM segments WHERE user_id % 10 = 3 GROUP BY 1) SELECT a.session_id AS id, b.session_id AS id_b FROM p a JOIN p b ON a.session_id <> b.session_id AND abs(a.e - b.s) <= 300 ORDER BY round(abs(a.e - b.s), 6), 1, 2 LIMIT 1"))
-def g3(spark, sf):
-    return _explicit_gap(segments(spark, sf).where("user_id % 10 = 3"))
+_EX = "(centre_lon - 77.5) * 111320.0 * cos(radians(12.9))"
 
 
-@query("G3_explicit_gap_all", whole("G3_explicit_gap", (" WHERE user_id % 10 = 3", ""), ("max_by((centre_lat", "max_by((centre_lon - 77.5) * 111320.0 * cos(radians(12.9)), k) AS ex, min_by((centre_lon - 77.5) * 111320.0 * cos(radians(12.9)), k) AS sx, max_by((centre_lat"), ("abs(a.e - b.s)", "sqrt((a.ex - b.sx) ** 2 + (a.e - b.s) ** 2)")))
-def g3_all(spark, sf):
+@query("G3_explicit_gap", over(f"WITH p AS (SELECT session_id, max_by({_EX}, k) AS ex, min_by({_EX}, k) AS sx, max_by((centre_lat - 12.9) * 111320.0, k) AS e, min_by((centre_lat - 12.9) * 111320.0, k) AS s FROM segments GROUP BY 1) SELECT a.session_id AS id, b.session_id AS id_b FROM p a JOIN p b ON a.session_id <> b.session_id AND sqrt((a.ex - b.sx) ** 2 + (a.e - b.s) ** 2) <= 300 ORDER BY round(sqrt((a.ex - b.sx) ** 2 + (a.e - b.s) ** 2), 6), 1, 2 LIMIT 1"))
+def g3(spark, sf):
     x, _ = spatial.local_xy(F.col("centre_lon"), F.col("centre_lat"), 77.5, 12.9)
     return _explicit_gap(segments(spark, sf), x)
 
 
-def _explicit_gap(drives, x=None):
-    p = drives.withColumn("x", F.lit(0.0) if x is None else x).withColumn("y", (F.col("centre_lat") - 12.9) * 111320.0)
+def _explicit_gap(drives, x):
+    p = drives.withColumn("x", x).withColumn("y", (F.col("centre_lat") - 12.9) * 111320.0)
     g = p.groupBy(F.col("session_id").alias("id")).agg(F.max_by("y", "k").alias("e"), F.min_by("y", "k").alias("s"), F.max_by("x", "k").alias("ex"), F.min_by("x", "k").alias("sx"))
     end, start = g.select("id", F.col("ex").alias("x"), F.col("e").alias("y")), g.select("id", F.col("sx").alias("x"), F.col("s").alias("y"))
     hit = spatial.radius_pairs(end, start, 300.0).where("id <> id_b").withColumn("d", F.round("d", 6))

@@ -217,13 +217,8 @@ def _points(spark, sf):
 _XY = "SELECT *, (centre_lon - 77.5) * 111320.0 * cos(radians(12.9)) AS x, (centre_lat - 12.9) * 111320.0 AS y FROM segments"
 
 
-@query("J11_radius_self_join", over(f"WITH p AS ({_XY}) SELECT a.segment_id, b.segment_id AS other FROM p a JOIN p b ON a.user_id < b.user_id AND abs(a.x - b.x) <= 8 AND abs(a.y - b.y) <= 8 AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 8 WHERE a.user_id < 30 AND b.user_id < 30"))
+@query("J11_radius_self_join", over(f"WITH p AS ({_XY}) SELECT a.segment_id, b.segment_id AS other FROM p a JOIN p b ON a.user_id < b.user_id AND abs(a.x - b.x) <= 8 AND abs(a.y - b.y) <= 8 AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 8"))
 def j11(spark, sf):
-    return _radius_self(_points(spark, sf).where("user_id < 30"))
-
-
-@query("J11_radius_self_join_all", whole("J11_radius_self_join", (" WHERE a.user_id < 30 AND b.user_id < 30", "")))
-def j11_all(spark, sf):
     return _radius_self(_points(spark, sf))
 
 
@@ -245,13 +240,8 @@ def j13(spark, sf):
     return network.snap(_points(spark, sf), 110.0, 100.0, "segment_id").select("segment_id")
 
 
-@query("J14_mutual_nearest", over(f"WITH p AS ({_XY}), c AS (SELECT a.segment_id AS a, b.segment_id AS b, a.session_id AS sa, b.session_id AS sb, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS d FROM p a JOIN p b ON a.user_id < b.user_id AND a.user_id < 12 AND b.user_id < 12 AND abs(a.x - b.x) <= 20 AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 20), r AS (SELECT *, row_number() OVER (PARTITION BY a, sb ORDER BY d, b) AS ra, row_number() OVER (PARTITION BY b, sa ORDER BY d, a) AS rb FROM c) SELECT a, b FROM r WHERE ra = 1 AND rb = 1"))
+@query("J14_mutual_nearest", over(f"WITH p AS ({_XY}), c AS (SELECT a.segment_id AS a, b.segment_id AS b, a.session_id AS sa, b.session_id AS sb, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS d FROM p a JOIN p b ON a.user_id < b.user_id AND abs(a.x - b.x) <= 20 AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 20), r AS (SELECT *, row_number() OVER (PARTITION BY a, sb ORDER BY d, b) AS ra, row_number() OVER (PARTITION BY b, sa ORDER BY d, a) AS rb FROM c) SELECT a, b FROM r WHERE ra = 1 AND rb = 1"))
 def j14(spark, sf):
-    return _mutual(_points(spark, sf).where("user_id < 12"))
-
-
-@query("J14_mutual_nearest_all", whole("J14_mutual_nearest", (" AND a.user_id < 12 AND b.user_id < 12", "")))
-def j14_all(spark, sf):
     return _mutual(_points(spark, sf))
 
 
@@ -264,13 +254,8 @@ def _mutual(points):
     return m.select(F.col("segment_id").alias("a"), F.col("segment_id_b").alias("b"))
 
 
-@query("J15_later_drive", over(f"WITH p AS ({_XY}), t AS (SELECT session_id, min(utc) AS t0 FROM segments GROUP BY 1), c AS (SELECT a.segment_id, b.session_id AS other, b.segment_id AS near, row_number() OVER (PARTITION BY a.segment_id, b.session_id ORDER BY round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6), b.segment_id) AS r FROM p a JOIN t ta ON ta.session_id = a.session_id JOIN p b ON sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 10 JOIN t tb ON tb.session_id = b.session_id AND tb.t0 > ta.t0 WHERE a.user_id < 12 AND b.user_id < 12) SELECT segment_id, other, near FROM c WHERE r = 1"))
+@query("J15_later_drive", over(f"WITH p AS ({_XY}), t AS (SELECT session_id, min(utc) AS t0 FROM segments GROUP BY 1), c AS (SELECT a.segment_id, b.session_id AS other, b.segment_id AS near, row_number() OVER (PARTITION BY a.segment_id, b.session_id ORDER BY round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6), b.segment_id) AS r FROM p a JOIN t ta ON ta.session_id = a.session_id JOIN p b ON sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 10 JOIN t tb ON tb.session_id = b.session_id AND tb.t0 > ta.t0) SELECT segment_id, other, near FROM c WHERE r = 1"))
 def j15(spark, sf):
-    return _later(_points(spark, sf).where("user_id < 12"))
-
-
-@query("J15_later_drive_all", whole("J15_later_drive", (" WHERE a.user_id < 12 AND b.user_id < 12", "")))
-def j15_all(spark, sf):
     return _later(_points(spark, sf))
 
 
@@ -319,14 +304,8 @@ def j24(spark, sf):
     return spatial.nearest(hit, ["session_id"], "session_id_b").select("session_id", F.col("session_id_b").alias("near"))
 
 
-@query("G1_edges", over(f"WITH p AS ({_XY}) SELECT 'track' AS kind, count(*) AS n FROM (SELECT k, lead(k) OVER (PARTITION BY session_id ORDER BY k) AS b FROM p WHERE user_id < 12) q WHERE b = k + 1 UNION ALL SELECT 'same', count(*) FROM p a JOIN p b ON a.user_id < b.user_id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 8 WHERE a.user_id < 12 AND b.user_id < 12"))
+@query("G1_edges", over(f"WITH p AS ({_XY}) SELECT 'track' AS kind, count(*) AS n FROM (SELECT k, lead(k) OVER (PARTITION BY session_id ORDER BY k) AS b FROM p) q WHERE b = k + 1 UNION ALL SELECT 'same', count(*) FROM p a JOIN p b ON a.user_id < b.user_id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 8"))
 def g1(spark, sf):
-    e = network.edges(_points(spark, sf).where("user_id < 12").select("segment_id", "session_id", "k", "x", "y"))
-    return e.groupBy("kind").agg(F.count("*").alias("n"))
-
-
-@query("G1_edges_all", whole("G1_edges", (" WHERE a.user_id < 12 AND b.user_id < 12", ""), (" WHERE user_id < 12", "")))
-def g1_all(spark, sf):
     e = network.edges(_points(spark, sf).select("segment_id", "session_id", "k", "x", "y"))
     return e.groupBy("kind").agg(F.count("*").alias("n"))
 

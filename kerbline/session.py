@@ -16,9 +16,13 @@ def session(app: str = "kerbline", master: str | None = None, **conf: str) -> Sp
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder under the one that driver and executors share (spark.checkpoint.dir), or, where the session names
-    none, under a temporary one of this machine, as in tests."""
+    none and is local, under a temporary one of this machine, as in tests."""
     import tempfile
     import uuid
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="kerbline-")
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="kerbline-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

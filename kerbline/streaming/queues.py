@@ -34,7 +34,8 @@ def drain(stream: DataFrame, mode: str = "append", name: str = "stream") -> Data
 
 
 def tumbling(events: DataFrame, late: str = "1 hour", size: str = "6 hours") -> DataFrame:
-    """Counts and sums per event-time window and type; rows later than the watermark are left out."""
+    """Counts and sums per event-time window and type. In append and update mode rows later than the watermark are
+    left out; drained in complete mode, as the queries do, all count."""
     e = events.withWatermark("ts", late)
     return e.groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("window.start").alias("start"), "event_type", "n", "value")
 

@@ -154,8 +154,8 @@ def test_greedy_cover_and_suppression(spark):
 def test_isotonic_platt_bootstrap(spark):
     d = spark.createDataFrame([(1, 1.0, 0), (1, 2.0, 1), (1, 3.0, 0), (1, 4.0, 1)], "g int, x double, y int")
     assert [(r.x0, r.x1, r.fit) for r in stats.isotonic(d, "g", "x", "y").orderBy("x0").collect()] == [(1.0, 1.0, 0.0), (2.0, 3.0, 0.5), (4.0, 4.0, 1.0)]
-    a, b = stats.platt([0.1, 0.2, 0.8, 0.9, 0.4, 0.6], [0, 0, 1, 1, 1, 0])
-    assert a > 0 and stats.platt([0.1, 0.2], [1, 1]) is None and math.isfinite(b)
+    a, b = stats.platt([0.1, 0.2, 0.8, 0.9, 0.4, 0.6], [0, 0, 1, 1, 1, 0], [1, 1, 0, 0, 0, 1])
+    assert a > 0 and stats.platt([0.1, 0.2], [1, 1], [0, 0]) is None and math.isfinite(b)
 
 
 def test_signal_kernels():
@@ -215,3 +215,82 @@ def test_index_edges_of_mixed_signs(spark):
     v = [-5.0, -0.5, -0.5, 0.0, 0.25, 0.5, 1.0, 3.0, 1e6]
     got = stats.index_edges(spark.createDataFrame([(x,) for x in v], "v double"), "v", 3).first().edges
     assert got == [sorted(v)[len(v) * j // 3] for j in (1, 2)]
+
+
+def _inputs(rut="range"):
+    one = {"iri": (2.5, 5.0, 12.0), "potholes": (0.0, 4.0, 20.0), "cracking": (0.1, 3.0, 12.0), "ravelling": (0.0, 0.5, 4.0), "patching": (0.0, 1.0, 4.0), "rut_depth": (0.0, 12.5, 25.0)}
+    return one, {"cracking": "image", "ravelling": "image", "patching": "image"}, {"rut_depth": rut}
+
+
+def _stretch(units, rho, rut="range", draws=3000):
+    from kerbline.functions import estimate
+
+    one, groups, shapes = _inputs(rut)
+    return estimate.stretch("urban", [100.0] * units, {p: tuple([v] * units for v in e) for p, e in one.items()}, draws, 7, rho, groups, shapes)
+
+
+def test_joint_estimate_shared_errors_stay_and_own_errors_average_out():
+    one, many = _stretch(1, 1.0), _stretch(12, 1.0)
+    assert all(abs(one[k] - many[k]) < 2.5 for k in one) and many == _stretch(12, 1.0)
+    assert many["p05"] <= many["p25"] <= many["p50"] <= many["p75"] <= many["p95"]
+    width = lambda rho: (lambda d: d["p95"] - d["p05"])(_stretch(12, {**dict.fromkeys(_inputs()[0], 1.0), "iri": rho, "potholes": rho}, "uniform"))
+    assert width(1.0) > width(0.5) > width(0.0)
+
+
+def test_joint_estimate_keeps_both_ends_of_a_range():
+    from kerbline.functions import estimate
+
+    one, groups, _ = _inputs()
+    at = lambda v: estimate.stretch("urban", [100.0] * 8, {p: tuple([x] * 8 for x in (e if p != "rut_depth" else (v, v, v))) for p, e in one.items()}, 3000, 7, 0.6, groups)
+    got = _stretch(8, 0.6)
+    assert abs(got["p95"] - at(0.0)["p95"]) < 1e-9 and abs(got["p05"] - at(25.0)["p05"]) < 1e-9
+
+
+def test_joint_estimate_weighs_sections():
+    from kerbline.functions import estimate
+
+    good, bad = (2.0, 2.0, 2.0), (2.5, 5.0, 12.0)
+    both = {"iri": tuple(list(x) for x in zip(bad, good))}
+    assert estimate.stretch("urban", [10.0, 990.0], both, 1500)["p50"] > estimate.stretch("urban", [990.0, 10.0], both, 1500)["p50"] + 3
+
+
+def test_bootstrap_against_plain_resampling(spark, monkeypatch):
+    import random
+
+    from kerbline.functions import stats
+
+    r = random.Random(2)
+    rows = [(c, float(r.random() < 0.4), 1.0) for c in range(300) for _ in range(r.randrange(1, 6))]
+    d = spark.createDataFrame(rows, "c int, a double, n double")
+    per = {}
+    for c, a, n in rows:
+        x = per.setdefault(c, [0.0, 0.0])
+        x[0] += a
+        x[1] += n
+    ids = list(per)
+    plain = sorted((lambda p: sum(per[i][0] for i in p) / sum(per[i][1] for i in p))([r.choice(ids) for _ in ids]) for _ in range(2000))
+    for most in (stats.CLUSTERS, 40):  # one task, and many that share the draws
+        monkeypatch.setattr(stats, "CLUSTERS", most)
+        got = stats.bootstrap(d, "c", ["a", "n"], lambda s: s["a"] / s["n"], 2000, 5).first()
+        assert abs(got.point - sum(x[1] for x in rows) / len(rows)) < 1e-12 and got.draws == 2000
+        assert abs(got.lo - plain[49]) < 0.01 and abs(got.hi - plain[1949]) < 0.01
+
+
+def test_exact_mcnemar(spark):
+    from math import comb
+
+    from pyspark.sql import functions as F
+
+    from kerbline.functions import stats
+
+    pairs = [(0, 0), (0, 1), (3, 9), (10, 10), (0, 40), (700, 800), (4000, 4300)]
+    got = [r[0] for r in spark.createDataFrame(pairs, "b int, c int").coalesce(1).select(stats.mcnemar(F.col("b"), F.col("c"))).collect()]
+    want = [min(1.0, 2 * sum(comb(b + c, i) for i in range(min(b, c) + 1)) / 2 ** (b + c)) if b + c else 1.0 for b, c in pairs]
+    assert all(math.isclose(a, b, rel_tol=1e-8) for a, b in zip(got, want))
+
+
+def test_platt_counts_equal_repeated_rows():
+    from kerbline.functions import stats
+
+    a = stats.platt([0.2, 0.2, 0.2, 0.7, 0.7], [0, 0, 1, 1, 1], [1, 1, 0, 0, 0])
+    assert stats.platt([0.2, 0.7], [1, 2], [2, 0]) == __import__("pytest").approx(a)
