@@ -76,7 +76,7 @@ def _write(batches, folder: str, most: int):
 
 
 def firsts(pages: DataFrame, scratch: Scratch, least: int = 0) -> DataFrame:
-    """(page_id, first): pages whose payload of at least `least` bytes an earlier page_id holds too.
+    """(page_id, d, first): pages and payload digests of at least `least` bytes that an earlier page_id holds too.
 
     Only digests and ids are shuffled; minima are combined before the shuffle, and a payload that very many pages
     share has its pages dealt over several tasks.
@@ -87,37 +87,46 @@ def firsts(pages: DataFrame, scratch: Scratch, least: int = 0) -> DataFrame:
     low = keys.groupBy("d").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.count("*").alias("n")).where("last > first")
     low = scratch.save(low.select("d", "first", "n"), "shared")
     total = low.agg(F.sum("n")).first()[0] or 0
-    return spread_join(keys, low.select("d", "first"), ["d"], low.select("d", "n"), total).where("page_id > first").select("page_id", "first")
+    return spread_join(keys, low.select("d", "first"), ["d"], low.select("d", "n"), total).where("page_id > first").select("page_id", "d", "first")
 
 
 def write_archives(pages: DataFrame, scratch: Scratch, least: int = 0, most: int = 64 << 20) -> DataFrame:
     """Writes pages(page_id, url, html) and returns the manifest (path, bytes, records).
 
     One record per row. Null html is an empty payload; a null url is urn:none; a row with a null page_id is always
-    a response. Repeated rows with the smallest page_id are all responses. Other columns are not read. No rows: an
-    empty manifest.
+    a response. Repeated rows with the smallest page_id are all responses; rows that repeat a page_id with other
+    payloads are records of their own, each a response or a revisit by its own payload. Other columns are not read.
+    No rows: an empty manifest.
     """
     seen = scratch.save(firsts(pages, scratch, least).distinct(), "firsts")
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("binary").alias("html"))
-    todo = p.join(seen, "page_id", "left").select("page_id", "url", "html", "first")
+    p = p.withColumn("d", F.unhex(F.sha1(F.coalesce("html", F.lit("").cast("binary")))))
+    todo = p.join(seen, ["page_id", "d"], "left").select("page_id", "url", "html", "first")
     folder = scratch.path("archives")
     return scratch.save(todo.mapInArrow(partial(_write, folder=folder, most=most), "path string, bytes long, records long"), "manifest")
 
 
+#: What parse_header() gives where a header may go on beyond the data.
+MORE = (0, {})
+
+
 def parse_header(data: bytes, at: int = 0) -> tuple[int, dict[str, str]] | None:
-    """(bytes up to the block, fields) of the header at `at`, or None if there is none that ends in the data."""
-    if data[at : at + len(MAGIC)] != MAGIC:
-        return None
-    end = data.find(END, at, at + MOST_HEADER)
-    if end < 0:
+    """(bytes up to the block, fields) of the header at `at`; MORE if it doesn't end in the data; None if none is there.
+
+    Lines are read one by one and the first that can't be a header's ends it, so of magic lines in a row each costs
+    the bytes up to the next."""
+    if not MAGIC.startswith(data[at : at + len(MAGIC)]):
         return None
-    fields = {}
-    for line in data[at + len(MAGIC) : end].split(b"\r\n"):
-        k, sep, v = line.partition(b":")
+    line, fields = at + len(MAGIC), {}
+    while (end := data.find(b"\r\n", line, at + MOST_HEADER)) != line:
+        if end < 0:
+            return MORE if len(data) - at < MOST_HEADER else None
+        k, sep, v = data[line:end].partition(b":")
         if not sep:
             return None
         fields[k.strip().decode("latin-1").lower()] = v.strip().decode("utf-8", "replace")
-    return (end + len(END) - at, fields) if re.fullmatch(r"\d{1,18}", fields.get("content-length", "")) else None
+        line = end + 2
+    return (line + 2 - at, fields) if re.fullmatch(r"\d{1,18}", fields.get("content-length", "")) else None
 
 
 def _candidates(batches):
@@ -134,16 +143,16 @@ def _candidates(batches):
             fs, at = filesystem(path)
             with fs.open_input_file(at) as f:
                 data = f.read_at(min(size, end + len(MAGIC)) - start, start)
-                ends = lambda at: data[at - start : at - start + len(END)] if at + len(END) <= start + len(data) else f.read_at(len(END), at)
+                ends = lambda at: at + len(END) > start + len(data) or data[at - start : at - start + len(END)] == END
                 places = [start + m.start() for m in re.finditer(re.escape(MAGIC), data) if start + m.start() < end]
                 succ = {}
                 for p in places:
                     head = parse_header(data, p - start)
-                    if head is None:
+                    if head is MORE:  # at most one: a header that isn't over holds no other magic
                         head = parse_header(f.read_at(min(size - p, MOST_HEADER + len(END)), p))
-                    if head:
+                    if head and head is not MORE:
                         nxt = p + head[0] + int(head[1]["content-length"]) + len(END)
-                        if nxt <= size and ends(nxt - len(END)) == END:  # only a record that leaves the range is looked up
+                        if nxt <= size and ends(nxt - len(END)):  # the end of a record that leaves the range is checked on reading
                             succ[p] = nxt
             exits = {}
             for p in sorted(succ, reverse=True):
@@ -200,14 +209,16 @@ def _records(batches, payloads: bool):
                 size = f.size()
                 while at < end:
                     head = parse_header(buf, at - base)
-                    if head is None or at - base + head[0] + int(head[1]["content-length"]) > len(buf):
-                        want = (1 << 20) if head is None else head[0] + int(head[1]["content-length"]) + (1 << 20)
-                        if at == base and len(buf) >= min(want, size - at):
+                    if head is None or head is MORE or at - base + head[0] + int(head[1]["content-length"]) + len(END) > len(buf):
+                        want = MOST_HEADER if head is None or head is MORE else head[0] + int(head[1]["content-length"]) + (1 << 20)
+                        if head is None or at == base and len(buf) >= min(want, size - at):
                             raise ValueError(f"no record at {at} of {path}")
                         base, buf = at, f.read_at(min(size - at, want), at)
                         continue
                     n, h = head
                     block = buf[at - base + n : at - base + n + int(h["content-length"])]
+                    if buf[(over := at - base + n + len(block)) : over + len(END)] != END:
+                        raise ValueError(f"the record at {at} of {path} doesn't end")
                     if h.get("warc-block-digest") not in (None, f"sha1:{base32_sha1(block)}"):
                         raise ValueError(f"bad block digest at {at} of {path}")
                     http, _, body = block.partition(END)
