@@ -166,13 +166,16 @@ def near_duplicates(
     Fingerprints within `distance` bits link; component_id is the smallest id reachable, itself included. Null,
     empty and blank texts have fingerprint 0 and link like any other. A row with a null id gets a fingerprint and
     the component of its fingerprint, and is never a representative (null if no other row has it). Repeated rows
-    come back repeated; rows that share an id count as one document. Other columns of docs are not read, so
+    come back repeated; rows that share an id count as one document, so their fingerprints link. Other columns of docs are not read, so
     their names can't clash. An empty table gives an empty table.
     """
     fps = scratch.save(fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
     distinct = scratch.save(fps.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "distinct")
     known = distinct.where("rep is not null").select("fp", "rep")
     edges = links(known, known.count(), distance, scratch, bucket)
+    shared = fps.where("id is not null").groupBy("id").agg(F.min("fp").alias("p"), F.max("fp").alias("q")).where("p <> q").select("id")
+    same_id = fps.join(shared, "id", "left_semi").distinct().join(known, "fp").where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
+    edges = edges.union(same_id)
     comp = components(edges, scratch)
     named = distinct.join(comp, distinct.rep == comp.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return spread_join(fps, scratch.save(named, "named"), ["fp"], distinct, fps.count()).select("id", "fp", "component_id")
