@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.views import table
+from ..streaming import desk as D
 from ..streaming import queues as Q
 from .registry import query
 
@@ -74,3 +75,64 @@ def zslide(spark, sf):
 @query("Z_sessions", "WITH d AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM d) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM s GROUP BY user_id, s")
 def zsess(spark, sf):
     return Q.drain(Q.sessions(_events(spark, sf)), "complete", "zw").select("user_id", F.unix_micros("start").alias("start_us"), "n")
+
+
+def _desk_events(spark, sf, body: dict):
+    """The events table as events of desks of 25 users, a day in 15 minutes."""
+    e = table(spark, sf, "events").withColumn("ts", F.timestamp_micros((F.unix_micros(F.col("ts").cast("timestamp")) / 100).cast("long")))
+    kinds = F.create_map(*[x for k, v in (("view", "a"), ("signup", "b"), ("click", "c"), ("purchase", "d"), ("error", "e")) for x in (F.lit(k), F.lit(v))])
+    e = e.withColumn("of", kinds[F.col("event_type")]).withColumn("r", F.floor(F.col("event_id") / 7).cast("long"))
+    return e.select(F.floor(F.col("user_id") / 25).cast("string").alias("key"), "event_id", "ts", *[F.expr(x).alias(c) for c, x in body.items()])
+
+
+@query("Z6_review_desk")
+def z6_desk(spark, sf):
+    """Hand-outs, leases, skips and saves of review desks, an answer per event."""
+    item = "concat('i', event_id % 60)"
+    body = {
+        "kind": "case of when 'a' then 'item' when 'b' then 'next' when 'c' then element_at(array('grant', 'take', 'active'), cast(r % 3 + 1 as int)) when 'd' then 'save' else element_at(array('heartbeat', 'release', 'release'), cast(r % 3 + 1 as int)) end",
+        "source": "case when of = 'e' then null when event_id % 5 = 0 then 'citizen' else 'video' end",
+        "item": f"case when of in ('a', 'c', 'd') then {item} end",
+        "items": f"case of when 'c' then array({item}, concat('i', (event_id + 5) % 60)) when 'e' then case when r % 3 = 2 then array(concat('video:', {item}), concat('video:i', (event_id + 1) % 60)) end end",
+        "session": "concat('s', user_id % 4)", "name": "concat('Reviewer ', user_id % 4)",
+        "queue": "element_at(array('needs_review', 'auto', 'random'), cast(r % 3 + 1 as int))",
+        "n": "case when of = 'b' then cast(event_id % 7 + 1 as int) end", "skip": "case when of = 'e' then r % 3 = 2 end",
+        "status": "case when of = 'a' then if(event_id % 2 = 0, 'expert_review', 'classified') end",
+        "place": f"lpad({item}, 6, '0')", "lottery": f"md5(concat('expert-review-random-v1:', {item}))",
+        "op_id": "case when of = 'd' then concat('op', r) end", "severity": "case when of = 'd' then 'High' end", "types": "case when of = 'd' then array('Potholes') end",
+    }
+    return D.replayed(_desk_events(spark, sf, body), D.Desk, "z6desk")
+
+
+@query("Z7_saves")
+def z7_saves(spark, sf):
+    """The log of saves: of each desk's saves what became of them, replays and conflicts among them."""
+    got = z6_desk(spark, sf).select("key", F.from_json("answer", "result string, action string, item string, held_by string, reviewed_by string, reviewed_at double").alias("a"))
+    got = got.where("a.result in ('saved', 'replayed', 'conflict', 'not found', 'op_id of another item')").select("key", "a.result", "a.action", F.when(F.col("a.held_by").isNotNull(), "held").when(F.col("a.reviewed_by").isNotNull(), "reviewed").alias("why"))
+    return got.groupBy("key", "result", "action", "why").agg(F.count("*").alias("n"))
+
+
+@query("Z5_work_queue")
+def z5(spark, sf):
+    """Claims of the oldest due photos, retries with a delay that doubles, stale claims, stops."""
+    body = {
+        "kind": "case when of in ('a', 'b') then 'photo' when of = 'c' then 'claim' when r % 29 = 0 then 'stop' when of = 'd' then 'done' else 'error' end",
+        "item": "case when of in ('a', 'b') then concat('p', event_id % 400) when of in ('d', 'e') then concat('p', event_id % 23) end",
+        "worker": "concat('w', user_id % 2)", "n": "case when of = 'c' then cast(event_id % 6 + 1 as int) end",
+        "status": "case when of = 'd' and r % 4 = 0 then 'expert_review' end", "transient": "case when of = 'e' then r % 5 <> 0 end",
+    }
+    return D.replayed(_desk_events(spark, sf, body), D.WorkQueue, "z5")
+
+
+@query("Z9_inbox")
+def z9(spark, sf):
+    """Inboxes of drive packages: what runs next, what was refused, replaced or vanished, what goes on after a restart."""
+    packages = "map_from_entries(transform(filter(sequence(0, 11), k -> k <= r % 14 and (k + r) % 17 <> 0), k -> struct(concat('d', k), concat('f', floor((r + k) / 90)))))"
+    body = {
+        "kind": "case when of = 'a' then 'scan' when of = 'b' then 'poll' when of = 'c' then 'stage' when of = 'd' then case when r % 3 = 0 then 'fail' when r % 7 = 1 then 'restart' else 'poll' end else case when r % 2 = 0 then 'error' else 'ok' end end",
+        "packages": f"case when of = 'a' then {packages} end",
+        "session": "case when of in ('c', 'd') then concat('d', event_id % 4) end",
+        "state": "case when of = 'c' then element_at(array('extracting', 'classifying', 'storing', 'stored', 'done'), cast(r % 5 + 1 as int)) end",
+        "stage": "case when of = 'd' then if(r % 2 = 0, 'validate', 'extract') end", "error": "case when of = 'd' then 'refused' end",
+    }
+    return D.replayed(_desk_events(spark, sf, body), D.Inbox, "z9")
