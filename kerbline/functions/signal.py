@@ -7,6 +7,8 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .vibration import section_filter
+
 RATE, GRAVITY = 200.0, 9.80665
 
 
@@ -40,18 +42,6 @@ def biquads(low: float, high: float, rate: float = RATE) -> list[tuple]:
     return out
 
 
-def _filter(x, c):
-    import numpy as np
-
-    b0, b1, b2, a1, a2 = c
-    y, z1, z2 = np.empty_like(x), 0.0, 0.0
-    for i, v in enumerate(x):
-        o = b0 * v + z1
-        z1, z2 = b1 * v - a1 * o + z2, b2 * v - a2 * o
-        y[i] = o
-    return y
-
-
 def band_pass(x, low: float, high: float, rate: float = RATE):
     """Zero-phase band-pass: each section forward and backward, ends mirrored (K2)."""
     import numpy as np
@@ -62,7 +52,7 @@ def band_pass(x, low: float, high: float, rate: float = RATE):
         return np.zeros_like(x)
     y = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
     for c in biquads(low, high, rate):
-        y = _filter(_filter(y, c)[::-1], c)[::-1]
+        y = section_filter(section_filter(y, c, steady=False)[::-1], c, steady=False)[::-1]
     return y[pad : pad + len(x)]
 
 

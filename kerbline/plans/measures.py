@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import estimate, rating, signal, spatial_math, stats
 from ..operators import aggregates as A
-from ..sources.views import over, view
+from ..operators import roughness
+from ..sources.views import over, table, view
 from .registry import query, whole
 from .segments import sections, segments
 
@@ -568,3 +570,41 @@ def k1(spark, sf):
 @query("K4_iri_factor")
 def k4(spark, sf):
     return spark.createDataFrame([(signal.iri_factor(),)], "factor double")  # one constant
+
+
+def _drives(spark, sf):
+    """A drive per supplier with the rows of its lines: accelerations and rotations 40 ms apart with a gap of half a
+    second, a fix every second, a segment every two."""
+    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")
+    d = table(spark, sf, "lineitem").withColumn("n", F.row_number().over(w) - 1).select(F.col("l_suppkey").alias("session"), "n", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
+    d = d.withColumn("t_ns", F.lit(10**15) + F.col("n").cast("long") * 40_000_000 + F.when(F.col("n") >= 300, 500_000_000).otherwise(0))
+    xyz = lambda a, b, c: (F.expr(a).alias("x"), F.expr(b).alias("y"), F.expr(c).alias("z"))
+    acc = d.select("session", F.lit("acc").alias("channel"), "t_ns", *xyz("l_discount", "l_tax * 5", "9.8 + (l_quantity - 25) / 25"))
+    gyro = d.where("session % 3 > 0").select("session", F.lit("gyro").alias("channel"), "t_ns", *xyz("l_tax", "l_discount", "0.1"))
+    gravity = d.where("session % 4 = 0 and n % 10 = 0").select("session", F.lit("gravity").alias("channel"), "t_ns", *xyz("0.1", "0.05", "9.8"))
+    fixes = d.where("n % 25 = 0").select("session", "t_ns", F.expr("case when n % 175 = 100 then null when session % 7 = 0 and n between 200 and 300 then 0.2 else 3 + l_quantity / 50 end").alias("speed"), F.expr("12.9D").alias("lat"), F.expr("77.5 + n * 0.0000014").alias("lon"))
+    segs = d.where("n % 50 = 0").select("session", F.concat_ws("_", "session", "n").alias("segment_id"), F.expr("cast(n * 0.16 as double)").alias("s0_m"), F.expr("cast(n * 0.16 + 8 as double)").alias("s1_m"), (F.col("n") % 350 != 150).alias("covered"), F.when(F.col("n") % 300 != 200, F.col("t_ns")).alias("frame_t_ns"), F.lit(2.0).alias("near_m"))
+    return acc.union(gyro).union(gravity), fixes, segs
+
+
+@query("K1_resampled")
+def k1_resampled(spark, sf):
+    """Grid samples of each drive, how many lie near the end of a run, and the strength of the vertical signal."""
+    g = roughness.samples(_drives(spark, sf)[0], least=200)
+    return g.groupBy("session").agg(F.count("*").alias("n"), F.sum(F.col("edge").cast("long")).alias("edges"), r6(F.avg("raw"), "mean"), r6(F.stddev_pop("raw"), "sd"))
+
+
+@query("K2_bands")
+def k2_bands(spark, sf):
+    """Root mean squares of the zero-phase bands of each drive."""
+    g = roughness.samples(_drives(spark, sf)[0], least=200)
+    fine = lambda c: F.when(~F.isnan(c), F.col(c))
+    return g.groupBy("session").agg(F.count(fine("av")).alias("n"), *[r6(F.sqrt(F.avg(fine(c) * fine(c))), f"rms_{c}") for c in ("av", "body", "wheel", "rot")])
+
+
+@query("K3_segment_windows")
+def k3(spark, sf):
+    """Features and flags of the vibration under every segment."""
+    sensor, fixes, segs = _drives(spark, sf)
+    got = roughness.segment_windows(sensor, fixes, segs, least=200)
+    return got.select(*[r6(c, c) if t == "double" else F.col(c) for c, t in got.dtypes])
