@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch
+
 Z95 = 1.959964
 
 
@@ -306,21 +308,57 @@ def apply_platt(p: Column, a: Column, b: Column) -> Column:
     return F.when(a.isNull(), p).otherwise(1 / (1 + F.exp(-(a * F.log(q / (1 - q)) + b))))
 
 
-def isotonic(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
-    """(by, x0, x1, fit, n): pooled adjacent violators of the mean of y over x (X21). Equal x are averaged first."""
-    per = df.groupBy(by, F.col(x).alias("__x")).agg(F.avg(F.col(y).cast("double")).alias("__y"), F.count("*").alias("__n"))
+#: Blocks that one task pools at a time.
+ISOTONIC_RUN = 50_000
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        blocks: list[list[float]] = []
-        for a, m, n in pdf.sort_values("__x")[["__x", "__y", "__n"]].itertuples(index=False):
-            blocks.append([a, a, m, n])
-            while len(blocks) > 1 and blocks[-2][2] >= blocks[-1][2]:
-                b, c = blocks.pop(), blocks.pop()
-                blocks.append([c[0], b[1], (c[2] * c[3] + b[2] * b[3]) / (c[3] + b[3]), c[3] + b[3]])
-        return pd.DataFrame([(pdf[by].iloc[0], *b) for b in blocks], columns=[by, "x0", "x1", "fit", "n"])
 
-    kind = df.schema[by].dataType.simpleString()
-    return per.groupBy(by).applyInPandas(kernel, f"{by} {kind}, x0 double, x1 double, fit double, n double")
+def isotonic(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
+    """(by, x0, x1, fit, n): pooled adjacent violators of the mean of y over x (X21). Equal x are averaged first.
+
+    Pooling parts of an ordered list and then what they gave is pooling the whole list, so ranges of x are pooled in
+    tasks of their own. Where two ranges meet in blocks that violate the order, the second half of every range is
+    pooled with the first half of the next, until none do; two rounds merge such blocks at least, so it ends. A group of any
+    size lies over many tasks.
+    """
+    spark, at = df.sparkSession, scratch(df.sparkSession, "isotonic")
+    names, kind = [by, "x0", "x1", "fit", "n", "part"], df.schema[by].dataType.simpleString()
+    schema = f"{by} {kind}, x0 double, x1 double, fit double, n double, part long"
+
+    def pool(parts):
+        blocks: list[list] = []  # of one group and range: the rows of a task are in order of range, group and x
+        for pdf in parts:
+            rows = []
+            for g, a, b, m, n, part in pdf.itertuples(index=False, name=None):
+                g = None if isinstance(g, float) and math.isnan(g) else g
+                if blocks and (blocks[0][0] != g or blocks[0][5] != part):
+                    rows += blocks
+                    blocks = []
+                blocks.append([g, a, b, m, n, part])
+                while len(blocks) > 1 and blocks[-2][3] >= blocks[-1][3]:
+                    q, p = blocks.pop(), blocks.pop()
+                    blocks.append([g, p[1], q[2], (p[3] * p[4] + q[3] * q[4]) / (p[4] + q[4]), p[4] + q[4], part])
+            yield pd.DataFrame(rows, columns=names)
+        yield pd.DataFrame(blocks, columns=names)
+
+    v = F.col(x).cast("double")
+    blocks = df.where(v.isNotNull() & F.col(y).isNotNull()).groupBy(by, v.alias("x0")).agg(F.avg(F.col(y).cast("double")).alias("fit"), F.count("*").cast("double").alias("n"))
+    blocks.write.parquet(f"{at}/0")
+    blocks = spark.read.parquet(f"{at}/0")
+    ranged = blocks.repartitionByRange(max(1, -(-blocks.count() // ISOTONIC_RUN)), by, "x0")
+    blocks = ranged.select(by, "x0", F.col("x0").alias("x1"), "fit", "n", F.spark_partition_id().cast("long").alias("part"))
+    blocks = blocks.sortWithinPartitions("part", by, "x0")
+    for k in range(1, 200):
+        blocks.mapInPandas(pool, schema).write.parquet(f"{at}/{k}")
+        done = spark.read.schema(schema).parquet(f"{at}/{k}")
+        ends = done.groupBy(by, "part").agg(F.min_by("fit", "x0").alias("first"), F.max_by("fit", "x0").alias("last"))
+        low = F.lag("last").over(Window.partitionBy(by).orderBy("part"))
+        if ends.withColumn("low", low).where("low >= first").isEmpty():
+            return done.drop("part")
+        order = Window.partitionBy("part").orderBy(by, "x0")
+        m = F.count("*").over(Window.partitionBy("part"))
+        half = F.when(F.when(m > 1, 2 * F.row_number().over(order) > m).otherwise((F.col("part") + k) % 2 == 1), 1).otherwise(0)  # lone blocks meet in pairs
+        blocks = done.withColumn("part", F.col("part") + half).repartition("part").sortWithinPartitions("part", by, "x0")
+    raise RuntimeError("blocks still violate the order after 199 rounds")
 
 
 def value_at_share(df: DataFrame, column: str, share: DataFrame, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import estimate, rating, signal, spatial_math, stats
 from ..operators import aggregates as A
-from ..operators import roughness
+from ..operators import extent, roughness
 from ..sources.views import over, table, view
 from .registry import query, whole
 from .segments import sections, segments
@@ -377,6 +377,37 @@ def x22(spark, sf):
     return stats.grouped_cv(d, "fold", 3, "p1", "truth")
 
 
+def _frames(spark, sf):
+    """Probe frames as rows of an extent fit: a group per ten labels, a block per 25 frames, five folds of blocks."""
+    d = view(spark, sf, "probes").select(F.pmod("grp", F.lit(3)).alias("g"), F.floor(F.col("id") / 25).cast("long").alias("block"), F.col("p1").alias("score"), F.col("p2"), F.col("truth").cast("int").alias("flag"))
+    return d.select("g", "block", F.pmod("block", F.lit(5)).cast("int").alias("fold"), "score", (100 * F.col("score") * F.col("p2") * (0.4 + 0.6 * F.col("flag"))).alias("y"), F.when((F.col("g") < 2) | (F.col("block") % 50 > 0), F.col("flag")).alias("flag"))
+
+
+@query("X22_model_selection")
+def x22_selection(spark, sf):
+    """The curve chosen by grouped cross-validation, every candidate's error and the residual model of the chosen one."""
+    choice, _ = extent.select(_frames(spark, sf))
+    return choice.select("g", "chosen", "n_frames", "n_blocks", *[r6(F.col("cv")[n], n) for n in extent.CANDIDATES], *[r6(c, c) for c in ("tau20", "rho", "sigma2")])
+
+
+@query("X21_curves")
+def x21_curves(spark, sf):
+    """The chosen monotone curves: edges, centres and pooled means of their bins."""
+    _, curves = extent.select(_frames(spark, sf))
+    d = curves.select("g", "chosen", F.explode("fits").alias("key", "fit")).select("g", "chosen", "key", F.posexplode(F.arrays_zip("fit.x", "fit.y", "fit.n")).alias("bin", "b"))
+    return d.select("g", "chosen", "key", "bin", r6("b.x", "centre"), r6("b.y", "mean"), F.col("b.n").cast("long").alias("n"))
+
+
+@query("X21_intervals")
+def x21_intervals(spark, sf):
+    """Extent of every section of ten frames with its interval from bootstrap curves and residuals."""
+    frames = _frames(spark, sf)
+    choice, curves = extent.select(frames)
+    sections = view(spark, sf, "probes").select(F.pmod("grp", F.lit(3)).alias("g"), F.floor(F.col("id") / 10).cast("long").alias("section"), F.when(F.col("id") % 9 > 0, F.col("p1")).alias("score"), F.lit(5.0).alias("length_m"), F.col("truth").cast("int").alias("flag"))
+    got = extent.intervals(sections, choice, curves, extent.bootstrap(frames, curves, 100))
+    return got.select("g", "section", "n_frames", *[r6(c, c) for c in ("scored_m", "coverage", "mean", "lo90", "hi90")])
+
+
 @query("X23_log_linear", over("SELECT round(regr_slope(ln(y + 1), ln(x)), 6) AS b, round(regr_intercept(ln(y + 1), ln(x)), 6) AS a FROM survey"))
 def x23(spark, sf):
     ly, lx = F.log(F.col("y") + 1), F.log("x")
