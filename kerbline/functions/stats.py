@@ -226,12 +226,12 @@ def ks_distance(df: DataFrame, value: str, side: str) -> DataFrame:
 CLUSTERS = 20_000
 
 
-def bootstrap(df: DataFrame, cluster: str, sums: list[str], stat: Callable[[dict[str, float]], float], draws: int = 2000, seed: int = 0, by: str | None = None) -> DataFrame:
-    """Percentile interval of a statistic of column sums with whole clusters resampled.
+def resampled(df: DataFrame, cluster: str, sums: list[str], draws: int, seed: int, by: str | None) -> DataFrame:
+    """(group, __draw, sums): column sums of each draw of whole clusters, draw -1 the table itself.
 
     Clusters are summed first, then dealt into buckets of about CLUSTERS. How many of a draw's clusters fall into each
     bucket is one seeded multinomial that every task repeats; each task draws its bucket's share and sends one sum per
-    draw, so neither clusters nor items gather in one task. The statistic is applied to the sums of the draws.
+    draw, so neither clusters nor items gather in one task.
     """
     key = F.col(by).cast("string") if by else F.lit("")
     per = df.groupBy(key.alias("group"), cluster).agg(*[F.sum(F.col(c).cast("double")).alias(c) for c in sums])
@@ -252,15 +252,35 @@ def bootstrap(df: DataFrame, cluster: str, sums: list[str], stat: Callable[[dict
             out.append(rng.multinomial(share[i : i + step], np.full(len(rows), 1 / len(rows))) @ rows)
         return pd.DataFrame({"group": pdf["group"].iloc[0], "__draw": np.arange(-1, draws), **dict(zip(sums, np.concatenate(out).T, strict=True))})
 
+    part = per.groupBy("group", "__bucket").applyInPandas(resample, "group string, __draw long, " + ", ".join(f"{c} double" for c in sums))
+    return part.groupBy("group", "__draw").agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def bootstrap(df: DataFrame, cluster: str, sums: list[str], stat: Callable[[dict[str, float]], float], draws: int = 2000, seed: int = 0, by: str | None = None) -> DataFrame:
+    """Percentile interval of a statistic of column sums with whole clusters resampled."""
+
     def interval(pdf: pd.DataFrame) -> pd.DataFrame:
         each = {int(d): stat(dict(zip(sums, v, strict=True))) for d, *v in pdf[["__draw", *sums]].itertuples(index=False)}
         vals = sorted(v for d, v in each.items() if d >= 0 and v == v)
         at = lambda q: vals[int(q * (len(vals) - 1))] if vals else math.nan
         return pd.DataFrame({"group": [pdf["group"].iloc[0]], "point": [each[-1]], "lo": [at(0.025)], "hi": [at(0.975)], "draws": [len(vals)]})
 
-    part = per.groupBy("group", "__bucket").applyInPandas(resample, "group string, __draw long, " + ", ".join(f"{c} double" for c in sums))
-    drawn = part.groupBy("group", "__draw").agg(*[F.sum(c).alias(c) for c in sums])
-    return drawn.groupBy("group").applyInPandas(interval, "group string, point double, lo double, hi double, draws long")
+    return resampled(df, cluster, sums, draws, seed, by).groupBy("group").applyInPandas(interval, "group string, point double, lo double, hi double, draws long")
+
+
+def paired_bootstrap(df: DataFrame, cluster: str, sums: list[str], one: Callable[[dict[str, float]], float], two: Callable[[dict[str, float]], float], draws: int = 2000, seed: int = 0, by: str | None = None) -> DataFrame:
+    """(group, delta, lo, hi, p, draws): two less one on the same resamples of whole clusters (X9). p is twice the
+    share of draws on the other side of zero, 1 at most; draws in which either is undefined don't count."""
+
+    def compared(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [(int(d), dict(zip(sums, v, strict=True))) for d, *v in pdf[["__draw", *sums]].itertuples(index=False)]
+        each = {d: two(v) - one(v) for d, v in rows}
+        vals, point = sorted(v for d, v in each.items() if d >= 0 and v == v), each[-1]
+        at = lambda q: vals[int(q * (len(vals) - 1))] if vals else math.nan
+        other = sum(v <= 0 if point >= 0 else v >= 0 for v in vals)
+        return pd.DataFrame({"group": [pdf["group"].iloc[0]], "delta": [point], "lo": [at(0.025)], "hi": [at(0.975)], "p": [min(1.0, 2 * other / len(vals)) if vals else math.nan], "draws": [len(vals)]})
+
+    return resampled(df, cluster, sums, draws, seed, by).groupBy("group").applyInPandas(compared, "group string, delta double, lo double, hi double, p double, draws long")
 
 
 def platt(scores, yes, no, steps: int = 100, ridge: float = 1e-2) -> tuple[float, float] | None:

@@ -296,6 +296,13 @@ def x9(spark, sf):
     return stats.bootstrap(_correct(spark, sf), "day", ["a", "b", "n"], lambda s: (s["b"] - s["a"]) / s["n"], 300)
 
 
+@query("X9_paired_bootstrap")
+def x9_paired(spark, sf):
+    """Accuracy of the second score less that of the first per truth and over days, with its p."""
+    d = _correct(spark, sf).withColumn("kind", F.when(F.col("truth"), "distress").otherwise("normal"))
+    return stats.paired_bootstrap(d, "day", ["a", "b", "n"], lambda s: s["a"] / s["n"], lambda s: s["b"] / s["n"], 300, by="kind")
+
+
 @query("X10_mcnemar")
 def x10(spark, sf):
     c = _correct(spark, sf).agg(F.count_if(F.expr("a = 1 and b = 0")).alias("b"), F.count_if(F.expr("a = 0 and b = 1")).alias("c"))

@@ -294,3 +294,23 @@ def test_platt_counts_equal_repeated_rows():
 
     a = stats.platt([0.2, 0.2, 0.2, 0.7, 0.7], [0, 0, 1, 1, 1], [1, 1, 0, 0, 0])
     assert stats.platt([0.2, 0.7], [1, 2], [2, 0]) == __import__("pytest").approx(a)
+
+
+@pytest.mark.parametrize("shift", [0.0, 0.15, -0.3])
+def test_paired_bootstrap_against_plain_resampling(spark, shift):
+    """Delta exactly; interval and p within sampling error of resampling clusters one by one."""
+    import random
+
+    r = random.Random(4)
+    rows = [("g", f"c{c}", int(r.random() < 0.5), int(r.random() < 0.5 + shift), 1) for c in range(40) for _ in range(r.randint(3, 12))]
+    d = spark.createDataFrame(rows, "k string, c string, a int, b int, n int").repartition(3)
+    got = stats.paired_bootstrap(d, "c", ["a", "b", "n"], lambda s: s["a"] / s["n"], lambda s: s["b"] / s["n"], 2000, 5, by="k").first()
+    by = {}
+    for _, c, a, b, n in rows:
+        x = by.setdefault(c, [0, 0, 0])
+        by[c] = [x[0] + a, x[1] + b, x[2] + n]
+    mean = lambda cs: (sum(by[c][1] for c in cs) - sum(by[c][0] for c in cs)) / sum(by[c][2] for c in cs)
+    point, deltas = mean(by), sorted(mean([r.choice(sorted(by)) for _ in by]) for _ in range(2000))
+    p = min(1.0, 2 * sum(v <= 0 if point >= 0 else v >= 0 for v in deltas) / 2000)
+    assert got.delta == pytest.approx(point) and (got.lo, got.hi) == pytest.approx((deltas[49], deltas[1949]), abs=0.02)
+    assert got.p == pytest.approx(p, abs=0.06) and got.draws == 2000
