@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from .vibration import section_filter
 
@@ -97,6 +98,11 @@ def iri_factor(n0: float = 0.01, n1: float = 2.0, steps: int = 4000) -> float:
     return math.sqrt(total * 2 / math.pi)
 
 
+def profile(df: DataFrame, key: str, order: str, slope: str, step: float) -> DataFrame:
+    """df with z, the elevation that slopes `step` metres apart add up to (K5)."""
+    return df.withColumn("z", F.sum(F.col(slope) * step).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def synthetic_profile(n: int, step: float, seed: int, roughness: float = 1e-3) -> list[float]:
     """Elevations whose slopes are white noise (K5): test input."""
     import random

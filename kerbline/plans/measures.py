@@ -76,10 +76,16 @@ def m8(spark, sf):
     return view(spark, sf, "survey").select("block", "n", rating.index_param("rural", "potholes", F.col("x")).alias("potholes"), r6(rating.index_param("rural", "iri", F.col("x") / 4 + 3), "iri"))
 
 
-@query("M9_curve_peaks")
+_PEAKS = [(c, s, rating.peak(k)) for c in ("mdr", "rural") for s, k in rating.CURVES[c]["iri"].items() if k]
+
+
+@query("M9_curve_peaks", over(f"SELECT road_class, surface, peak, count(*) FILTER (y / 8 > peak) AS beyond, count(*) AS n FROM survey, (VALUES {', '.join(map(str, _PEAKS))}) AS v(road_class, surface, peak) GROUP BY ALL"))
 def m9(spark, sf):
-    rows = [(c, s, rating.peak(k)) for c in ("mdr", "rural") for s, k in rating.CURVES[c]["iri"].items() if k]
-    return spark.createDataFrame(rows, "road_class string, surface string, peak double")  # constants of the printed curves
+    """How many roughness values of the survey lie beyond the peak of each curve, where it is no longer monotone."""
+    over_ = [F.count_if(F.col("y") / 8 > p).alias(str(i)) for i, (_, _, p) in enumerate(_PEAKS)]
+    d = view(spark, sf, "survey").agg(F.count("*").alias("n"), F.array(*over_).alias("beyond"))
+    d = d.select("n", F.explode(F.arrays_zip(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(s).alias("s"), F.lit(p).alias("p")) for c, s, p in _PEAKS]).alias("v"), "beyond")).alias("r"))
+    return d.select(F.col("r.v.c").alias("road_class"), F.col("r.v.s").alias("surface"), F.col("r.v.p").alias("peak"), F.col("r.beyond").alias("beyond"), "n")
 
 
 @query("M10_index_clamped", over("SELECT block, n, round(least(100, greatest(0, 100.0 / (pow(greatest(x / 5, 2), 1.91) - 3.542 * greatest(x / 5, 2) + 4.315))), 6) AS iri FROM survey"))
@@ -605,9 +611,14 @@ def k1(spark, sf):
     return signal.windows(d)
 
 
-@query("K4_iri_factor")
+_FACTOR = signal.iri_factor()
+
+
+@query("K4_iri_factor", over(f"SELECT session_id, round(sqrt(avg((value - 50) * (value - 50))) * 0.001 * {_FACTOR!r}, 6) AS iri FROM segments GROUP BY 1"))
 def k4(spark, sf):
-    return spark.createDataFrame([(signal.iri_factor(),)], "factor double")  # one constant
+    """Roughness of each drive's profile: the strength of its slopes times the integrated gain of the reference car."""
+    slope = F.col("value") - 50
+    return segments(spark, sf).groupBy("session_id").agg(r6(F.sqrt(F.avg(slope * slope)) * 0.001 * F.lit(_FACTOR), "iri"))
 
 
 def _drives(spark, sf):

@@ -105,17 +105,59 @@ def u6(spark, sf):
     return report.geometry(segments(spark, sf)).select("session_id", "surveyed", "a", "b", "points")
 
 
-@query("U7_calibration_rules", "SELECT 2 AS broken")
-def u7(spark, sf):
-    bad = {"params": {"cracking": {"source": "probe", "a": 0, "b": 1}, "zebra": {"source": "labels", "a": 0, "b": 1}}}
-    return spark.range(1).select(F.lit(len(checks.calibration(bad, ("cracking",)))).alias("broken"))
+def _reasons(records, rules):
+    """How many records break each rule."""
+    d = checks.reasons(records, "rec", rules)
+    return d.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
 
+_REVIEW = """SELECT concat('{"reviewer_name": "', CASE WHEN id % 11 = 0 THEN ' ' WHEN id % 37 = 0 THEN repeat('Name', 16) ELSE reviewer END, '", "types": [', CASE id % 7 WHEN 0 THEN '' WHEN 1 THEN '"zebra"'
+  WHEN 2 THEN '"Normal", "Potholes"' WHEN 3 THEN '"Normal"' ELSE '"Potholes", "Ravelling"' END, CASE WHEN id % 23 = 0 THEN '}' ELSE ']' END, ', "severity": ', CASE id % 5 WHEN 0 THEN '"odd"' WHEN 1 THEN 'null' ELSE '"High"' END,
+  CASE WHEN id % 13 = 0 THEN concat(', "notes": "', repeat('x', 2001), '"') ELSE '' END, '}') AS rec FROM reviews"""
 
-@query("V5_review_rules", "SELECT 3 AS broken")
+
+@query("V5_review_rules", over(f"""WITH r AS ({_REVIEW}), j AS (SELECT rec, json_valid(rec) AS ok FROM r), f AS (SELECT ok, CASE WHEN ok THEN trim(coalesce(rec ->> '$.reviewer_name', '')) END AS who,
+  CASE WHEN ok THEN CAST(json_extract(rec, '$.types') AS VARCHAR[]) END AS types, CASE WHEN ok THEN rec ->> '$.severity' END AS sev, CASE WHEN ok THEN length(coalesce(rec ->> '$.notes', '')) END AS notes FROM j),
+  o AS (SELECT unnest(CASE WHEN NOT ok THEN ['not JSON'] ELSE list_filter([CASE WHEN who = '' THEN 'reviewer_name is missing' END, CASE WHEN length(who) > 60 THEN 'reviewer_name is too long' END,
+  CASE WHEN len(types) NOT BETWEEN 1 AND 12 THEN 'types are no list of some' END, CASE WHEN list_contains(types, 'zebra') THEN 'unknown types' END, CASE WHEN list_contains(types, 'Normal') AND len(types) > 1 THEN 'Normal stands alone' END,
+  CASE WHEN coalesce(sev, 'null') NOT IN ('None', 'Low', 'Medium', 'High', 'Unknown') THEN 'unknown severity' END, CASE WHEN notes > 2000 THEN 'notes are too long' END], lambda x: x IS NOT NULL) END) AS reason FROM f)
+  SELECT reason, count(*) AS n FROM o GROUP BY 1"""))
 def v5(spark, sf):
     from ..functions import labels as L
 
-    return spark.range(1).select(F.lit(len(checks.review({"types": ["zebra"], "severity": "odd"}, L.DISTRESS, L.SEVERITIES))).alias("broken"))
+    return _reasons(_from(spark, sf, _REVIEW, "reviews"), checks.review_rules(L.DISTRESS, L.SEVERITIES))
+
+
+def _from(spark, sf, text, name):
+    """A query text over a view; its braces are JSON's, so it runs on a name of its own."""
+    view(spark, sf, name).createOrReplaceTempView(f"__{name}")
+    return spark.sql(text.replace(f"FROM {name}", f"FROM __{name}"))
+
+
+_ROUGH = """SELECT concat('{"schema": "', CASE WHEN id % 29 = 0 THEN 'v0' ELSE 'v1' END, '", "model": "log_linear", "terms": [', CASE id % 7 WHEN 0 THEN '' WHEN 1 THEN '"log_rms_av", "other"' ELSE '"log_rms_av", "log_speed"' END,
+  '], "coef": {"intercept": ', CASE id % 5 WHEN 0 THEN '"1"' ELSE '1.5' END, ', "log_rms_av": 0.9', CASE WHEN id % 3 = 0 THEN '' ELSE ', "log_speed": -0.4' END, '}, "unit_m": ', CASE WHEN id % 11 = 0 THEN '0' ELSE '100' END,
+  ', "fit_range": {"rms_av": [0.1, 1], "speed_mps": ', CASE id % 4 WHEN 0 THEN '[12, 3]' WHEN 1 THEN '[3]' ELSE '[3, 12]' END, '}, "n": 40, "residual_sd_log": 0.1', CASE WHEN id % 13 = 0 THEN '' ELSE ', "source": {"survey": "s"}' END, CASE WHEN id % 31 = 0 THEN '' ELSE '}' END) AS rec FROM assessments"""
+
+
+@query("V6_calibration_records", over(f"""WITH r AS ({_ROUGH}), f AS (SELECT json_valid(rec) AS ok, CASE WHEN json_valid(rec) THEN CAST(rec AS JSON) END AS v FROM r),
+  g AS (SELECT *, CAST(v -> '$.terms' AS VARCHAR[]) AS terms, list_contains(['DOUBLE', 'BIGINT', 'UBIGINT'], json_type(v, '$.coef.intercept')) AS i, json_type(v, '$.coef.log_speed') AS sp, CAST(v -> '$.fit_range.speed_mps' AS DOUBLE[]) AS sr FROM f),
+  o AS (SELECT unnest(CASE WHEN NOT ok THEN ['not JSON'] ELSE list_filter([CASE WHEN v ->> '$.schema' <> 'v1' THEN 'schema' END, CASE WHEN len(terms) = 0 OR list_contains(terms, 'other') THEN 'terms' END, CASE WHEN NOT i THEN 'coef.intercept' END,
+  CASE WHEN list_contains(terms, 'log_speed') AND sp IS NULL THEN 'coef.log_speed' END, CASE WHEN CAST(v ->> '$.unit_m' AS DOUBLE) <= 0 THEN 'unit_m' END, CASE WHEN len(sr) <> 2 OR sr[1] >= sr[2] THEN 'fit_range.speed_mps' END,
+  CASE WHEN json_type(v, '$.source') IS NULL THEN 'source' END], lambda x: x IS NOT NULL) END) AS reason FROM g) SELECT reason, count(*) AS n FROM o GROUP BY 1"""))
+def v6(spark, sf):
+    return _reasons(_from(spark, sf, _ROUGH, "assessments"), checks.roughness_rules("v1"))
+
+
+_PARAMS = """SELECT concat('{"schema": ', CASE WHEN id % 19 = 0 THEN '1' ELSE '2' END, ', "probe_fp": "', CASE WHEN id % 17 = 0 THEN 'xyz' ELSE '0123456789abcdef' END, '", "params": {"cracking": {"source": "', CASE id % 5 WHEN 0 THEN 'guess' WHEN 1 THEN 'labels' ELSE 'probe' END,
+  '", "threshold": ', CASE WHEN id % 7 = 0 THEN '1.5' ELSE '0.4' END, ', "b": ', CASE WHEN id % 11 = 0 THEN '-1' ELSE '2' END, '}, "', CASE id % 3 WHEN 0 THEN 'zebra' ELSE 'ravelling' END, '": {"source": "', CASE WHEN id % 13 = 0 THEN 'labels' ELSE 'probe' END, '", "threshold": 0.5}}}') AS rec FROM assessments"""
+
+
+@query("U7_calibration_rules", over(f"""WITH r AS ({_PARAMS}), v AS (SELECT CAST(rec AS JSON) AS v FROM r),
+  o AS (SELECT unnest(list_filter([CASE WHEN v ->> '$.schema' <> '2' THEN 'schema' END, CASE WHEN NOT regexp_full_match(v ->> '$.probe_fp', '[0-9a-f]{{16}}') THEN 'probe_fp' END, CASE WHEN list_contains(json_keys(v, '$.params'), 'zebra') THEN 'parameters' END,
+  CASE WHEN v ->> '$.params.cracking.source' = 'guess' THEN 'source' END, CASE WHEN coalesce(v ->> '$.params.ravelling.source', v ->> '$.params.zebra.source') = 'labels' THEN 'labels' END, CASE WHEN v ->> '$.params.cracking.b' = '-1' THEN 'b' END,
+  CASE WHEN v ->> '$.params.cracking.source' = 'probe' AND v ->> '$.params.cracking.threshold' = '1.5' THEN 'threshold' END], lambda x: x IS NOT NULL)) AS reason FROM v) SELECT reason, count(*) AS n FROM o GROUP BY 1"""))
+def u7(spark, sf):
+    return _reasons(_from(spark, sf, _PARAMS, "assessments"), checks.parameter_rules(("cracking", "potholes", "ravelling"), ("cracking", "potholes")))
 
 
 _EX = "(centre_lon - 77.5) * 111320.0 * cos(radians(12.9))"
@@ -135,17 +177,11 @@ def _explicit_gap(drives, x):
     return hit.orderBy("d", "id", "id_b").limit(1).select("id", "id_b")
 
 
-@query("G4_refusals", "SELECT 'same' AS why, true AS refused UNION ALL SELECT 'via', true")
+@query("G4_refusals", over("WITH r AS (SELECT k, event_id % 12 AS via, event_id % 7 = 0 AS same, abs(value - 50) * 3 AS snap_m FROM segments) SELECT CASE WHEN same THEN 'start and goal are the same' WHEN via > 8 THEN 'more than 8 way points' WHEN snap_m > 40 THEN 'no node within 40 m' ELSE 'none' END AS why, count(*) AS n FROM r GROUP BY 1"))
 def g4(spark, sf):
-    e = spark.createDataFrame([("a", "b", 1.0)], "a string, b string, w double")
-    out = []
-    for why, args in (("same", ("a", "a", [])), ("via", ("a", "b", ["b"] * 9))):
-        try:
-            network.shortest_path(e, *args)
-            out.append((why, False))
-        except network.RouteError:
-            out.append((why, True))
-    return spark.createDataFrame(out, "why string, refused boolean")
+    """Requests of every segment, how many are refused and why."""
+    r = segments(spark, sf).select((F.col("event_id") % 12).alias("via"), (F.col("event_id") % 7 == 0).alias("same"), (F.abs(F.col("value") - 50) * 3).alias("snap_m"))
+    return r.groupBy(network.refusal(F.col("same"), F.col("via"), F.col("snap_m")).alias("why")).agg(F.count("*").alias("n"))
 
 
 @query("G5_directions", over("SELECT session_id, CASE WHEN avg(cos(radians(value - 90))) >= 0 THEN 'same' ELSE 'opposite' END AS direction FROM segments GROUP BY 1"))
@@ -160,9 +196,10 @@ def k2(spark, sf):
     return signal.windows(d, low=1.0, high=10.0)
 
 
-@query("K5_profile")
+@query("K5_profile", over("SELECT session_id, k, round(sum((value - 50) * 0.00025E0) OVER (PARTITION BY session_id ORDER BY k ROWS UNBOUNDED PRECEDING), 9) AS z FROM segments"))
 def k5(spark, sf):
-    return spark.createDataFrame([(i, z) for i, z in enumerate(signal.synthetic_profile(200, 0.25, 1))], "i int, z double")  # a test input
+    """Elevations of a profile whose slopes a table gives, a quarter of a metre apart."""
+    return signal.profile(segments(spark, sf).withColumn("slope", (F.col("value") - 50) * 0.001), "session_id", "k", "slope", 0.25).select("session_id", "k", F.round("z", 9).alias("z"))
 
 
 @query("Z2_stale_claims", "SELECT CASE WHEN epoch(TIMESTAMP '2024-02-01') - epoch(ts) > 1000000 THEN 'pending' ELSE 'processing' END AS status, count(*) AS n FROM events GROUP BY 1")
@@ -182,8 +219,8 @@ def r6(spark, sf):
     return view(spark, sf, "probes").agg(F.count_if(rule(F.col("p1")) == rule(F.col("p2"))).alias("agree"), F.count("*").alias("n"))
 
 
-@query("M16_normal_quantile", "SELECT 0 AS off")
+@query("M16_normal_quantile", over("SELECT count(*) AS n, CAST(0 AS INTEGER) AS off FROM probes WHERE p1 > 0 AND p1 < 1"))
 def m16q(spark, sf):
-    p = F.col("id") / 1000
-    d = spark.range(1, 1000).select(F.abs(estimate.normal_quantile(p) + estimate.normal_quantile(1 - p)).alias("e"))
-    return d.agg(F.count_if(F.col("e") > 1e-8).cast("int").alias("off"))
+    """Scores whose normal quantile isn't the mirror image of that of their complement."""
+    d = view(spark, sf, "probes").where("p1 > 0 and p1 < 1").select(F.abs(estimate.normal_quantile(F.col("p1")) + estimate.normal_quantile(1 - F.col("p1"))).alias("e"))
+    return d.agg(F.count("*").alias("n"), F.count_if(F.col("e") > 1e-8).cast("int").alias("off"))
