@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import overlap_join
+
 
 def claim(queue: DataFrame, n: int) -> DataFrame:
     """The n oldest pending rows, marked processing (T6, Z1). A top-n: each task keeps n rows."""
@@ -42,30 +44,24 @@ def folds(df: DataFrame, block: str, k: int, salt: str) -> DataFrame:
     return df.select(block).distinct().select(block, ((F.row_number().over(w) - 1) % k).cast("long").alias("fold"))
 
 
-def greedy_cover(df: DataFrame, step: float = 1.0) -> DataFrame:
-    """(section, session_id, order, metres): passes of each section, most classified metres first, then the latest
-    day, then the id; a later pass adds only what is uncovered (T8). What a pass adds depends on those chosen before,
-    so a section is one task; its rows are bounded by the drives along 100 m."""
-    schema = "section long, session_id string, `order` int, metres double"
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        per = pdf.assign(m=(pdf.b - pdf.a).where(pdf.ok, 0.0)).groupby("session_id").agg(m=("m", "sum"), day=("day", "max"), n=("a", "size")).reset_index()
-        per["neg"] = [[-ord(c) for c in d] for d in per.day]
-        order = sorted(per.itertuples(index=False), key=lambda r: (-r.m, r.neg, r.session_id))
-        taken, out = [], []
-        for r in order:
-            fresh = 0.0
-            for s in pdf[(pdf.session_id == r.session_id) & pdf.ok].sort_values("a").itertuples(index=False):
-                left = [(s.a, s.b)]
-                for c, d in taken:
-                    left = [q for a, b in left for q in ((a, min(b, c)), (max(a, d), b)) if q[1] > q[0]]
-                fresh += sum(b - a for a, b in left)
-                taken += left
-            if fresh > 0:
-                out.append((int(pdf.section.iloc[0]), r.session_id, len(out), fresh))
-        return pd.DataFrame(out, columns=["section", "session_id", "order", "metres"])
-
-    return df.groupBy("section").applyInPandas(kernel, schema)
+def greedy_cover(df: DataFrame, keys: tuple[str, ...] = ("section",), size: float = 10.0) -> DataFrame:
+    """(keys, session_id, order, metres): passes of each section, most classified metres first, then the latest day,
+    then the id; a later pass adds only what is uncovered (T8).
+
+    The order doesn't depend on what is covered, so every stretch between two neighbouring ends goes to the first pass
+    over it: an interval join, a minimum and a sum. Passes that add nothing are left out.
+    """
+    k = list(keys)
+    ok = df.where("ok and b > a")
+    per = df.groupBy(*k, "session_id").agg(F.sum(F.when(F.col("ok"), F.col("b") - F.col("a")).otherwise(0.0)).alias("m"), F.max("day").alias("day"))
+    per = per.withColumn("rank", F.row_number().over(Window.partitionBy(*k).orderBy(F.desc("m"), F.desc("day"), "session_id"))).select(*k, "session_id", "rank")
+    ends = ok.select(*k, F.explode(F.array("a", "b")).alias("a0")).distinct()
+    cells = ends.withColumn("a1", F.lead("a0").over(Window.partitionBy(*k).orderBy("a0"))).where("a1 is not null")
+    passes = ok.join(per, [*k, "session_id"]).select(*k, "rank", F.col("a").alias("b0"), F.col("b").alias("b1"))
+    first = overlap_join(cells, passes, k, size).groupBy(*k, "a0", "a1").agg(F.min("rank").alias("rank"))
+    fresh = first.groupBy(*k, "rank").agg(F.sum(F.col("a1") - F.col("a0")).alias("metres"))
+    order = F.row_number().over(Window.partitionBy(*k).orderBy("rank")) - 1
+    return fresh.join(per, [*k, "rank"]).select(*k, "session_id", order.alias("order"), "metres")
 
 
 def suppress(boxes: DataFrame, key: str, limit: float = 0.3, most: int = 4) -> DataFrame:

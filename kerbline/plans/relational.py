@@ -175,12 +175,17 @@ def t7(spark, sf):
     return quota(d, "label_text", "cell", 4, F.desc("confidence"), F.col("segment_id")).select("label_text", "segment_id")
 
 
-@query("T8_greedy_passes")
+@query("T8_greedy_passes", over("""WITH d AS (SELECT user_id % 10 AS road, CAST(floor(s0_m / 100) AS BIGINT) AS section, session_id, s0_m AS a, s1_m AS b, vlm_class IN ('distress', 'normal') AS ok, strftime(utc, '%Y-%m-%d') AS day FROM segments),
+  p AS (SELECT road, section, session_id, row_number() OVER (PARTITION BY road, section ORDER BY coalesce(sum(b - a) FILTER (ok), 0) DESC, max(day) DESC, session_id) AS rank FROM d GROUP BY 1, 2, 3),
+  e AS (SELECT DISTINCT road, section, unnest([a, b]) AS a FROM d WHERE ok), c AS (SELECT *, lead(a) OVER (PARTITION BY road, section ORDER BY a) AS b FROM e),
+  f AS (SELECT c.road, c.section, c.a, c.b, min(rank) AS rank FROM c JOIN d ON d.road = c.road AND d.section = c.section AND d.ok AND d.a < c.b AND c.a < d.b JOIN p ON p.road = d.road AND p.section = d.section AND p.session_id = d.session_id WHERE c.b IS NOT NULL GROUP BY 1, 2, 3, 4),
+  m AS (SELECT road, section, rank, sum(b - a) AS metres FROM f GROUP BY 1, 2, 3)
+  SELECT road, section, session_id, CAST(row_number() OVER (PARTITION BY road, section ORDER BY rank) - 1 AS INTEGER) AS "order", metres FROM m JOIN p USING (road, section, rank)"""))
 def t8(spark, sf):
     from ..operators.work import greedy_cover
 
-    d = segments(spark, sf).select((F.floor(F.col("s0_m") / 100)).alias("section"), "session_id", F.col("s0_m").alias("a"), F.col("s1_m").alias("b"), F.col("vlm_class").isin("distress", "normal").alias("ok"), F.date_format("utc", "yyyy-MM-dd").alias("day"), "segment_id")
-    return greedy_cover(d)
+    d = segments(spark, sf).select((F.col("user_id") % 10).alias("road"), F.floor(F.col("s0_m") / 100).alias("section"), "session_id", F.col("s0_m").alias("a"), F.col("s1_m").alias("b"), F.col("vlm_class").isin("distress", "normal").alias("ok"), F.date_format("utc", "yyyy-MM-dd").alias("day"))
+    return greedy_cover(d, ("road", "section"))
 
 
 @query("T9_non_maximum")

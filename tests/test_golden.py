@@ -314,3 +314,32 @@ def test_paired_bootstrap_against_plain_resampling(spark, shift):
     p = min(1.0, 2 * sum(v <= 0 if point >= 0 else v >= 0 for v in deltas) / 2000)
     assert got.delta == pytest.approx(point) and (got.lo, got.hi) == pytest.approx((deltas[49], deltas[1949]), abs=0.02)
     assert got.p == pytest.approx(p, abs=0.06) and got.draws == 2000
+
+
+def test_greedy_cover_against_a_plain_walk(spark):
+    """Random passes of odd lengths that overlap themselves and others, walked pass by pass."""
+    import random
+
+    r = random.Random(6)
+    rows = []
+    for sec in range(6):
+        for p in range(r.randint(1, 9)):
+            for _ in range(r.randint(1, 6)):
+                a = 100 * sec + r.randrange(0, 90)
+                rows.append((sec, f"p{p}", float(a), float(a + r.choice((0, 3, 5, 20))), r.random() < 0.8, f"2024-01-0{r.randint(1, 3)}"))
+    got = {(x.section, x.session_id): (x.order, x.metres) for x in work.greedy_cover(spark.createDataFrame(rows, "section long, session_id string, a double, b double, ok boolean, day string").repartition(3)).collect()}
+    want = {}
+    for sec in range(6):
+        mine = [x for x in rows if x[0] == sec]
+        total = lambda p: sum(b - a for _, q, a, b, ok, _ in mine if q == p and ok)
+        day = lambda p: max(x[5] for x in mine if x[1] == p)
+        order = sorted({x[1] for x in mine})
+        order = sorted(sorted(order, key=day, reverse=True), key=total, reverse=True)
+        taken, n = set(), 0
+        for p in order:
+            new = {m for _, q, a, b, ok, _ in mine if q == p and ok for m in range(int(a), int(b))} - taken
+            if new:
+                want[sec, p] = (n, float(len(new)))
+                n += 1
+            taken |= new
+    assert got == want
