@@ -23,6 +23,8 @@ CHUNK_S, HALO_S = 60, 30
 # Samples a window needs, slowest speed for an estimate, speed that counts as a stop, longest anchor
 # interval, least share of samples.
 LEAST, SLOW, STOP, SPARSE_S, COVERED = 20, 2.5, 0.5, 5.0, 0.95
+# Texts of a segment's error.
+NO_PLACE, NOT_COVERED, OUTSIDE = "segment has no s0_m/s1_m", "segment not covered (GNSS gap)", "segment outside the IMU record"
 #: Mean radius of the earth for steps without a speed.
 RADIUS_M = 6_371_008.8
 SAMPLE = "i long, raw double, av double, body double, wheel double, rot double, edge boolean"
@@ -180,8 +182,8 @@ def segment_windows(sensor: DataFrame, gnss: DataFrame, segments: DataFrame, lea
     )
     d = segments.select("session", "segment_id", "s0_m", "s1_m", "covered").join(ends, "session", "left").join(sums, ["session", "segment_id"], "left")
     outside = F.col("window").isNull() | (F.col("s_first") >= F.col("s0_m")) | (F.col("s_last") < F.col("s1_m"))
-    error = F.when(F.col("s0_m").isNull() | F.col("s1_m").isNull() | (F.col("s1_m") <= F.col("s0_m")), "segment has no s0_m/s1_m")
-    error = error.when(~F.coalesce("covered", F.lit(True)), "segment not covered (GNSS gap)").when(outside, "segment outside the IMU record")
+    error = F.when(F.col("s0_m").isNull() | F.col("s1_m").isNull() | (F.col("s1_m") <= F.col("s0_m")), NO_PLACE)
+    error = error.when(~F.coalesce("covered", F.lit(True)), NOT_COVERED).when(outside, OUTSIDE)
     d = d.withColumn("error", error).withColumn("duration_s", F.col("window") / rate).withColumn("speed_mps", (F.col("s1_m") - F.col("s0_m")) / F.col("duration_s")).withColumn("coverage", F.col("n_samples") / F.col("window"))
     enough = F.col("n_samples") >= LEAST
     flags = [("stop_in_window", F.col("speed_min_mps") < STOP), ("low_speed", F.col("speed_mps") < SLOW), ("filter_edge", enough & (F.col("edge_frac") > 0)), ("imu_gap", F.col("coverage") < COVERED), ("sparse_anchors", F.col("anchor_s") > SPARSE_S), ("too_few_samples", F.col("rms_av").isNull())]

@@ -98,7 +98,7 @@ def z6_desk(spark, sf):
         "queue": "element_at(array('needs_review', 'auto', 'random'), cast(r % 3 + 1 as int))",
         "n": "case when of = 'b' then cast(event_id % 7 + 1 as int) end", "skip": "case when of = 'e' then r % 3 = 2 end",
         "status": "case when of = 'a' then if(event_id % 2 = 0, 'expert_review', 'classified') end",
-        "place": f"lpad({item}, 6, '0')", "lottery": f"md5(concat('expert-review-random-v1:', {item}))",
+        "place": f"lpad({item}, 6, '0')", "lottery": f"md5(concat('{D.SALT}', {item}))",
         "op_id": "case when of = 'd' then concat('op', r) end", "severity": "case when of = 'd' then 'High' end", "types": "case when of = 'd' then array('Potholes') end",
     }
     return D.replayed(_desk_events(spark, sf, body), D.Desk, "z6desk")

@@ -20,7 +20,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from ..session import scratch
 from . import queues
 
-# Seconds of a lease, items of a hand-out, live leases of a session, items of a request, lists by source.
+# Seconds of a lease, items of a hand-out, live leases of a session, items of a request, lists by source,
+# what the random list's order is the md5 of, before the item.
+SALT = "expert-review-random-v1:"
 LEASE_S, BATCH, LIVE, ASKED = 600, 30, 60, 200
 LISTS = ("needs_review", "auto", "random")
 UNSKIPPED = (*LISTS, "citizen_pending")
