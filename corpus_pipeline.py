@@ -32,7 +32,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near duplicates."""
+    """One document, that with the smallest id, of each group of near duplicates: SimHash over five-word shingles, blocks
+    and exact Hamming distance, then exact Jaccard; min-hash bands add the alike pairs that lie farther apart."""
     return simhash.keep_one(docs, _scratch(spark, "near"), least=0.8, width=5)
 
 

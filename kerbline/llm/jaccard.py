@@ -1,4 +1,4 @@
-"""Near duplicates by Jaccard similarity of word shingles: min-hash bands for candidates, exact sets to decide."""
+"""Near duplicates by Jaccard similarity of word shingles: SimHash blocks, then min-hash bands for candidates, exact sets to decide."""
 
 from __future__ import annotations
 
@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, counted_join, spread_join
 from .graph import components
+from .simhash import LEAST, WIDTH, hashes, links, majority
 
-#: Words of a shingle, and the similarity from which two texts are near duplicates.
-WIDTH, LEAST = 5, 0.8
+#: Bits in which fingerprints may differ to be candidates by SimHash.
+DISTANCE = 4
 #: (bands, rows of a band), coarse to fine. A pair of similarity 0.8 shares no band of a level with probability
 #: (1 - 0.8 ** rows) ** bands: 6e-7, 1e-8 and 5e-10. Finer bands serve the members of crowded buckets.
 LEVELS = ((20, 3), (60, 6), (300, 12))
@@ -27,11 +28,8 @@ TILE = 1024
 def shingles(text: bytes, width: int = WIDTH, seed: int = 42):
     """Sorted distinct 64-bit hashes of a text's word shingles; a text of fewer words is one shingle, none without words."""
     import numpy as np
-    import xxhash
 
-    words = text.lower().split()
-    one, n = xxhash.xxh64_intdigest, max(1, len(words) - width + 1) if words else 0
-    return np.unique(np.array([one(b" ".join(words[i : i + width]), seed) for i in range(n)], dtype=np.uint64))
+    return np.unique(hashes(text, width, seed))
 
 
 def set_name(s) -> int:
@@ -72,16 +70,20 @@ def band_keys(s, level: int = 0) -> list[int]:
 
 
 def _signatures(batches, width: int):
+    import numpy as np
     import pyarrow as pa
 
     for b in batches:
-        names, sizes, keys = [], [], []
+        fps, names, sizes, keys = [], [], [], []
         for t in b.column(1).to_pylist():
-            s = shingles(t or b"", width)
+            h = hashes(t or b"", width)
+            s = np.unique(h)
+            fps.append(majority(h))
             names.append(set_name(s))
             sizes.append(len(s))
             keys.append(band_keys(s) if len(s) else [])
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "name", "n", "keys"])
+        fps = pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([b.column(0), fps, pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "fp", "name", "n", "keys"])
 
 
 def sketch(s) -> list[int]:
@@ -211,6 +213,17 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float, scratch: Scratch,
     return scratch.save(both.mapInArrow(partial(_alike, least=least), "u long, v long"), name)
 
 
+def simhash_groups(tags: DataFrame, scratch: Scratch) -> DataFrame:
+    """tags(name, fp, n), written -> (c, key, name, n): sets by the component of their fingerprint under links of DISTANCE bits
+    or fewer, which blocks find. key names the component, c is -1."""
+    fps = scratch.save(tags.groupBy("fp").agg(F.min("name").alias("rep"), F.count("*").alias("n")), "fingerprints")
+    total = fps.agg(F.count("*"), F.sum("n")).first()
+    comp = components(links(fps.select("fp", "rep"), total[0], DISTANCE, scratch), scratch, "hamming")
+    named = fps.join(comp, fps.rep == comp.node, "left").select("fp", F.coalesce("component", "rep").alias("key"))
+    keyed = spread_join(tags, scratch.save(named, "groups"), ["fp"], fps, total[1] or 0)
+    return keyed.select(F.lit(-1).alias("c"), "key", "name", "n").distinct()
+
+
 def _buckets(keyed: DataFrame, scratch: Scratch, level: int) -> DataFrame:
     """keyed(c, key, name, n) of buckets with several members, with the bucket's size m and its smallest member low."""
     keyed = scratch.save(keyed, f"keyed-{level}")
@@ -225,26 +238,30 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
 
     component_id is the smallest id reachable. Null, empty and blank texts have the empty set and link with each
     other. A row with a null id gets the component of its text and is never a representative; rows that share an id
-    count as one document. Equal sets are collapsed first. Within a band's bucket each set is held against the
-    bucket's smallest name; only pairs that this leaves in different components are held against each other, so a
-    large group of copies costs one comparison a member, and only those whose sketches are close become rows. Where a bucket of more than CROWD members is left with
-    several components, its members get finer bands, in which texts that are alike still meet and others part; only
+    count as one document. Equal sets are collapsed first. The first buckets are those of SimHash: sets whose
+    fingerprints (of the same shingles, repeats included) reach each other by steps of DISTANCE bits; then come those of
+    bands, for pairs that are alike but farther apart. Within a bucket each set is held against its smallest name; only
+    pairs that this leaves in different components are held against each other, so a large group of copies costs one
+    comparison a member, and only those whose sketches are close become rows. Where a band's bucket of more than CROWD
+    members is left with several components, its members get finer bands, in which texts that are alike still meet and others part; only
     at the finest are all that remain held against each other, in tiles. Bands and sketches miss a pair of just the similarity
     asked for with the probabilities at LEVELS and MISS; there is no cap on candidates.
     """
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("t"))
-    rows = scratch.save(d.mapInArrow(partial(_signatures, width=width), "id long, name long, n long, keys array<long>"), "signatures")
+    rows = scratch.save(d.mapInArrow(partial(_signatures, width=width), "id long, fp long, name long, n long, keys array<long>"), "signatures")
     distinct = scratch.save(rows.groupBy("name").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("keys").alias("keys"), F.count("*").alias("copies")).where("rep is not null"), "distinct")
     fits = lambda p, q: (F.least(p, q) >= F.floor(F.greatest(p, q) * least))
-    buckets = _buckets(distinct.select("name", "n", F.posexplode("keys").alias("c", "key")), scratch, 0)
-    members = scratch.save(buckets.select("name").distinct(), "members")
+    tags = scratch.save(rows.where("id is not null and n > 0").select("name", "fp", "n").distinct(), "tags")
+    buckets = _buckets(simhash_groups(tags, scratch), scratch, -1)
+    banded = _buckets(distinct.select("name", "n", F.posexplode("keys").alias("c", "key")), scratch, 0)
+    members = scratch.save(buckets.select("name").union(banded.select("name")).distinct(), "members")
     ids = distinct.join(members, "name", "left_semi").select(F.col("rep").alias("id")).distinct()
     sets = d.join(ids, "id", "left_semi").select("t").mapInArrow(partial(_sets, width=width), "name long, items binary, bits array<long>")
     sets = scratch.save(sets.join(members, "name", "left_semi").groupBy("name").agg(F.first("items").alias("items"), F.first("bits").alias("bits")), "sets")
     found, held = None, None
-    for level in range(len(LEVELS)):
+    for level in range(-1, len(LEVELS)):
         star = buckets.where((F.col("name") != F.col("low.name")) & fits(F.col("n"), F.col("low.n"))).select(F.col("low.name").alias("a"), F.col("name").alias("b"))
-        star = scratch.save(star.distinct(), f"star-{level}")
+        star = scratch.save(star.distinct() if held is None else star.distinct().join(held, ["a", "b"], "left_anti"), f"star-{level}")
         new = verified(star, sets, least, scratch, f"star-links-{level}")
         found, held = (new, star) if found is None else (found.union(new), held.union(star))
         comp = components(found, scratch, f"near-{level}")
@@ -257,6 +274,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
         few = few.join(sets.select("name", "bits"), "name").select("c", "key", "name", "n", "part", "m", "bits")
         rest = scratch.save(close_pairs(few, least).join(held, ["a", "b"], "left_anti"), f"rest-{level}")
         found, held = found.union(verified(rest, sets, least, scratch, f"rest-links-{level}")), held.union(rest)
+        if level < 0:  # every set goes on to the bands, those of crowded groups too
+            buckets = banded
+            continue
         crowd = mixed.where(F.col("m") > CROWD)
         if last or crowd.isEmpty():
             break

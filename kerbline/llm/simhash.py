@@ -8,30 +8,40 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard
 from .common import Scratch, spread_join
 from .graph import components
-from .jaccard import LEAST, WIDTH
 
+#: Words of a shingle, and the Jaccard similarity from which two texts are near duplicates, where that decides.
+WIDTH, LEAST = 5, 0.8
 #: Members of one block bucket that are compared at once; larger buckets are split by more blocks.
 BUCKET = 2048
 #: Blocks of the finest split.
 FINEST = 16
 
 
-def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
-    """64-bit SimHash of one text's word shingles, unsigned; 0 without words."""
+def hashes(text: bytes, width: int = 4, seed: int = 42):
+    """Unsigned 64-bit hashes of one text's word shingles, repeats included; a text of fewer words is one shingle."""
     import numpy as np
     import xxhash
 
     words = text.lower().split()  # bytes: only A-Z change, only \x20 and \x09-\x0d split
-    if not words:
-        return 0
-    one, ones, n = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64), max(1, len(words) - width + 1)
-    for at in range(0, n, 1 << 16):
-        h = np.array([one(b" ".join(words[i : i + width]), seed) for i in range(at, min(n, at + (1 << 16)))], dtype="<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    one, n = xxhash.xxh64_intdigest, max(1, len(words) - width + 1) if words else 0
+    return np.fromiter((one(b" ".join(words[i : i + width]), seed) for i in range(n)), dtype="<u8", count=n)
+
+
+def majority(h) -> int:
+    """The bits that are set in over half of the hashes, unsigned; 0 without hashes."""
+    import numpy as np
+
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
+    """64-bit SimHash of one text's word shingles, unsigned; 0 without words."""
+    return majority(hashes(text, width, seed))
 
 
 def _fingerprints(batches, width: int, seed: int):
@@ -201,10 +211,13 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
 def keep_one(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", least: float | None = LEAST, width: int = WIDTH) -> DataFrame:
     """Rows of docs without those whose component has a smaller id. Rows with a null id stay.
 
-    Texts whose sets of `width` words are alike by `least` or more (Jaccard) count as near duplicates. Their
-    fingerprints may differ in far more bits than blocks of useful size allow, so jaccard.py finds the candidates; with
-    least=None fingerprints within four bits count, and blocks find them. Columns of any names pass through.
+    Texts whose sets of `width` words are alike by `least` or more (Jaccard) count as near duplicates. Blocks find
+    those whose fingerprints are within four bits, and exact sets decide; fingerprints of others differ in more bits
+    than blocks of useful size allow, so jaccard.py adds candidates by min-hash bands. With least=None fingerprints
+    within four bits count as they are. Columns of any names pass through.
     """
+    from . import jaccard  # which builds on this module
+
     near = near_duplicates(docs, scratch, id_col, text_col, width=width) if least is None else jaccard.near_duplicates(docs, scratch, id_col, text_col, width, least)
     gone = near.where("id > component_id").select(F.col("id").alias("gone")).distinct()
     return without(docs, scratch.save(gone, "gone"), id_col)

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from kerbline.llm import jaccard
+from kerbline.llm import jaccard, simhash
 
 
 def brute(texts, width=5, least=0.8):
@@ -45,6 +45,22 @@ def test_near_dedup_stage_against_all_pairs(spark, data):
     assert got == {i for i, c in enumerate(want) if i == c}
 
 
+def test_near_dedup_stage_links_by_simhash(spark, data, monkeypatch):
+    """Without any band the stage still finds texts whose fingerprints are close, if they are alike, and no others."""
+    r = random.Random(5)
+    base = [[f"w{r.randrange(400)}" for _ in range(900)] for _ in range(8)]
+    texts = [" ".join(w) for w in base] + [" ".join(w[:k] + ["new"] + w[k:]) for k, w in enumerate(base, 300)]
+    texts += ["a b c d e", "a b c d e " * 9 + "f"]  # one shingle against several
+    fps = [simhash.fingerprint(t.encode(), 5) for t in texts]
+    close = [k for k in range(8) if (fps[k] ^ fps[k + 8]).bit_count() <= 4]
+    assert len(close) >= 4
+    real = jaccard._buckets
+    monkeypatch.setattr(jaccard, "_buckets", lambda keyed, scratch, level: real(keyed if level < 0 else keyed.where("false"), scratch, level))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id for x in corpus_pipeline.near_dedup(spark, d, data).collect()}
+    assert got == set(range(len(texts))) - {k + 8 for k in close}
+
+
 def test_edges(spark, data):
     from kerbline.llm.common import Scratch
 
