@@ -242,6 +242,18 @@ def test_chunk_tables_equal_the_libraries():
     assert got == pieces.processor().encode(texts)
 
 
+def test_full_word_table_keeps_what_it_has():
+    """Words met when there is no room are segmented each time, right, and those met before aren't forgotten."""
+    from tokenizers import Tokenizer
+
+    tok, w = Tokenizer.from_file(tokens.tokenizer_path("byte_bpe_50k.json")), tokens._Words("byte_bpe_50k.json", lower=False, blank=" ", most=3)
+    chunks = ["road", "Straße,", "kerb", "lane", "×", "a×b!", "drain??", "...", "\0edge.", "ªb", "x1", "road"]
+    for c in chunks * 2:
+        want = tok.encode(c[1:] if c[0] == "\0" else " " + c, add_special_tokens=False).ids
+        assert np.frombuffer(w(c), "<u4").tolist() == want
+    assert list(w.known) == [" road", " Straße", ","]
+
+
 def test_sentencepiece_round_trip(spark):
     sp = pieces.processor()
     got = {r.doc_id: r.text for r in pieces.decode(pieces.encode(docs(spark, ODD))).collect()}
