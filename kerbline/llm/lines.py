@@ -80,8 +80,9 @@ def _chain(w: Column, n: Column, seed: str) -> Column:
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """(doc_id, line_no, t, k1, k2): the deletion neighbourhood of bound one of lines(doc_id, line_no, n, lo, hi, p, r),
-    p and r the hashes of their first and last words.
+    """(doc_id, line_no, t, k1, k2): the deletion neighbourhood of bound one of lines(doc_id, line_no, n, lo, hi, p, r,
+    up, down, even), p and r the hashes of their first and last words. A line without possible partners of one word
+    more (up), one less (down) or as many (even) gets no keys by which only those could meet it.
 
     The line without word i is named by i and the hashes of what stands before and after. It equals a shorter line's
     key at split i if that line is what is left (an insertion), and, under another seed, the key of a line that
@@ -90,10 +91,12 @@ def variants(lines: DataFrame) -> DataFrame:
     """
     n = F.col("n")
     place = lambda i: F.struct(i.alias("i"), F.get("p", i).alias("x"), F.get("r", n - 1 - i).alias("y"), F.get("r", n - i).alias("z"))
-    each = lines.select("doc_id", "line_no", "n", F.explode(F.transform(F.sequence("lo", "hi"), place)).alias("at")).select("doc_id", "line_no", "n", "at.*")
+    kinds = ["up", "down", "even"]
+    each = lines.select("doc_id", "line_no", "n", *kinds, F.explode(F.transform(F.sequence("lo", "hi"), place)).alias("at")).select("doc_id", "line_no", "n", *kinds, "at.*")
     one = lambda t, seed, size, rest: F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(seed), "i", size, "x.a", f"{rest}.a").alias("k1"), F.col("x.b").bitwiseXOR(F.col(f"{rest}.b")).alias("k2"))
-    keys = F.array(one(WHOLE, "d", n, "z"), one(SHORT, "d", n - 1, "y"), one(OPEN, "s", n, "y"))
-    return each.select("doc_id", "line_no", F.explode(F.when(F.col("y").isNull(), F.slice(keys, 1, 1)).otherwise(keys)).alias("v")).select("doc_id", "line_no", "v.*")
+    inner = F.col("y").isNotNull()
+    keys = F.array(F.when(F.col("up"), one(WHOLE, "d", n, "z")), F.when(inner & F.col("down"), one(SHORT, "d", n - 1, "y")), F.when(inner & F.col("even"), one(OPEN, "s", n, "y")))
+    return each.select("doc_id", "line_no", F.explode(F.array_compact(keys)).alias("v")).select("doc_id", "line_no", "v.*")
 
 
 def _common(a: str, b: str) -> str:
@@ -112,16 +115,17 @@ def within_one(a: str = "a", b: str = "b") -> Column:
 def near_bounds(distinct: DataFrame, docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, near_words: int) -> DataFrame:
     """(h1, h2, bound): for lines with another within one word, the first place of the earliest such line.
 
-    Only lines that share a half with another one get their deletion neighbourhood, which loses none. A bucket of
-    equal variants links each member to the bucket's earliest, never all pairs, and a large bucket is dealt over tasks.
+    Only lines that share a half with another one get their deletion neighbourhood, and of that only the kinds that
+    lines with such a half have the number of words for, which loses none. A bucket of equal variants links each member to the bucket's earliest, never all pairs, and a large bucket is dealt over tasks.
     """
-    keyed = scratch.save(distinct.select("first", F.explode("halves").alias("key")), "halves")
-    shared = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    keyed = scratch.save(distinct.select("first", "words", F.explode("halves").alias("key")), "halves")
+    shared = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("words").alias("low"), F.max("words").alias("high")).where("n > 1"), "shared")
     side = F.col("key").bitwiseAND(F.lit(1)) == 0
     total = shared.agg(F.sum("n")).first()[0] or 0
-    likely = spread_join(keyed, shared.select("key"), ["key"], shared, total).groupBy("first").agg(F.bool_or(side).alias("head"), F.bool_or(~side).alias("tail"))
-    flags = "struct<head:boolean,tail:boolean>"
-    at = likely.groupBy("first.doc_id").agg(dense(F.collect_list(F.struct("first.line_no", F.struct("head", "tail").alias("v"))), flags).alias("at"))
+    kinds = {"head": side, "tail": ~side, "up": F.expr("high > words"), "down": F.expr("low < words"), "even": F.expr("low = high or n > 2")}
+    likely = spread_join(keyed, shared, ["key"], shared.select("key", "n"), total).groupBy("first").agg(*[F.bool_or(c).alias(k) for k, c in kinds.items()])
+    flags = f"struct<{','.join(f'{k}:boolean' for k in kinds)}>"
+    at = likely.groupBy("first.doc_id").agg(dense(F.collect_list(F.struct("first.line_no", F.struct(*kinds).alias("v"))), flags).alias("at"))
     text = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("t")).join(at, "doc_id")
     lines = text.select("doc_id", "at", F.posexplode(F.split("t", "\n")).alias("line_no", "line"))
     lines = lines.select("doc_id", "line_no", F.get("at", F.col("line_no")).alias("at"), "line").where("at is not null")
@@ -130,7 +134,7 @@ def near_bounds(distinct: DataFrame, docs: DataFrame, scratch: Scratch, id_col:
     scratch.drop("halves")
     n = F.size("w")
     k = F.floor((n - 1) / 2).cast("int")
-    v = lines.select("doc_id", "line_no", n.alias("n"), F.when(~F.col("at.tail"), k).otherwise(0).alias("lo"), F.when(~F.col("at.head"), n - k).otherwise(n).alias("hi"), _chain(F.col("w"), n, "p").alias("p"), _chain(F.reverse("w"), n, "r").alias("r"))
+    v = lines.select("doc_id", "line_no", n.alias("n"), "at.up", "at.down", "at.even", F.when(~F.col("at.tail"), k).otherwise(0).alias("lo"), F.when(~F.col("at.head"), n - k).otherwise(n).alias("hi"), _chain(F.col("w"), n, "p").alias("p"), _chain(F.reverse("w"), n, "r").alias("r"))
     v = scratch.save(variants(v), "variants")
     me, whole = F.struct("doc_id", "line_no"), F.col("t") == WHOLE
     low = v.groupBy("k1", "k2").agg(F.min(F.when(whole, me)).alias("whole"), F.min(F.when(~whole, me)).alias("short"), F.count("*").alias("n")).where("n > 1")
@@ -163,8 +167,8 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     """
     occ = occurrences(docs, id_col, text_col)
     halves = F.when(F.col("n") >= near_words, _halves(F.col("s"), F.col("n")))
-    occ = scratch.save(occ.select("doc_id", "line_no", *_hashes(F.col("s")), halves.alias("halves")), "occurrences")
-    distinct = scratch.save(occ.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), F.min("halves").alias("halves")), "distinct")
+    occ = scratch.save(occ.select("doc_id", "line_no", *_hashes(F.col("s")), F.col("n").alias("words"), halves.alias("halves")), "occurrences")
+    distinct = scratch.save(occ.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), F.min("words").alias("words"), F.min("halves").alias("halves")), "distinct")
     near = near_bounds(distinct, docs, scratch, id_col, text_col, near_words)
     bounds = distinct.where("n > 1").select("h1", "h2", F.col("first").alias("bound"), "n").union(near.select("*", F.lit(1).cast("long"))).groupBy("h1", "h2").agg(F.min("bound").alias("bound"), F.max("n").alias("n"))
     bounds = scratch.save(bounds, "bounds")

@@ -530,6 +530,22 @@ def test_line_dedup_against_all_pairs(spark, scratch):
     assert sorted(x.text for x in lines.dedup_lines(other, scratch).collect()) == ["x y", "x y", "z"]
 
 
+def test_lines_get_only_the_kinds_of_keys_that_can_meet(spark, scratch, monkeypatch):
+    """Lines that share a half with lines of as many words alone get no keys for insertions, and the other way round."""
+    kinds, real = [], lines.variants
+
+    def counted(of):
+        got = real(of)
+        kinds.append({r.t for r in got.select("t").distinct().collect()})
+        return got
+
+    monkeypatch.setattr(lines, "variants", counted)
+    for texts in (["a b c d e f g h", "a b c d e f g x", "a b c d q r s t"], ["a b c d e f g h", "a b c d e f g h i"], ["a b c d e f g h", "a b c d x f g h", "a b c d e f g h i"]):
+        got = {x.doc_id: x.text for x in lines.dedup_lines(docs(spark, texts), scratch).collect()}
+        assert [got[i] for i in range(len(texts))] == brute_lines(texts, 8)
+    assert kinds == [{lines.OPEN}, {lines.WHOLE, lines.SHORT}, {lines.WHOLE, lines.SHORT, lines.OPEN}]
+
+
 def test_short_lines_and_lines_without_blanks(spark, scratch):
     texts = ["menu\n\n道路の状態を調べる調査の記録です\nkeep", "keep\n \nmenu", "道路の状態を調べる調査の記録です\n\nnew", "道路の状態を調べる調査の記録"]
     got = {x.doc_id: x.text for x in lines.dedup_lines(docs(spark, texts), scratch).collect()}
