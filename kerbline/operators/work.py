@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,23 +64,29 @@ def greedy_cover(df: DataFrame, keys: tuple[str, ...] = ("section",), size: floa
 
 
 def suppress(boxes: DataFrame, key: str, limit: float = 0.3, most: int = 4) -> DataFrame:
-    """Boxes kept largest first while their overlap with each kept one is at most the limit."""
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        area = (pdf.x1 - pdf.x0) * (pdf.y1 - pdf.y0)
-        keep: list[int] = []
-        for i in sorted(range(len(pdf)), key=lambda i: (-area.iloc[i], pdf.n.iloc[i])):
-            a = pdf.iloc[i]
-            ok = True
-            for j in keep:
-                b = pdf.iloc[j]
-                w, h = max(0.0, min(a.x1, b.x1) - max(a.x0, b.x0)), max(0.0, min(a.y1, b.y1) - max(a.y0, b.y0))
-                union = area.iloc[i] + area.iloc[j] - w * h
-                ok = ok and not (union > 0 and w * h / union > limit)
-            if ok and len(keep) < most:
-                keep.append(i)
-        return pdf.iloc[keep]
-
-    return boxes.groupBy(key).applyInPandas(kernel, boxes.schema)
+    """Boxes kept largest first while their overlap with each kept one is at most the limit.
+
+    A key's boxes meet in one sorted array and a fold over it, so no key costs a call of Python. A box with an unknown
+    side has no area: it comes last and overlaps none."""
+    size = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    area = F.when(~F.isnan(size), size)
+    row = F.struct(*boxes.columns)
+    ranked = F.struct(area.isNull().alias("none"), (-area).alias("less"), F.col("n").alias("n"), row.alias("b"))
+    d = boxes.groupBy(key).agg(F.sort_array(F.collect_list(ranked)).alias("all"))
+
+    def overlaps(p: Column, q: Column) -> Column:
+        a, b = p["b"], q["b"]
+        w = F.greatest(F.lit(0.0), F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"]))
+        h = F.greatest(F.lit(0.0), F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"]))
+        union = -p["less"] + -q["less"] - w * h
+        return F.coalesce((union > 0) & (w * h / union > limit), F.lit(False))
+
+    def step(kept: Column, p: Column) -> Column:
+        more = (F.size(kept) < most) & ~F.exists(kept, lambda q: overlaps(p, q))
+        return F.when(more, F.array_append(kept, p)).otherwise(kept)
+
+    kept = F.aggregate("all", F.filter("all", lambda _: F.lit(False)), step)
+    return d.select(F.explode(kept).alias("p")).select("p.b.*")
 
 
 def merge_latest(old: DataFrame, new: DataFrame, key: str, stamp: str) -> DataFrame:

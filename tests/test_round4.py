@@ -4,6 +4,7 @@ import datetime as dt
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from kerbline.plans import load, registry
 
@@ -39,3 +40,33 @@ def test_rolling_mean_counts_every_row(spark, against):
     values = [4.0, 0.0, None, -2.0, 7.5, *[float(i % 9) for i in range(60)]]
     got = against("Z11_rolling", "events", events(spark, [(u, v) for u in (1, 2) for v in values[u - 1 :]]))
     assert len(got) == 2 * len(values) - 1
+
+
+def survey(spark, rows):
+    """lineitem of rows (block, n, x, y)."""
+    return spark.createDataFrame([(b, n, x, y * 1000) for b, n, x, y in rows], "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double")
+
+
+def test_suppression_is_one_fold_and_ties_go_by_place(spark, tmp_path):
+    import random
+
+    r = random.Random(9)
+    rows = [(b, n, float(r.randrange(50)), r.randrange(900) / 10) for b in range(60) for n in [*range(r.randrange(1, 9)), 0]]
+    want = set()
+    for b in range(60):
+        boxes = [(n, x, y, x + 20, y + 15) for k, n, x, y in rows if k == b]
+        area = lambda p: (p[3] - p[1]) * (p[4] - p[2])
+        kept = []
+        for p in sorted(boxes, key=lambda p: (-area(p), p)):
+            cut = [max(0.0, min(p[3], q[3]) - max(p[1], q[1])) * max(0.0, min(p[4], q[4]) - max(p[2], q[2])) for q in kept]
+            if len(kept) < 4 and all(c / (area(p) + area(q) - c) <= 0.3 for c, q in zip(cut, kept, strict=True)):
+                kept.append(p)
+        want |= {(b, *p) for p in kept}
+    from kerbline.operators import work
+
+    d = spark.createDataFrame([(b, n, x, y, x + 20, y + 15) for b, n, x, y in reversed(rows)], "block long, n int, x0 double, y0 double, x1 double, y1 double")
+    kept = work.suppress(d, "block", 0.3, 4)
+    assert {tuple(p) for p in kept.collect()} == want
+    assert "Pandas" not in kept._jdf.queryExecution().toString()
+    odd = d.limit(1).unionByName(d.limit(1).withColumn("x1", F.lit(None).cast("double")))
+    assert [p.x1 is None for p in work.suppress(odd, "block").collect()] == [False, True]
