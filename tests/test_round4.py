@@ -70,3 +70,28 @@ def test_suppression_is_one_fold_and_ties_go_by_place(spark, tmp_path):
     assert "Pandas" not in kept._jdf.queryExecution().toString()
     odd = d.limit(1).unionByName(d.limit(1).withColumn("x1", F.lit(None).cast("double")))
     assert [p.x1 is None for p in work.suppress(odd, "block").collect()] == [False, True]
+
+
+def test_area_fractions_of_many_images_in_one_call(spark):
+    """Against painting and flooding cell by cell; corners don't link, unknown sides cover nothing."""
+    import random
+
+    from kerbline.functions import spatial_math
+
+    r = random.Random(4)
+    rows = [(g, x, y, x + r.uniform(-1, 8), y + r.uniform(-1, 8)) for g in range(40) for _ in range(90 if g == 7 else r.randrange(1, 9)) for x, y in [(r.uniform(-4, 30), r.uniform(-4, 20))]]
+    rows += [(100, 0.0, 0.0, 2.0, 2.0), (100, 2.0, 2.0, 4.0, 4.0), (100, 4.0, 2.0, 5.0, 3.0), (101, 1.0, None, 5.0, 5.0)]
+    want = {}
+    for g in {p[0] for p in rows}:
+        cells = {(x, y) for k, *b in rows if k == g and None not in b for x in range(max(0, round(b[0])), min(30, max(0, round(b[2])))) for y in range(max(0, round(b[1])), min(20, max(0, round(b[3]))))}
+        share, parts = len(cells) / 600, 0
+        while cells:
+            parts, edge = parts + 1, [cells.pop()]
+            while edge:
+                x, y = edge.pop()
+                near = {(x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)} & cells
+                cells -= near
+                edge += near
+        want[g] = (share, parts)
+    d = spark.createDataFrame(rows, "g int, x0 double, y0 double, x1 double, y1 double")
+    assert {p.g: (p.fraction, p.parts) for p in spatial_math.area_fractions(d, "g", 30, 20).collect()} == want
