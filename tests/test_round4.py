@@ -143,3 +143,28 @@ def test_route_where_drives_share_places(spark, monkeypatch):
         path += leg[::-1][bool(path) :]
     names = {i: n for n, i in at.items()}
     assert got.node.tolist() == [names[i] for i in path]
+
+
+@pytest.mark.parametrize("mutual", [True, False])
+def test_nearest_of_groups_without_rows_of_pairs(spark, monkeypatch, mutual):
+    """Against all pairs, in cells that several tiles share; shared places and equal orders are there too."""
+    import random
+
+    from kerbline.operators import spatial
+
+    monkeypatch.setattr(spatial, "TILE", 100)
+    r = random.Random(3)
+    rows = [(f"g{g:02d}_{k:02d}", f"g{g:02d}", g // (1 if mutual else 2), float(r.randrange(-40, 40)), r.choice([0.5, 2.5]) * r.randrange(-6, 6)) for g in range(36) for k in range(r.randrange(1, 20))]
+    best, back = {}, {}
+    for a in rows:
+        for b in rows:
+            d = math.dist(a[3:], b[3:])
+            if a[2] < b[2] and d <= 7.0:
+                best[a[0], b[1]] = min(best.get((a[0], b[1]), (9.0, "")), (round(d, 6), b[0]))
+                back[b[0], a[1]] = min(back.get((b[0], a[1]), (9.0, "")), (round(d, 6), a[0]))
+    want = {(a, g, b) for (a, g), (_, b) in best.items() if not mutual or back[b, a[:3]][1] == a}
+    d = spark.createDataFrame([*rows, ("no", "g99", 99, None, 1.0)], "segment_id string, session_id string, o int, x double, y double")
+    got = spatial.nearest_of_groups(d, 7.0, "o", mutual)
+    assert {(p.a, p.b[:3], p.b) for p in got.collect()} == want and got.count() == len(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by" not in plan and "row_number" not in plan
