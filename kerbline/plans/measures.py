@@ -99,8 +99,11 @@ def m11(spark, sf):
 
 
 def _bounds(survey):
+    # bounds depend on x alone: 401 values are taken once for each, however many rows hold it
+    rows = survey.select("block", "n", "x").distinct()
     b = rating.index_bounds("highway", "cracking", F.col("x"), F.col("x") + 5.0)
-    return survey.select("block", "n", "x").distinct().select("block", "n", "x", b.alias("b")).select("block", "n", "x", r6(F.col("b.worst"), "worst"), r6(F.col("b.best"), "best"))
+    each = survey.select("x").distinct().select("x", b.alias("b")).select(F.col("x").alias("at"), r6(F.col("b.worst"), "worst"), r6(F.col("b.best"), "best"))
+    return rows.join(each, rows["x"].eqNullSafe(each["at"])).select("block", "n", "x", "worst", "best")
 
 
 @query("M12_index_class", over("SELECT block, n, CASE WHEN x * 2 > 90 THEN 'Excellent' WHEN x * 2 > 80 THEN 'Good' WHEN x * 2 > 60 THEN 'Satisfactory' WHEN x * 2 > 40 THEN 'Fair' WHEN x * 2 > 20 THEN 'Poor' ELSE 'Fail' END AS c FROM survey"))
