@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import re
 
 import duckdb
 import pytest
@@ -168,3 +169,17 @@ def test_nearest_of_groups_without_rows_of_pairs(spark, monkeypatch, mutual):
     assert {(p.a, p.b[:3], p.b) for p in got.collect()} == want and got.count() == len(want)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "min_by" not in plan and "row_number" not in plan
+
+
+def test_index_bounds_are_taken_once_for_each_value(spark, against, tmp_path):
+    got = against("M11_index_bounds", "lineitem", survey(spark, [(b, n, x, 1.0) for b in range(30) for n in range(3) for x in (0.0, 3.5, 16.0)]))
+    assert len(got) == 270
+    plan = QUERIES["M11_index_bounds"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    lines = [line for line in plan if "transform(" in line]
+    assert lines and all(re.search(r"Aggregate \[x#\d+\], ", line) for line in lines)
+
+
+def test_gap_ends_of_many_drives_from_one_place(spark, against, tmp_path):
+    against("J24_gap_ends", "events", events(spark, [(u, 1.0) for u in range(240) for _ in range(1 + u % 3)]))
+    plan = QUERIES["J24_gap_ends"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "__r" in plan and "<= 2" in plan
