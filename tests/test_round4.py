@@ -183,3 +183,26 @@ def test_gap_ends_of_many_drives_from_one_place(spark, against, tmp_path):
     against("J24_gap_ends", "events", events(spark, [(u, 1.0) for u in range(240) for _ in range(1 + u % 3)]))
     plan = QUERIES["J24_gap_ends"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "__r" in plan and "<= 2" in plan
+
+
+def test_edge_counts_without_pairs(spark):
+    """Against the edges themselves: shared places, unknown headings and levels, gaps that repeat a link."""
+    import random
+
+    from kerbline.operators import network
+
+    r = random.Random(8)
+    t = lambda s: dt.datetime(2026, 1, 1) + dt.timedelta(seconds=s)
+    rows = []
+    for g in range(30):
+        t0 = 200 * g
+        for k in range(r.randrange(1, 6)):
+            x, y = r.choice([(4.0 * r.randrange(8), 0.0), (r.uniform(0, 40), r.uniform(0, 9))])
+            rows.append((f"s{g:02d}_{k}", f"s{g:02d}", k + (k > 2), x, y, r.choice([None, 10.0, 40.0, 200.0, r.uniform(0, 720)]), r.choice([None, 0.0, 3.0, 9.0]), g % 2, t(t0 + k)))
+    rows.append(("no", "s90", 0, None, 1.0, 1.0, 1.0, 0, t(1)))
+    d = spark.createDataFrame(rows, "segment_id string, session_id string, k long, x double, y double, heading double, alt double, device int, utc timestamp")
+    plain = lambda e: {(p.kind, p["count"]) for p in e.groupBy("kind").count().collect()}
+    counts = lambda e: {(p.kind, p.n) for p in e.collect()}
+    assert len(plain(network.road_edges(d))) == 4
+    assert counts(network.road_edge_counts(d)) == plain(network.road_edges(d))
+    assert counts(network.edge_counts(d)) == plain(network.edges(d))
