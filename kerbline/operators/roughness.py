@@ -63,23 +63,29 @@ def _chunk(key: tuple, pdf: pd.DataFrame, chunk_s: float, halo_s: float, rate: f
     return pd.DataFrame({**out, "rot": turn[core], "edge": edge[core]})
 
 
+def _chunks(sensor: DataFrame, span: DataFrame, chunk_s: float, halo_s: float) -> DataFrame:
+    """Clean sensor rows with the chunks that they lie in or next to."""
+    d = sensor.join(span, "session").withColumn("t", (F.col("t_ns") - F.col("t0_ns")) / 1e9)
+    first, last = F.floor((F.col("t") - halo_s) / chunk_s), F.floor((F.col("t") + halo_s) / chunk_s)
+    most = F.floor(F.col("end_s") / chunk_s)
+    d = d.withColumn("chunk", F.explode(F.sequence(F.greatest(F.lit(0), first).cast("long"), F.greatest(F.lit(0), F.least(last, most)).cast("long")))).where("t >= -60")
+    return d.select("session", "chunk", "channel", "t", "x", "y", "z", "end_s")
+
+
 def samples(sensor: DataFrame, least: int | None = None, chunk_s: float = CHUNK_S, halo_s: float = HALO_S, rate: float = V.RATE, bands=V.BANDS) -> DataFrame:
     """(session, i, t, raw, av, body, wheel, rot, edge): the even grid of each session, t = i / rate seconds after its
     first acc sample; vertical acceleration along gravity (a gravity channel, else the acceleration's low pass), its
     three bands, NaN in gaps and runs too short, the rotation across gravity, and whether a run's end is near (K1, K2).
     Sessions with fewer than `least` acc samples (10 seconds of the grid) give none."""
     sensor = clean(sensor)
-    d = sensor.join(spans(sensor, int(10 * rate) if least is None else least), "session").withColumn("t", (F.col("t_ns") - F.col("t0_ns")) / 1e9)
-    first, last = F.floor((F.col("t") - halo_s) / chunk_s), F.floor((F.col("t") + halo_s) / chunk_s)
-    most = F.floor(F.col("end_s") / chunk_s)
-    d = d.withColumn("chunk", F.explode(F.sequence(F.greatest(F.lit(0), first).cast("long"), F.greatest(F.lit(0), F.least(last, most)).cast("long")))).where("t >= -60")
+    d = _chunks(sensor, spans(sensor, int(10 * rate) if least is None else least), chunk_s, halo_s)
     kind = sensor.schema["session"].dataType.simpleString()
     kernel = partial(_chunk, chunk_s=chunk_s, halo_s=halo_s, rate=rate, bands=bands)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return kernel(key, pdf)
 
-    got = d.select("session", "chunk", "channel", "t", "x", "y", "z", "end_s").groupBy("session", "chunk").applyInPandas(run, f"session {kind}, {SAMPLE}")
+    got = d.groupBy("session", "chunk").applyInPandas(run, f"session {kind}, {SAMPLE}")
     return got.withColumn("t", F.col("i") / rate)
 
 
@@ -106,10 +112,10 @@ def fixes(gnss: DataFrame) -> DataFrame:
     return one.withColumn("step", step).select("session", "t_ns", "speed", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("d"))
 
 
-def between(points: DataFrame, span: DataFrame, *values: str) -> DataFrame:
+def between(points: DataFrame, span: DataFrame, *values: str, size: float = 1.0, margin: float = 0.0) -> DataFrame:
     """points(session, t, values) as intervals (session, bin, a, b, value, value_b, ...) that cover each session's
     whole span: [a, b) from each point to the next, before the first and after the last with the same value at both
-    ends and null for what is not there. One row per second that an interval touches."""
+    ends and null for what is not there. One row per `size` seconds that an interval touches or comes near to."""
     w = Window.partitionBy("session").orderBy("t")
     nexts = [F.lead(v).over(w).alias(f"{v}_b") for v in values]
     here = points.select("session", F.col("t").alias("a"), F.lead("t").over(w).alias("b"), *values, *nexts)
@@ -117,7 +123,7 @@ def between(points: DataFrame, span: DataFrame, *values: str) -> DataFrame:
     ahead = first.select("session", F.lit(None).cast("double").alias("a"), "b", *[F.lit(None).cast("double").alias(v) for v in values], *[f"{v}_b" for v in values])
     both = here.unionByName(ahead).join(span.select("session", "end_s"), "session")
     low, high = F.greatest(F.lit(0.0), F.coalesce("a", F.lit(0.0))), F.least(F.col("end_s") + 1, F.coalesce("b", F.col("end_s") + 1))
-    return both.where(low < high).withColumn("bin", F.explode(bins(low, high, 1.0))).drop("end_s")
+    return both.where(low < high).withColumn("bin", F.explode(bins(F.greatest(F.lit(0.0), low - margin), high + margin, size))).drop("end_s")
 
 
 def as_of(rows: DataFrame, parts: DataFrame) -> DataFrame:
@@ -132,34 +138,82 @@ def linear(v: str) -> Column:
     return F.coalesce(F.col(v) + share * (F.col(f"{v}_b") - F.col(v)), F.col(v), F.col(f"{v}_b"))
 
 
-def on_track(rows: DataFrame, gnss: DataFrame, marks: DataFrame, span: DataFrame) -> DataFrame:
-    """rows(session, t, ...) with s, v and anchor_s: distance on the segments' axis, speed, and the length of the
-    anchor interval in seconds (null outside). Between two anchors the distance follows the satellite distance where
-    that moved enough, else time; outside it goes on from the nearest. Sessions of fewer than two anchors give none."""
+def tracks(gnss: DataFrame, marks: DataFrame, span: DataFrame, size: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Intervals of between() by chunks of `size` seconds: distance and speed by satellite, distance on the segments'
+    axis by anchors with the satellite's beside it. Sessions of fewer than two anchors give none of the last."""
     to_s = lambda df: df.join(span.select("session", "t0_ns"), "session").withColumn("t", (F.col("t_ns") - F.col("t0_ns")) / 1e9).drop("t0_ns", "t_ns")
     fix = to_s(gnss)
     way = between(fix.select("session", "t", "d"), span, "d")
-    speed = between(fix.where("speed is not null").select("session", "t", "speed"), span, "speed")
-    second = F.floor("t").cast("long").alias("bin")
     several = marks.groupBy("session").count().where("count >= 2").select("session")
     marks = to_s(marks.join(several, "session"))
     # Anchors may lie before the first sensor sample or after the last; their distance is that of the nearest second.
     inside = marks.join(span.select("session", "end_s"), "session").withColumn("at", F.least(F.greatest("t", F.lit(0.0)), "end_s"))
     inside = inside.select("session", F.col("t").alias("own"), "s", F.col("at").alias("t"), F.floor("at").cast("long").alias("bin"))
     marks = as_of(inside, way).select("session", F.col("own").alias("t"), "s", linear("d").alias("da"))
-    legs = between(marks, span, "s", "da")
-    d = as_of(rows.withColumn("bin", second), way).withColumn("way", linear("d")).drop("a", "b", "d", "d_b")
-    d = d.join(speed, ["session", "bin"], "left").where("a is null and b is null or (a is null or t >= a) and (b is null or t < b)").withColumn("v", linear("speed")).drop("a", "b", "speed", "speed_b")
-    d = as_of(d, legs)
-    ds, dd = F.col("s_b") - F.col("s"), F.col("da_b") - F.col("da")
-    by_way = (dd > 0.5) & (dd > 0.2 * ds)
-    share = F.when(by_way, (F.col("way") - F.col("da")) / dd).otherwise((F.col("t") - F.col("a")) / (F.col("b") - F.col("a")))
-    inner = F.col("s") + F.least(F.lit(1.0), F.greatest(F.lit(0.0), share)) * ds
-    s = F.when(F.col("a").isNull(), F.col("s_b") + F.col("way") - F.col("da_b")).when(F.col("b").isNull(), F.col("s") + F.col("way") - F.col("da")).otherwise(inner)
-    return d.withColumn("anchor_s", F.col("b") - F.col("a")).withColumn("at", s).drop("s", "s_b", "da", "da_b", "a", "b", "way", "bin").withColumnRenamed("at", "s")
-
-
-def segment_windows(sensor: DataFrame, gnss: DataFrame, segments: DataFrame, least: int | None = None, rate: float = V.RATE, axle_m: float = 0.0, size: float = 20.0, **chunks) -> DataFrame:
+    by = {"size": size, "margin": 1.0}  # a chunk's first sample may lie a rounding before its start
+    return between(fix.select("session", "t", "d"), span, "d", **by), between(fix.where("speed is not null").select("session", "t", "speed"), span, "speed", **by), between(marks, span, "s", "da", **by)
+
+
+def on_track(t, way, speed, legs):
+    """(s, v, anchor_s) of sample times, NaN for unknown: distance on the segments' axis, speed, and the length of the
+    anchor interval in seconds (NaN outside). Between two anchors the distance follows the satellite distance where that
+    moved enough, else time; outside it goes on from the nearest. way, speed: rows (a, b, value, value_b) of a chunk, legs:
+    (a, b, s, s_b, da, da_b), in order of a."""
+    import numpy as np
+
+    def at(rows):
+        i = np.searchsorted(np.where(np.isnan(rows[:, 0]), -np.inf, rows[:, 0]), t, side="right") - 1
+        return rows[np.maximum(i, 0)].T
+
+    def linear_at(rows):
+        a, b, v, w = at(rows)
+        mid = v + (t - a) / (b - a) * (w - v)
+        return np.where(~np.isnan(mid), mid, np.where(~np.isnan(v), v, w))
+
+    d, v = linear_at(way), linear_at(speed) if len(speed) else np.full(len(t), np.nan)
+    a, b, s, s_b, da, da_b = at(legs)
+    ds, dd = s_b - s, da_b - da
+    with np.errstate(divide="ignore", invalid="ignore"):
+        share = np.where((dd > 0.5) & (dd > 0.2 * ds), (d - da) / dd, (t - a) / (b - a))
+    inner = s + np.minimum(1.0, np.maximum(0.0, share)) * ds
+    return np.where(np.isnan(a), s_b + d - da_b, np.where(np.isnan(b), s + d - da, inner)), v, b - a
+
+
+#: What a chunk knows of a segment, added up over its chunks; a row without a segment holds the chunk's ends.
+BANDS = ("av", "body", "wheel", "rot")
+PART = "samples long, t0_s double, t1_s double, speed_min double, edges long, anchor_s double, peak double, s_first double, s_last double, " + ", ".join(f"n_{c} long, sq_{c} double" for c in BANDS)
+
+
+def _parts(key: tuple, pdf: pd.DataFrame, beside: pd.DataFrame, grid, rate: float, axle_m: float) -> pd.DataFrame:
+    """Sums of a chunk's samples under each segment that they can reach."""
+    import numpy as np
+
+    names = ["session", "segment_id", *[f.split()[0] for f in PART.split(", ")]]
+    pick = lambda kind, n: beside.loc[beside.kind == kind, [f"p{i}" for i in range(n)]].to_numpy(dtype=float)
+    order = lambda r: r[np.argsort(np.where(np.isnan(r[:, 0]), -np.inf, r[:, 0]), kind="stable")]
+    way, speed, legs = order(pick("way", 4)), order(pick("speed", 4)), order(pick("leg", 6))
+    got = grid(key, pdf) if len(pdf) and len(way) and len(legs) else pdf.iloc[:0]
+    if not len(got):
+        return pd.DataFrame(columns=names)
+    t = got["i"].to_numpy() / rate
+    s, v, anchor = on_track(t, way, speed, legs)
+    s = s + axle_m
+    anchor = np.where(np.isnan(anchor), np.inf, anchor)
+    by_s = np.argsort(s, kind="stable")
+    edge, band = got["edge"].to_numpy(dtype=bool), {c: got[c].to_numpy(dtype=float) for c in BANDS}
+    least, most = lambda x: x.min() if len(x) else None, lambda x: x.max() if len(x) else None
+    known = lambda x: x[~np.isnan(x)]
+    rows = [(key[0], None, 0, None, None, None, 0, None, None, least(known(s)), most(known(s)), *[0, 0.0] * len(BANDS))]
+    segs = beside[beside.kind == "segment"]
+    for name, s0, s1 in zip(segs["segment_id"], segs["p0"], segs["p1"], strict=True):
+        at = np.sort(by_s[np.searchsorted(s[by_s], s0, side="left") : np.searchsorted(s[by_s], s1, side="left")])
+        if len(at):
+            fine = [known(x[at]) for x in band.values()]
+            rows.append((key[0], name, len(at), t[at].min(), t[at].max(), least(known(v[at])), int(edge[at].sum()), anchor[at].max(), most(np.abs(fine[0])), None, None, *[x for f in fine for x in (len(f), float(np.sum(f * f)))]))
+    return pd.DataFrame(rows, columns=names)
+
+
+def segment_windows(sensor: DataFrame, gnss: DataFrame, segments: DataFrame, least: int | None = None, rate: float = V.RATE, axle_m: float = 0.0, chunk_s: float = CHUNK_S, halo_s: float = HALO_S, bands=V.BANDS) -> DataFrame:
     """A row per segment(session, segment_id, s0_m, s1_m, covered, frame_t_ns, near_m) with the features of its samples
     and flags, or an error (K3).
 
@@ -168,19 +222,32 @@ def segment_windows(sensor: DataFrame, gnss: DataFrame, segments: DataFrame, lea
     """
     sensor = clean(sensor)
     span = spans(sensor, int(10 * rate) if least is None else least)
-    grid = samples(sensor, least, rate=rate, **chunks)
-    grid = on_track(grid, fixes(gnss), anchors(segments), span).withColumn("s", F.col("s") + axle_m)
-    ends = grid.groupBy("session").agg(F.min("s").alias("s_first"), F.max("s").alias("s_last"))
+    way, speed, legs = tracks(fixes(gnss), anchors(segments), span, chunk_s)
     known = segments.where("s1_m > s0_m and coalesce(covered, true)").select("session", "segment_id", "s0_m", "s1_m")
-    hit = grid.withColumn("cell", F.floor(F.col("s") / size).cast("long")).join(known.withColumn("cell", F.explode(bins(F.col("s0_m"), F.col("s1_m"), size))), ["session", "cell"]).where("s >= s0_m and s < s1_m")
-    fine = lambda c: F.when(~F.isnan(c), F.col(c))
-    rms = lambda c: F.when(F.count(fine(c)) >= LEAST, F.sqrt(F.avg(fine(c) * fine(c))))
-    sums = hit.groupBy("session", "segment_id").agg(
-        F.count("*").alias("window"), F.count(fine("av")).alias("n_samples"), F.min("t").alias("t0_s"), F.max("t").alias("t1_s"), F.min("v").alias("speed_min_mps"),
-        F.avg(F.col("edge").cast("double")).alias("edge_frac"), F.max(F.coalesce("anchor_s", F.lit(float("inf")))).alias("anchor_s"), F.max(F.abs(fine("av"))).alias("peak_av"),
-        *[rms(c).alias(f"rms_{c}") for c in ("av", "body", "wheel", "rot")],
+    # Between anchors a sample lies between their distances; before the first and after the last it may lie anywhere on.
+    far = float("inf")
+    low, high = F.when(F.col("a").isNull(), -far).otherwise(F.col("s")), F.when(F.col("b").isNull(), far).otherwise(F.col("s_b"))
+    reach = legs.groupBy("session", "bin").agg((F.min(low) + (axle_m - 1e-3)).alias("low"), (F.max(high) + (axle_m + 1e-3)).alias("high"))
+    under = reach.join(known, "session").where("s1_m > low and s0_m < high")
+    name = segments.schema["segment_id"].dataType.simpleString()
+    row = lambda d, kind, *cols: d.select("session", F.col("bin").alias("chunk"), F.lit(kind).alias("kind"), (F.col("segment_id") if kind == "segment" else F.lit(None).cast(name)).alias("segment_id"), *[(F.col(cols[i]) if i < len(cols) else F.lit(None)).cast("double").alias(f"p{i}") for i in range(6)])
+    beside = row(way, "way", "a", "b", "d", "d_b").union(row(speed, "speed", "a", "b", "speed", "speed_b")).union(row(legs, "leg", "a", "b", "s", "s_b", "da", "da_b")).union(row(under, "segment", "s0_m", "s1_m"))
+    beside = beside.select(*[F.col(c).alias(c) for c in beside.columns])  # columns of their own where both come from one table
+    kernel = partial(_parts, grid=partial(_chunk, chunk_s=chunk_s, halo_s=halo_s, rate=rate, bands=bands), rate=rate, axle_m=axle_m)
+
+    def run(key: tuple, pdf: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
+        return kernel(key, pdf, more)
+
+    kind = sensor.schema["session"].dataType.simpleString()
+    parts = _chunks(sensor, span, chunk_s, halo_s).groupBy("session", "chunk").cogroup(beside.groupBy("session", "chunk")).applyInPandas(run, f"session {kind}, segment_id {name}, {PART}")
+    rms = lambda c: F.when(F.sum(f"n_{c}") >= LEAST, F.sqrt(F.sum(f"sq_{c}") / F.sum(f"n_{c}"))).alias(f"rms_{c}")
+    sums = parts.groupBy("session", "segment_id").agg(
+        F.sum("samples").alias("window"), F.sum("n_av").alias("n_samples"), F.min("t0_s").alias("t0_s"), F.max("t1_s").alias("t1_s"), F.min("speed_min").alias("speed_min_mps"),
+        F.when(F.sum("samples") > 0, F.sum("edges") / F.sum("samples")).alias("edge_frac"), F.max("anchor_s").alias("anchor_s"), F.max("peak").alias("peak_av"), F.min("s_first").alias("s_first"), F.max("s_last").alias("s_last"), *map(rms, BANDS),
     )
-    d = segments.select("session", "segment_id", "s0_m", "s1_m", "covered").join(ends, "session", "left").join(sums, ["session", "segment_id"], "left")
+    every = Window.partitionBy("session")  # the row without a segment tells the others where the drive begins and ends
+    d = segments.select("session", "segment_id", "s0_m", "s1_m", "covered", F.lit(True).alias("asked")).join(sums, ["session", "segment_id"], "full")
+    d = d.withColumn("s_first", F.min("s_first").over(every)).withColumn("s_last", F.max("s_last").over(every)).where("asked")
     outside = F.col("window").isNull() | (F.col("s_first") >= F.col("s0_m")) | (F.col("s_last") < F.col("s1_m"))
     error = F.when(F.col("s0_m").isNull() | F.col("s1_m").isNull() | (F.col("s1_m") <= F.col("s0_m")), NO_PLACE)
     error = error.when(~F.coalesce("covered", F.lit(True)), NOT_COVERED).when(outside, OUTSIDE)

@@ -206,3 +206,8 @@ def test_edge_counts_without_pairs(spark):
     assert len(plain(network.road_edges(d))) == 4
     assert counts(network.road_edge_counts(d)) == plain(network.road_edges(d))
     assert counts(network.edge_counts(d)) == plain(network.edges(d))
+
+
+def test_segment_windows_hand_out_sums_not_samples(spark):
+    plan = QUERIES["K3_segment_windows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CoGroupsInPandas") == 1 and "FlatMapGroupsInPandas" not in plan
